@@ -21,6 +21,12 @@ def _op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_line_dedup(table(spark, sf_dir, "documents"))
 
 
+def _op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragbench.llm.near_dup import op6_near_duplicates
+
+    return op6_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragbench.llm.mixing import op7_mixing
 
@@ -43,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_quality_rules": _op4,
         "op5_line_dedup": _op5,
+        "op6_near_duplicates": _op6,
         "op7_mixing": _op7,
         "op9_secret_scan": _op9,
         "op10_decontamination": _op10,
