@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ragbench.llm.common import table
 
 
+def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragbench.llm.toxicity import op1_toxicity
+
+    return op1_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragbench.llm.language import op3_language
+
+    return op3_language(table(spark, sf_dir, "documents"))
+
+
 def _op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragbench.llm.quality import op4_quality_rules
 
@@ -47,6 +59,8 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": _op1,
+        "op3_language": _op3,
         "op4_quality_rules": _op4,
         "op5_line_dedup": _op5,
         "op6_near_duplicates": _op6,
