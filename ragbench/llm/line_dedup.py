@@ -73,13 +73,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     # Positions of a window's fingerprint differ between windows of one document only by the window; what counts
     # is whether any other window, here or elsewhere, selects an equal line.
     marks = stored(spans.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("mark"), "marks")
-    candidates = spans.join(marks, "mark", "left_semi")
+    candidates = spans.join(marks.hint("merge"), "mark", "left_semi")
     firsts = stored(
         candidates.groupBy("c1", "c2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("c1", "c2", "lo"), "firsts"
     )
-    later = candidates.join(firsts, ["c1", "c2"]).where(place > F.col("lo"))
+    later = candidates.join(firsts.hint("merge"), ["c1", "c2"]).where(place > F.col("lo"))
     cut = stored(later.groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")
-    joined = keyed.join(cut, keyed["_id"].eqNullSafe(cut["_id"]) & keyed["_key"].eqNullSafe(cut["_key"]), "left").drop(cut["_id"]).drop(cut["_key"])
+    joined = keyed.join(cut.hint("merge"), keyed["_id"].eqNullSafe(cut["_id"]) & keyed["_key"].eqNullSafe(cut["_key"]), "left").drop(cut["_id"]).drop(cut["_key"])
     lines = F.split(F.col(text), "\n", -1)
     gone = F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.sequence(c["first"], c["last"]))))
     numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("no")))
