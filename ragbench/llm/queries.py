@@ -15,6 +15,12 @@ def _op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragbench.llm.warc import op2_warc
+
+    return op2_warc(table(spark, sf_dir, "pages"))
+
+
 def _op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragbench.llm.language import op3_language
 
@@ -60,6 +66,7 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": _op1,
+        "op2_warc": _op2,
         "op3_language": _op3,
         "op4_quality_rules": _op4,
         "op5_line_dedup": _op5,
@@ -71,9 +78,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from ragbench.llm import contamination, line_dedup, secrets
+    from ragbench.llm import contamination, line_dedup, secrets, warc
 
     return {
+        "op2_warc": warc.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
         "op9_secret_scan": secrets.oracle(),
         "op10_decontamination": contamination.ORACLE,

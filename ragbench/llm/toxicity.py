@@ -1,6 +1,7 @@
 """Toxicity classifier with a counterfactual penalty.
 
-A logistic model over the words of a text that are not evenly spread by chance. In every labelled sentence that names an identity term, the term
+A logistic model over the words of a text, and the beginnings of words (inflected and compound forms), whose
+spread over toxic and clean texts chance does not explain. In every labelled sentence that names an identity term, the term
 is swapped for each other term of its group, and the squared change of the score is penalised. Terms for groups of
 people so get nearly equal weights within a group whatever company they keep in the sample, and a neutral mention
 does not raise the score.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ IDENTITY_GROUPS = (
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
 #: Bytes of a text that are letters (A-Z in lower case) or beyond ASCII; all others separate words.
 _NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(0x100))
+#: Bytes of the beginnings of words that are features.
+PREFIXES = (4, 5, 6, 7, 8, 9)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _GROUP_OF = {term.encode(): no for no, group in enumerate(IDENTITY_GROUPS) for term in group}
 
@@ -45,6 +48,12 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_NORMAL).split()
 
 
+def features_of(text: str | None, sizes: Iterable[int] = PREFIXES) -> set[bytes]:
+    """Distinct words, and the first bytes of longer words, marked with ^."""
+    words = set(words_of(text))
+    return words.union(*({b"^" + w[:k] for w in words if len(w) > k} for k in sizes))
+
+
 def swaps_of(text: str | None) -> list[bytes]:
     """The identity terms of a text, once for each sentence that holds them."""
     found: list[bytes] = []
@@ -62,8 +71,8 @@ def _tail(k: int, m: int, rate: float) -> float:
     return float(terms.max() + np.log(np.exp(terms - terms.max()).sum()))
 
 
-def _select(samples: list[tuple[set[bytes], int]], least_df: int, most: int) -> list[bytes]:
-    """Words that stand in more toxic (or more clean) documents than chance explains, after Bonferroni; ``most`` at most."""
+def _select(samples: list[tuple[set[bytes], int]], least_df: int, most: int, chance: float = 5e-5) -> list[bytes]:
+    """Words that stand in more toxic (or more clean) documents than chance explains; ``most`` at most, the surest first."""
     df, hits = Counter(), Counter()
     for words, label in samples:
         df.update(words)
@@ -71,7 +80,7 @@ def _select(samples: list[tuple[set[bytes], int]], least_df: int, most: int) ->
             hits.update(words)
     rate = sum(label for _, label in samples) / len(samples)
     frequent = [w for w in sorted(df) if df[w] >= least_df]
-    limit = np.log(0.2 / max(len(frequent), 1))
+    limit = np.log(chance)
     found = []
     for w in frequent:
         k, m = hits[w], df[w]
@@ -137,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         for batch in batches:
             yield pd.DataFrame({
                 "id": batch["doc_id"].astype(str), "toxic": batch["toxic"],
-                "words": [b" ".join(sorted(set(words_of(t)))) for t in batch["text"]], "swaps": [b" ".join(swaps_of(t)) for t in batch["text"]],
+                "words": [b" ".join(sorted(features_of(t))) for t in batch["text"]], "swaps": [b" ".join(swaps_of(t)) for t in batch["text"]],
             })
 
     found = rows.mapInPandas(features, "id string, toxic int, words binary, swaps binary").collect()
@@ -158,8 +167,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         b, w = model.value
+        sizes = sorted({len(x) - 1 for x in w if x[:1] == b"^"})
         for texts in batches:
-            z = np.array([b + sum(w[x] for x in w.keys() & set(words_of(t))) for t in texts], dtype=float)
+            z = np.array([b + sum(w[x] for x in w.keys() & features_of(t, sizes)) for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
     keep = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
