@@ -51,6 +51,12 @@ def _op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_mixing(table(spark, sf_dir, "documents"))
 
 
+def _op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragbench.llm.licenses import op8_licence_scan
+
+    return op8_licence_scan(table(spark, sf_dir, "documents"))
+
+
 def _op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragbench.llm.secrets import op9_secret_scan
 
@@ -72,17 +78,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": _op5,
         "op6_near_duplicates": _op6,
         "op7_mixing": _op7,
+        "op8_licence_scan": _op8,
         "op9_secret_scan": _op9,
         "op10_decontamination": _op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from ragbench.llm import contamination, line_dedup, secrets, warc
+    from ragbench.llm import contamination, licenses, line_dedup, secrets, warc
 
     return {
         "op2_warc": warc.ORACLE,
         "op5_line_dedup": line_dedup.ORACLE,
+        "op8_licence_scan": licenses.oracle(),
         "op9_secret_scan": secrets.oracle(),
         "op10_decontamination": contamination.ORACLE,
     }
