@@ -9,9 +9,10 @@
 4. A pair's similarity is estimated by likelihood from the register orders and the known set sizes; pairs that
    can't reach the threshold are dropped, the others are verified on their full shingle sets.
 5. Links give components. Buckets whose classes are still in several components are taken up again: each class
-   outside the bucket's largest component meets all classes of other components there. After that, every two
-   classes that share a bucket are connected or have been compared, so no link is lost to the choice of pairs,
-   and a bucket of near copies, however large, costs one pair for each member.
+   outside the bucket's largest component meets all classes of other components there, in blocks of a bounded
+   number of classes (:func:`_crossings`), so that only pairs that are similar enough become rows. After that,
+   every two classes that share a bucket are connected or have been compared: no link is lost to the choice of
+   pairs, and a bucket of near copies, however large, costs one pair for each member.
 
 Two sets with a similarity of 0.8 share no bucket with a probability of (1 - 0.8**5)**32 = 3e-6 (less above it).
 """
@@ -161,13 +162,18 @@ def _linked(size: int, percent: int):
     return F.pandas_udf(run, T.BooleanType())
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that set sizes and the estimate don't rule out."""
     left = sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     estimated = F.pandas_udf(_estimates, T.DoubleType())
     sized = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(F.least("n_a", "n_b") * 100 >= percent * F.greatest("n_a", "n_b"))
-    likely = stored(sized.where(estimated("s_a", "s_b", "n_a", "n_b") >= LEAST_ESTIMATE).select("a", "b"), "likely")
+    return sized.where(estimated("s_a", "s_b", "n_a", "n_b") >= LEAST_ESTIMATE).select("a", "b")
+
+
+def _verified(likely: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
+    likely = stored(likely, "likely")
     needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     held = stored(texts.join(stored(needed, "needed"), "id", "left_semi"), "texts")
     both = likely.join(held.select(F.col("id").alias("b"), F.col("text").alias("t_b")).hint("merge"), "b")
@@ -175,6 +181,63 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
     return stored(both.where(_linked(size, percent)("t_a", "t_b")).select("a", "b").distinct(), "links")
 
 
+def _short_hashes(size: int):
+    """The sorted 32-bit hashes of a text's shingles."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.sort((shingle_hashes(words_of(t), size) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in texts])
+
+    return F.pandas_udf(run, T.BinaryType())
+
+
+#: Classes of a bucket that meet at once: those outside its largest component, and all.
+FEW_BLOCK, ALL_BLOCK = 64, 256
+
+
+def _crossings(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and whose hashed shingle sets are similar enough.
+
+    ``members`` has band, k (classes in the bucket), few (outside the largest component), rep, label, n, sketch
+    and hashes. A bucket's classes are dealt to blocks by a hash, and each block of the few meets each block of
+    all; similarities are worked out in numpy. 32-bit hashes may meet by chance, so a little less than the
+    threshold passes; the pairs are verified on the texts afterwards. A pair counts in its first common bucket.
+    """
+    id_type = members.schema["rep"].dataType.simpleString()
+
+    def blocks(rows: DataFrame, least: int, prefix: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("k") / least)))
+        one = F.collect_list(F.struct("rep", "label", "n", "sketch", "hashes"))
+        grouped = rows.groupBy("band", "place", block.alias("block")).agg(one.alias("c"))
+        return grouped.select("band", "place", *(F.col(f"c.{f}").alias(f"{prefix}_{f}") for f in ("rep", "label", "n", "sketch", "hashes")))
+
+    few = blocks(members.where("few"), FEW_BLOCK, "x")
+    met = few.hint("merge").join(blocks(members, ALL_BLOCK, "y").hint("merge"), ["band", "place"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                n_y, sets_y = np.asarray(row.y_n), [np.frombuffer(h, dtype=np.uint32) for h in row.y_hashes]
+                sketch_y, label_y = _stack(row.y_sketch), np.asarray(row.y_label)
+                for rep, label, n, sketch, hashes in zip(row.x_rep, row.x_label, row.x_n, row.x_sketch, row.x_hashes):
+                    same = sketch_y == np.frombuffer(sketch, dtype=np.uint16)
+                    first = same.reshape(len(sketch_y), -1, BAND).all(2).argmax(1) == row.place
+                    sized = 100 * np.minimum(n, n_y) >= percent * np.maximum(n, n_y)
+                    todo = np.flatnonzero(first & sized & (label_y != label) & (same.sum(1) >= LEAST_ESTIMATE * REGISTERS))
+                    if not len(todo):
+                        continue
+                    own = np.frombuffer(hashes, dtype=np.uint32)
+                    others = np.concatenate([sets_y[k] for k in todo])
+                    at = np.minimum(np.searchsorted(own, others), len(own) - 1)
+                    starts = np.concatenate(([0], np.cumsum([len(sets_y[k]) for k in todo])[:-1]))
+                    both = np.add.reduceat((own[at] == others).astype(np.int64), starts)
+                    for k in todo[100 * both >= (percent - 1) * (n + n_y[todo] - both)]:
+                        out.append((min(rep, row.y_rep[k]), max(rep, row.y_rep[k])))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return met.drop("band").mapInPandas(run, f"a {id_type}, b {id_type}").distinct()
+
+
 def near_duplicate_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n, component) for each row: its shingles and the smallest id reachable. See :func:`near_duplicates`."""
     narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
@@ -184,26 +247,23 @@ def near_duplicate_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_
         "classes",
     )
     bands = F.pandas_udf(_band_hashes, T.ArrayType(T.LongType()))
-    members = classes.select("rep", F.explode(bands("sketch")).alias("band"))
+    members = classes.select("rep", F.posexplode(bands("sketch")).alias("place", "band"))
     buckets = stored(members.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead != last").select("band", "lead"), "buckets")
-    shared = stored(members.hint("merge").join(buckets, "band").select("band", "lead", "rep"), "members")
+    shared = stored(members.hint("merge").join(buckets.hint("merge"), "band").select("band", "place", "lead", "rep"), "members")
     first = stored(shared.where("lead != rep").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = _verified(first, classes, narrow, size, percent)
+    links = _verified(_likely(first, classes, percent), narrow, size, percent)
     labels = components(links)
 
     node = F.coalesce("label", "rep")
-    labelled = shared.join(labels, shared["rep"] == labels["node"], "left").select("band", "rep", node.alias("label"))
-    labelled = stored(labelled, "labelled")
+    labelled = stored(shared.join(labels.hint("merge"), shared["rep"] == labels["node"], "left").select("band", "place", "rep", node.alias("label")), "labelled")
     sizes = labelled.groupBy("band", "label").count()
-    mixed = stored(
-        sizes.groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main"), "mixed"
-    )
-    open_ = stored(labelled.join(mixed, "band"), "open")
-    few = open_.where("label != main").select("band", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    all_ = open_.select("band", F.col("rep").alias("y"), F.col("label").alias("ly"))
-    crossed = few.hint("merge").join(all_, "band").where("lx != ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = stored(crossed.join(first.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    more = _verified(second, classes, narrow, size, percent)
+    mixed = sizes.groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels"), F.sum("count").alias("k"))
+    mixed = stored(mixed.where("labels > 1").select("band", "main", "k"), "mixed")
+    open_ = stored(labelled.join(mixed.hint("merge"), "band").select("band", "place", "k", "rep", "label", (F.col("label") != F.col("main")).alias("few")), "open")
+    needed = stored(open_.select(F.col("rep").alias("id")).distinct(), "needed")
+    sets = stored(narrow.join(needed.hint("merge"), "id").select(F.col("id").alias("rep"), _short_hashes(size)("text").alias("hashes")).dropDuplicates(["rep"]), "sets")
+    full = open_.join(classes.select("rep", "n", "sketch").hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    more = _verified(_crossings(full, percent), narrow, size, percent)
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
