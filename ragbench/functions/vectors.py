@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragbench.functions.text import words
 
@@ -24,14 +30,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
+def _places(words: list[str], dim: int, kept: dict[str, int]) -> np.ndarray:
+    out = np.zeros(2 * dim)
+    for w in words:
+        if w not in kept:
+            kept[w] = int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % (2 * dim)
+        out[kept[w]] += 1
+    return out[:dim] - out[dim:]
+
+
 def hash_embedding(text: Column, dim: int = DIM) -> Column:
-    """Signed feature hashing of the text's words: word w adds its sign to one of ``dim`` places."""
-    tokens = F.transform(words(text), lambda w: F.xxhash64(w))
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    place = F.transform(tokens, lambda h: F.struct(F.pmod(h, F.lit(dim)).alias("at"), F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    return F.when(F.size(tokens) == 0, zeros).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(place, lambda p: p["at"] == k), F.lit(0.0), lambda s, p: s + p["sign"]))
-    )
+    """Signed feature hashing of the text's words: md5 sends a word to one of ``dim`` places and gives its sign."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept: dict[str, int] = {}
+        for tokens in batches:
+            if len(kept) > 500_000:
+                kept.clear()
+            yield pd.Series([None if t is None else _places(list(t), dim, kept) for t in tokens])
+
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(words(text))
 
 
 def embed_distinct(rows: DataFrame, text: str, known: DataFrame | None = None, embed=hash_embedding) -> DataFrame:
