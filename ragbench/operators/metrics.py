@@ -53,38 +53,36 @@ def rouge_l(samples: DataFrame) -> DataFrame:
     return lcs.select("id", _f1(F.col("k"), F.col("n"), F.col("m")).alias("rouge_l"))
 
 
-def _multiset_overlap(samples: DataFrame, items) -> DataFrame:
-    """(id, n_a, n_r, shared) by multiset counts of the items of answer and reference."""
-    base = samples.where("reference is not null and answer is not null").select("id", items(F.col("answer")).alias("a"), items(F.col("reference")).alias("r"))
-    a = base.select("id", F.explode("a").alias("x")).groupBy("id", "x").agg(F.count("*").alias("ca"))
-    r = base.select("id", F.explode("r").alias("x")).groupBy("id", "x").agg(F.count("*").alias("cr"))
-    both = a.hint("merge").join(r, ["id", "x"]).groupBy("id").agg(F.sum(F.least("ca", "cr")).alias("shared"))
-    return base.select("id", F.size("a").alias("n_a"), F.size("r").alias("n_r")).join(both, "id", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+def _shared(items: DataFrame) -> DataFrame:
+    """(key, n_a, n_r, shared) from (key, x, side): multiset counts of both sides and of what they share, in one shuffle."""
+    n = items.groupBy("key", "x").agg(F.count_if(F.col("side") == "a").alias("ca"), F.count_if(F.col("side") == "r").alias("cr"))
+    return n.groupBy("key").agg(F.sum("ca").alias("n_a"), F.sum("cr").alias("n_r"), F.sum(F.least("ca", "cr")).alias("shared"))
 
 
 def token_f1(samples: DataFrame) -> DataFrame:
     """Multiset F1 of normalised tokens."""
-    return _multiset_overlap(samples, pt_tokens).select("id", _f1(F.col("shared"), F.col("n_a"), F.col("n_r")).alias("token_f1"))
-
-
-def _grams(flat: Column, n: int) -> Column:
-    return F.when(F.length(flat) < n, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda i: flat.substr(i, F.lit(n)))
-    )
+    base = samples.where("reference is not null and answer is not null")
+    sides = [base.select(F.col("id").alias("key"), F.explode(pt_tokens(F.col(c))).alias("x"), F.lit(side).alias("side")) for c, side in (("answer", "a"), ("reference", "r"))]
+    score = _f1(F.col("shared"), F.col("n_a"), F.col("n_r"))
+    found = _shared(sides[0].unionByName(sides[1])).select(F.col("key").alias("id"), score.alias("token_f1"))
+    return base.select("id").join(found, "id", "left").withColumn("token_f1", F.coalesce("token_f1", F.lit(0.0)))
 
 
 def chrf(samples: DataFrame, order: int = 6, beta: float = 2.0) -> DataFrame:
     """Character n-gram F score (orders 1 to 6, white space removed): precision and recall averaged over orders that both texts have."""
-    flat = samples.select("id", *(F.regexp_replace(c, r"(?U)\s+", "").alias(c) for c in ("answer", "reference")))
-    parts = None
-    for n in range(1, order + 1):
-        one = _multiset_overlap(flat, lambda t, n=n: _grams(t, n))
-        parts = one if parts is None else parts.unionByName(one)
-    usable = parts.withColumn("ok", (F.col("n_a") > 0) & (F.col("n_r") > 0))
-    means = usable.groupBy("id").agg(F.avg(F.when(F.col("ok"), F.col("shared") / F.col("n_a"))).alias("p"), F.avg(F.when(F.col("ok"), F.col("shared") / F.col("n_r"))).alias("r"))
+    base = samples.where("reference is not null and answer is not null")
+    grams = None
+    for c, side in (("answer", "a"), ("reference", "r")):
+        flat = base.select("id", F.regexp_replace(c, r"(?U)\s+", "").alias("t"))
+        at = flat.select("id", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i")).where("length(t) > 0")
+        one = at.select("id", "t", "i", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")).where("i + n - 1 <= length(t)")
+        one = one.select(F.struct("id", "n").alias("key"), F.expr("substring(t, i, n)").alias("x"), F.lit(side).alias("side"))
+        grams = one if grams is None else grams.unionByName(one)
+    usable = _shared(grams).where("n_a > 0 and n_r > 0")
+    means = usable.groupBy("key.id").agg(F.avg(F.col("shared") / F.col("n_a")).alias("p"), F.avg(F.col("shared") / F.col("n_r")).alias("r"))
     b = beta * beta
-    score = F.when(F.coalesce(F.col("p") + F.col("r"), F.lit(0.0)) == 0, 0.0).otherwise((1 + b) * F.col("p") * F.col("r") / (b * F.col("p") + F.col("r")))
-    return means.select("id", score.alias("chrf"))
+    score = F.when(F.col("p") + F.col("r") == 0, 0.0).otherwise((1 + b) * F.col("p") * F.col("r") / (b * F.col("p") + F.col("r")))
+    return base.select("id").join(means, "id", "left").select("id", F.coalesce(score, F.lit(0.0)).alias("chrf"))
 
 
 def embedding_metrics(samples: DataFrame, known: DataFrame | None = None, embed=None) -> DataFrame:

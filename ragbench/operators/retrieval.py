@@ -136,8 +136,9 @@ def shared_shingles(left: DataFrame, right: DataFrame, size: int = 8) -> DataFra
     from ragbench.functions.text import normal_words
 
     def runs(rows: DataFrame, name: str) -> DataFrame:
-        t = F.split(normal_words(F.col("text")), " ")
-        at = F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1)))
-        return rows.where("text is not null").select(F.col("id").alias(name), F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(t, i, size), " ")))).alias("run"))
+        # The words are a column before the explode, so that they are split once for a text and not for each run.
+        t = rows.where("text is not null").select(F.col("id").alias(name), F.split(normal_words(F.col("text")), " ").alias("t"))
+        at = t.select(name, "t", F.explode(F.sequence(F.lit(1), F.greatest(F.size("t") - size + 1, F.lit(1)))).alias("i"))
+        return at.select(name, F.array_join(F.slice("t", F.col("i"), size), " ").alias("run")).distinct()
 
     return runs(left, "left_id").hint("merge").join(runs(right, "right_id"), "run").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
