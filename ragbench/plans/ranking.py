@@ -29,7 +29,7 @@ def combos(s, d):
 
 def r6(df, *columns):
     for c in columns:
-        df = df.withColumn(c, F.round(c, 6))
+        df = df.withColumn(c, F.round(c, 6) + F.lit(0.0))  # no negative zero
     return df
 
 
