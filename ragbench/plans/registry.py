@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("retrieval", "ranking", "analysis", "annotation")
+FAMILIES = ("retrieval", "ranking", "analysis", "annotation", "pipelines")
 
 
 def queries() -> dict:
