@@ -89,15 +89,16 @@ def marked(pages: DataFrame, page_id: str, url: str, payload: str, least_bytes:
     return joined.select("page_id", "url", F.when(lead.isNull(), F.col("data")).alias("data"), "size", "digest", lead.alias("lead"))
 
 
-def _bounds(rows: DataFrame, shard_bytes: int) -> np.ndarray:
-    """Keys at which a new shard begins, at about equal payload bytes; the same for equal tables."""
-    total = rows.agg(F.sum(F.octet_length("data")).alias("bytes"), F.count("*").alias("n")).first()
+def _bounds(pages: DataFrame, page_id: str, payload: str, shard_bytes: int) -> np.ndarray:
+    """Keys at which a new shard begins, at about equal payload bytes (repeated payloads included); the same for equal tables."""
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("size"))
+    total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     shards = max(1, -(-(total["bytes"] or 0) // shard_bytes))
     if shards == 1:
         return np.zeros(0, dtype=np.int64)
     rate = min(1_000_000, int(1e6 * SAMPLE_KEYS / total["n"]) + 1)
     sample = rows.where(F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < rate))
-    found = np.array(sorted((r[0], r[1] or 0) for r in sample.select("page_id", F.octet_length("data")).collect()), dtype=np.int64).reshape(-1, 2)
+    found = np.array(sorted((r[0], r[1]) for r in sample.select("page_id", "size").collect()), dtype=np.int64).reshape(-1, 2)
     if not len(found):
         return np.zeros(0, dtype=np.int64)
     upto = np.cumsum(found[:, 1] + 1)
@@ -121,8 +122,7 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
     """
     spark = pages.sparkSession
     rows = marked(pages, page_id, url, payload, least_bytes)
-    rows = stored(rows, "records")
-    bounds = _bounds(rows, shard_bytes)
+    bounds = _bounds(pages, page_id, payload, shard_bytes)
     work, final = f"{out}/_temporary", f"{out}/data"
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
