@@ -59,6 +59,11 @@ def _merged(pieces: list[str], size: int, overlap: int) -> list[str]:
     return out + (["".join(held)] if held else [])
 
 
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    columns = zip(*rows) if rows else ([], [], [])
+    return pd.DataFrame({n: pd.Series(list(c), dtype="object" if n == "text" else "int64") for n, c in zip(names, columns)})
+
+
 def split_recursive(text: str | None, size: int = 1000, overlap: int = 100, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
     return [x.strip() for x in _merged(_recurse(text or "", size, separators), size, overlap) if x.strip()]
 
@@ -68,9 +73,8 @@ def recursive(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, text in zip(batch["doc"], batch["text"]):
-                parts = split_recursive(text, size, overlap)
-                yield pd.DataFrame({"doc": [doc] * len(parts), "chunk_index": range(len(parts)), "text": parts}).astype({"chunk_index": "int32"})
+            rows = [(doc, i, part) for doc, text in zip(batch["doc"], batch["text"]) for i, part in enumerate(split_recursive(text, size, overlap))]
+            yield _frame(rows, ["doc", "chunk_index", "text"])
 
     return docs.select("doc", "text").mapInPandas(run, SCHEMA)
 
@@ -108,11 +112,13 @@ def markdown(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for doc, section, path, body in zip(batch["doc"], batch["section"], batch["path"], batch["body"]):
                 head = f"{path}\n\n" if path else ""
                 budget = max(size - len(head), size // 4)
                 parts = [body] if len(head) + len(body) <= size else split_recursive(body, budget, min(overlap, budget // 2))
-                yield pd.DataFrame({"doc": [doc] * len(parts), "at": [section * 1_000_000 + i for i in range(len(parts))], "text": [head + p for p in parts]})
+                rows += [(doc, section * 1_000_000 + i, head + p) for i, p in enumerate(parts)]
+            yield _frame(rows, ["doc", "at", "text"])
 
     return _indexed(markdown_sections(docs).select("doc", "section", "path", "body").mapInPandas(run, "doc long, at long, text string"), "at")
 
