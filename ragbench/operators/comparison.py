@@ -50,17 +50,25 @@ def without_common(means: DataFrame, baseline: str) -> DataFrame:
     return means.where(F.col("combo") != baseline).select("combo").distinct().join(common, "combo", "left_anti")
 
 
-def bootstrap_means(values: DataFrame, key: str, resamples: int, seed: int = 0) -> DataFrame:
+def bootstrap_means(values: DataFrame, key: str, resamples: int, seed: int = 0, block: int = 100) -> DataFrame:
     """(key, rep, mean): means of resamples with replacement; the drawn place is ((rep*7919 + pos*104729 + seed) % 1000003) % n.
 
-    The same draws can be made in any engine. Values are numbered within a key in the order of ``question``; the
-    rows to be joined are resamples times values, so values should be one for each question already.
+    The same draws can be made in any engine. A key's values (one for each question) are an array in the order of
+    ``question``; blocks of resamples are the unit of work, so one key with many values still uses many tasks.
     """
-    numbered = values.select(key, F.col("question").alias("q"), "diff").withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("q")) - 1)
-    sized = numbered.withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    draws = sized.select(key, "pos", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
-    draws = draws.select(key, "rep", (F.pmod(F.pmod(F.col("rep").cast("long") * 7919 + F.col("pos").cast("long") * 104729 + seed, F.lit(1000003)), F.col("n"))).cast("int").alias("pos"))
-    return draws.hint("merge").join(numbered.select(key, "pos", "diff"), [key, "pos"]).groupBy(key, "rep").agg(F.avg("diff").alias("mean"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("question", "diff"))), lambda x: x["diff"])
+    arrays = values.groupBy(key).agg(ordered.alias("v"))
+    blocks = arrays.select(key, "v", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(block))).alias("first")).repartition(F.col(key), F.col("first"))
+
+    def run(vs: pd.Series, firsts: pd.Series) -> pd.Series:
+        out = []
+        for v, first in zip(vs, firsts):
+            v, pos = np.asarray(v, dtype=float), np.arange(len(v), dtype=np.int64) * 104729 + seed
+            out.append([v[(rep * 7919 + pos) % 1000003 % len(v)].mean() for rep in range(first, min(first + block, resamples))])
+        return pd.Series(out)
+
+    means = blocks.select(key, "first", F.pandas_udf(run, T.ArrayType(T.DoubleType()))("v", "first").alias("m"))
+    return means.select(key, "first", F.posexplode("m").alias("i", "mean")).select(key, (F.col("first") + F.col("i")).alias("rep"), "mean")
 
 
 def percentile_interval(draws: DataFrame, key: str, resamples: int) -> DataFrame:
