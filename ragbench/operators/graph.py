@@ -208,3 +208,14 @@ def bridges_found(rows: DataFrame) -> DataFrame:
 def common_extractors(graphs: DataFrame, indexes: int) -> DataFrame:
     """Extractors whose graph all the chosen indexes have."""
     return graphs.groupBy("extractor").agg(F.countDistinct("index").alias("n")).where(F.col("n") == indexes).select("extractor")
+
+
+def current_graphs(graphs: DataFrame, fingerprints: DataFrame, prompt_version: str, graph_version: str) -> DataFrame:
+    """Graphs (index, extractor, fingerprint, prompt_version, graph_version) that still fit their index's chunks and both versions."""
+    live = graphs.where((F.col("prompt_version") == prompt_version) & (F.col("graph_version") == graph_version))
+    return live.join(fingerprints.select("index", "fingerprint"), ["index", "fingerprint"], "left_semi").select("index", "extractor")
+
+
+def to_build(wanted: DataFrame, current: DataFrame) -> DataFrame:
+    """(index, extractor) pairs without a current graph."""
+    return wanted.join(current, ["index", "extractor"], "left_anti")

@@ -86,3 +86,29 @@ def in_use(builds: DataFrame, experiments: DataFrame) -> DataFrame:
     uses = builds.select("base", F.lit(0).alias("k"), "id").unionByName(experiments.select("base", F.lit(1).alias("k"), "id"))
     first = uses.groupBy("base").agg(F.min(F.struct("k", "id")).alias("u"))
     return first.select("base", F.concat(F.when(F.col("u.k") == 0, "build ").otherwise("experiment "), F.col("u.id").cast("string")).alias("reason"))
+
+
+def derived_lists(combos: DataFrame, dims: list[str]) -> DataFrame:
+    """(dim, no, value): the distinct values of each dimension in the order in which the combinations name them."""
+    long = combos.select("no", F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("value")) for d in dims))).alias("x")).select("no", "x.*")
+    first = long.groupBy("dim", "value").agg(F.min("no").alias("at"))
+    return first.select("dim", F.row_number().over(Window.partitionBy("dim").orderBy("at", "value")).alias("no"), "value")
+
+
+def outcomes(attempts: DataFrame, most: int = 3) -> DataFrame:
+    """(combo, question, answer): the first good reply of up to ``most`` attempts (no, reply, error), else the last error as an error row."""
+    tried = attempts.where(F.col("no") <= most)
+    good = F.min(F.when(F.col("error").isNull(), F.struct("no", "reply")))["reply"]
+    bad = F.concat(F.lit("[ERRO: "), F.max(F.when(F.col("error").isNotNull(), F.struct("no", "error")))["error"], F.lit("]"))
+    return tried.groupBy("combo", "question").agg(F.coalesce(good, bad).alias("answer"))
+
+
+def active_builds(jobs: DataFrame) -> DataFrame:
+    """Unfinished build jobs, newest first."""
+    return jobs.where(F.col("status").isin("queued", "running")).orderBy(F.desc("created_at"), F.desc("id"))
+
+
+def prompt_snapshot(prompts: DataFrame, used: DataFrame, graph_techniques: tuple[str, ...] = ("graph", "graph_mix")) -> DataFrame:
+    """Prompts (technique, name, text) of the techniques used; graph techniques take the answer prompt of naive too."""
+    extra = used.where(F.col("technique").isin(*graph_techniques)).select(F.lit("naive").alias("technique"))
+    return prompts.join(used.select("technique").unionByName(extra).distinct(), "technique", "left_semi")

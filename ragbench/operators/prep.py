@@ -99,3 +99,28 @@ def sections(paragraphs: DataFrame, heading: str, article: str) -> DataFrame:
     rows = rows.where(~F.col("text").rlike(heading) & (F.col("article_no") > 0))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda x: x["text"]), "\n")
     return rows.groupBy("doc", "article_no").agg(F.min_by("heading", "para").alias("heading"), text.alias("text"))
+
+
+def guide_pairs(lines: DataFrame, page_number: str = r"\s(\d{1,4})$") -> DataFrame:
+    """(doc, agency, title, page) of a contents list: a line with a page number is an entry of the last line without one before it."""
+    w = Window.partitionBy("doc").orderBy("page", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("entry", F.col("line").rlike(page_number))
+    rows = rows.withColumn("agency", F.last(F.when(~F.col("entry"), F.col("line")), True).over(w))
+    return rows.where("entry and agency is not null").select("doc", "agency", F.regexp_replace("line", page_number, "").alias("title"), F.regexp_extract("line", page_number, 1).cast("int").alias("target"))
+
+
+def nearest_titles(wanted: DataFrame, titles: DataFrame, cutoff: float = 0.9) -> DataFrame:
+    """(id, title, nearest, ratio): the most alike title (title_id, name) of each wanted one (id, title), of at least ``cutoff``.
+
+    Candidates share a folded word; the ratio is the Indel ratio over 100. Ties go to the smaller name.
+    """
+    from ragbench.functions.similarity import indel_ratio
+    from ragbench.functions.text import fold, normal_words
+
+    def by_word(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("*", F.explode(F.array_distinct(F.split(normal_words(fold(F.col(name))), " "))).alias("word"))
+
+    near = by_word(wanted, "title").hint("merge").join(by_word(titles, "name"), "word").select("id", "title", "name").distinct()
+    scored = near.withColumn("ratio", indel_ratio(fold(F.col("title")), fold(F.col("name"))) / 100).where(F.col("ratio") >= cutoff)
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ratio"), "name"))
+    return scored.withColumn("n", first).where("n = 1").select("id", "title", F.col("name").alias("nearest"), "ratio")

@@ -169,3 +169,11 @@ def flatten_results(runs: DataFrame, results: DataFrame, profiles: DataFrame) ->
     """One row for each run and question with defaults for what old rows lack."""
     joined = results.join(runs, "run_id").join(profiles, ["experiment_id", "question"], "left")
     return joined.withColumn("question_type", F.coalesce("question_type", F.lit(QUESTION_TYPES[0]))).withColumn("llm", F.coalesce("llm", F.lit("gemini")))
+
+
+def pair_annotation_rows(notes: DataFrame, results: DataFrame) -> DataFrame:
+    """Pairwise export: one row for each unblinded note (question, annotator, winner, reasons) with both results' texts."""
+    text = results.select(F.col("result_id"), F.col("answer"))
+    one, two = text.select(F.col("result_id").alias("result_1"), F.col("answer").alias("answer_1")), text.select(F.col("result_id").alias("result_2"), F.col("answer").alias("answer_2"))
+    joined = notes.join(one, "result_1", "left").join(two, "result_2", "left")
+    return joined.select("question", csv_cell(F.col("annotator")).alias("annotator"), "winner", F.array_join("reasons", "|").alias("reasons"), csv_cell(F.col("answer_1")).alias("answer_1"), csv_cell(F.col("answer_2")).alias("answer_2"))
