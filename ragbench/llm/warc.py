@@ -78,15 +78,17 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def marked(pages: DataFrame, page_id: str, url: str, payload: str, least_bytes: int) -> DataFrame:
-    """page_id, url, data (null for revisits), size, digest (20 bytes), lead (the response's page_id for revisits)."""
+    """Page rows (kind 1), and for each (page_id, digest) that revisits another page a narrow row before them (kind 0) with ``lead``.
+
+    Both go through one shuffle to their shard, where the writer puts them together: payloads are never joined.
+    """
     data = F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), data.alias("data"))
     rows = rows.withColumn("size", F.octet_length("data").cast("long")).withColumn("digest", F.unhex(F.sha1("data")))
-    firsts = rows.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    firsts = stored(firsts, "firsts")
-    joined = rows.join(firsts.hint("merge"), ["digest", "size"], "left")
-    lead = F.when(F.col("lead") < F.col("page_id"), F.col("lead"))
-    return joined.select("page_id", "url", F.when(lead.isNull(), F.col("data")).alias("data"), "size", "digest", lead.alias("lead"))
+    narrow = rows.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "size", "digest")
+    firsts = narrow.groupBy("digest", "size").agg(F.min("page_id").alias("lead"), F.max("page_id").alias("last")).where("lead < last").drop("last")
+    marks = narrow.join(stored(firsts, "firsts").hint("merge"), ["digest", "size"]).where("lead < page_id").select("page_id", "digest", "lead").distinct()
+    return rows.withColumn("kind", F.lit(1)).unionByName(marks.withColumn("kind", F.lit(0)), allowMissingColumns=True)
 
 
 def _bounds(pages: DataFrame, page_id: str, payload: str, shard_bytes: int) -> np.ndarray:
@@ -128,6 +130,8 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         attempt, store = uuid.uuid4().hex, None
         shard, part, sink, digest, size, records = None, 0, None, None, 0, 0
+        whole = lambda x: None if pd.isna(x) else int(x)
+        mark: tuple = ()
         done: list[tuple] = []
 
         def close() -> None:
@@ -135,7 +139,11 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
             done.append((shard, part, f"shard-{shard:06d}-{part:05d}.warc.gz", f"{attempt}-{shard}-{part}", records, size, digest.hexdigest()))
 
         for batch in batches:
-            for s, p, u, data, n, d, lead in zip(*(batch[c] for c in ("shard", "page_id", "url", "data", "size", "digest", "lead"))):
+            for s, p, u, data, n, d, lead, kind in zip(*(batch[c] for c in ("shard", "page_id", "url", "data", "size", "digest", "lead", "kind"))):
+                if kind == 0:
+                    mark = (int(p), bytes(d), int(lead))
+                    continue
+                lead = mark[2] if mark[:2] == (whole(p), bytes(d)) else None
                 if sink is not None and (s != shard or size >= roll_bytes):
                     close()
                     part = part + 1 if s == shard else 0
@@ -147,8 +155,7 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
                     part = part if s == shard else 0
                     shard, digest, size, records = s, hashlib.sha256(), 0, 0
                     sink = store.open_output_stream(f"{root}/{attempt}-{shard}-{part}")
-                whole = lambda x: None if pd.isna(x) else int(x)
-                one = _member(record(whole(p), u, bytes(data) if data is not None else b"", int(n), base64.b32encode(bytes(d)).decode(), whole(lead)))
+                one = _member(record(whole(p), u, bytes(data), int(n), base64.b32encode(bytes(d)).decode(), lead))
                 sink.write(one)
                 digest.update(one)
                 size, records = size + len(one), records + 1
@@ -160,7 +167,7 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
         if done:
             yield pd.DataFrame(done, columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    sharded = rows.withColumn("shard", _shard(bounds)).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    sharded = rows.withColumn("shard", _shard(bounds)).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     written = stored(sharded.mapInPandas(write, MANIFEST), "manifest")
 
     def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
