@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragbench.llm.common import held_out
+from ragbench.llm.common import held_out, stored
 
 #: Interchangeable terms for groups of people.
 IDENTITY_GROUPS = (
@@ -36,6 +36,9 @@ IDENTITY_GROUPS = (
     ("deaf", "blind", "disabled", "autistic", "elderly", "young"),
 )
 MAX_TOXIC, MAX_CLEAN = 4000, 8000
+#: A feature of the model stands in LEAST_DF documents of the sample or more, is spread over the classes as chance
+#: does with a probability under CHANCE, and is among the MOST_TERMS surest ones.
+LEAST_DF, CHANCE, MOST_TERMS = 3, 5e-5, 500
 #: Bytes of a text that are letters (A-Z in lower case) or beyond ASCII; all others separate words.
 _NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(0x100))
 #: Bytes of the beginnings of words that are features.
@@ -63,35 +66,27 @@ def swaps_of(text: str | None) -> list[bytes]:
     return found
 
 
-def _tail(k: int, m: int, rate: float) -> float:
-    """Log of the probability of k or more successes in m draws (bounded by k or more times the largest term)."""
+def log_chance(k: int, m: int, rate: float, steps: np.ndarray) -> float:
+    """Log of the probability that chance alone puts a feature of m documents into k toxic ones, or further from ``rate``.
+
+    Exact binomial tail on the side where k lies; 0 where k is within a standard deviation. ``steps`` are the logs
+    of the factorials.
+    """
+    if abs(k - m * rate) <= np.sqrt(m * rate * (1 - rate)):
+        return 0.0
+    if k < m * rate:
+        k, rate = m - k, 1 - rate
     i = np.arange(k, m + 1)
-    steps = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, m + 1)))))
     terms = steps[m] - steps[i] - steps[m - i] + i * np.log(rate) + (m - i) * np.log1p(-rate)
     return float(terms.max() + np.log(np.exp(terms - terms.max()).sum()))
 
 
-def _select(samples: list[tuple[set[bytes], int]], least_df: int, most: int, chance: float = 5e-5) -> list[bytes]:
-    """Words that stand in more toxic (or more clean) documents than chance explains; ``most`` at most, the surest first."""
-    df, hits = Counter(), Counter()
-    for words, label in samples:
-        df.update(words)
-        if label:
-            hits.update(words)
-    rate = sum(label for _, label in samples) / len(samples)
-    frequent = [w for w in sorted(df) if df[w] >= least_df]
-    limit = np.log(chance)
-    found = []
-    for w in frequent:
-        k, m = hits[w], df[w]
-        p = _tail(k, m, rate) if k > m * rate else _tail(m - k, m, 1 - rate)
-        if p < limit:
-            found.append((p, w))
-    return [w for _, w in sorted(found)[:most]]
-
-
-def fit(samples: list[tuple[set[bytes], int]], swaps: Counter, least_df: int = 3, most: int = 500, l2: float = 0.1, swap_weight: float = 10.0, steps: int = 50) -> tuple[float, dict[bytes, float]]:
-    """Intercept and weights: Newton steps on logistic loss, an L2 penalty and the swap penalty.
+def log_factorials(n: int) -> np.ndarray:
+    return np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+
+
+def fit(samples: list[tuple[set[bytes], int]], swaps: Counter, terms: list[bytes], l2: float = 0.1, swap_weight: float = 10.0, steps: int = 50) -> tuple[float, dict[bytes, float]]:
+    """Intercept and weights of ``terms``: Newton steps on logistic loss, an L2 penalty and the swap penalty.
 
     ``swaps`` counts labelled sentences by identity term. A term's penalty is the mean over the other terms of its
     group of (w[term] - w[other])**2, weighted by that count: the squared change of the score when the term is
@@ -102,8 +97,6 @@ def fit(samples: list[tuple[set[bytes], int]], swaps: Counter, least_df: int = 3
     base = float(np.log((n1 + 1) / (n - n1 + 1)))
     if n1 == 0 or n1 == n:
         return base, {}
-    present = set().union(*(words for words, _ in samples)) & _GROUP_OF.keys()
-    terms = sorted(set(_select(samples, least_df, most)) | present)
     index = {w: k + 1 for k, w in enumerate(terms)}
     x = np.zeros((n, len(terms) + 1), dtype=np.float32)
     x[:, 0] = 1
@@ -142,17 +135,43 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     # At most max_toxic + max_clean narrow rows.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sample = stored(rows.select("toxic", "text"), "sample")
+    sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
+    n, n1 = sum(sizes.values()), sizes.get(1, 0)
+    terms: list[bytes] = []
+    if 0 < n1 < n:
+        steps, rate = log_factorials(n), n1 / n
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for at in range(0, len(batch), 500):
+                    df, hits = Counter(), Counter()
+                    for text, toxic in zip(batch["text"].iloc[at : at + 500], batch["toxic"].iloc[at : at + 500]):
+                        found = features_of(text)
+                        df.update(found)
+                        if toxic:
+                            hits.update(found)
+                    yield pd.DataFrame({"feature": list(df), "m": list(df.values()), "k": [hits[w] for w in df]})
+
+        def chance(k: pd.Series, m: pd.Series) -> pd.Series:
+            return pd.Series([log_chance(int(a), int(b), rate, steps) for a, b in zip(k, m)], dtype=float)
+
+        counts = sample.mapInPandas(count, "feature binary, m long, k long").groupBy("feature").agg(F.sum("m").alias("m"), F.sum("k").alias("k"))
+        odd = counts.where(F.col("m") >= LEAST_DF).withColumn("p", F.pandas_udf(chance, T.DoubleType())("k", "m")).where(F.col("p") < float(np.log(CHANCE)))
+        terms = [bytes(r[0]) for r in odd.orderBy("p", "feature").limit(MOST_TERMS).select("feature").collect()]
+    known = sorted(set(terms) | _GROUP_OF.keys())
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = set(known)
         for batch in batches:
             yield pd.DataFrame({
-                "id": batch["doc_id"].astype(str), "toxic": batch["toxic"],
-                "words": [b" ".join(sorted(features_of(t))) for t in batch["text"]], "swaps": [b" ".join(swaps_of(t)) for t in batch["text"]],
+                "toxic": batch["toxic"], "words": [b" ".join(sorted(wanted & features_of(t))) for t in batch["text"]], "swaps": [b" ".join(swaps_of(t)) for t in batch["text"]],
             })
 
-    found = rows.mapInPandas(features, "id string, toxic int, words binary, swaps binary").collect()
-    found.sort(key=lambda r: (r["id"], bytes(r["words"])))
-    swaps = Counter(w for r in found for w in bytes(r["swaps"]).split())
-    return fit([(set(bytes(r["words"]).split()), r["toxic"]) for r in found], swaps)
+    found = sample.mapInPandas(keep, "toxic int, words binary, swaps binary").collect()  # of each document the chosen features only
+    samples = sorted(((set(bytes(r["words"]).split()), r["toxic"]) for r in found), key=lambda x: (sorted(x[0]), x[1]))
+    present = set().union(*(w for w, _ in samples)) if samples else set()
+    return fit(samples, Counter(w for r in found for w in bytes(r["swaps"]).split()), sorted(present & set(known)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:

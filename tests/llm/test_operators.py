@@ -76,8 +76,9 @@ def test_counterfactual_penalty_evens_out_identity_terms():
     samples = [({b"idiot", b"muslim"} | {f"w{rng.randrange(50)}".encode() for _ in range(5)}, 1) for _ in range(60)]
     samples += [({b"christian"} | {f"w{rng.randrange(50)}".encode() for _ in range(5)}, 0) for _ in range(60)]
     swaps = Counter({b"muslim": 60, b"christian": 60})
-    _, free = toxicity.fit(samples, swaps, swap_weight=0.0)
-    _, tied = toxicity.fit(samples, swaps)
+    terms = [b"christian", b"idiot", b"muslim"]
+    _, free = toxicity.fit(samples, swaps, terms, swap_weight=0.0)
+    _, tied = toxicity.fit(samples, swaps, terms)
     gap = lambda w: abs(w[b"muslim"] - w[b"christian"])
     assert gap(tied) < 0.2 * gap(free) and tied[b"idiot"] > free[b"idiot"]
 
