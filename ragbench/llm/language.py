@@ -11,6 +11,7 @@ Training is backpropagation through time in numpy, on the driver, over a bounded
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -241,7 +242,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     if learned is None:
         return rows.select(*keep, F.col("_held").alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(learned)  # some 100 kB
-    key = f"{docs.sparkSession.sparkContext.applicationId}/{id(shared)}"
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pooler = _POOLERS.get(key)
