@@ -1,30 +1,34 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's stream is its documents in the order of a hash of their ids, cut into blocks of ``block_bytes``. The
-target weights are rounded to p[s]/period. Block j of source s is released at slot floor(j*period/p[s]) and due
-by slot ceil((j+1)*period/p[s]); the released block with the earliest deadline takes the next slot. At any slot
-each source is then less than one block away from its target, as the weights add up to 1.
-
-At multiples of the period every source has exactly its share, so the schedule repeats: it is worked out once for
-one period (a list of ``period`` slots, whatever the data), and the slot of every block follows by arithmetic. The
-documents themselves never meet in one place: offsets within a source come from sums over hash ranges.
+A source's stream is its documents in the order of a hash of their ids, cut into blocks of ``block_bytes``. With w[s]
+the exact share of source s (whole numbers over their sum, nothing rounded), block j of s is released at slot
+floor(j/w[s]) and due by slot ceil((j+1)/w[s]); the released block with the earliest deadline takes the next slot. At
+any slot, however late, each source that has not ended is then less than one block away from its target.
+
+The driver deals the slots, one step for each block, and writes them out in pieces, so that it holds one piece and one
+entry for each source. The documents themselves never meet in one place: offsets within a source come from sums over
+hash ranges, and each range reads the slots of its own blocks.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragbench.llm.common import stored
+from ragbench.llm.common import new_path, stored
 
+#: Of schedules in whole slots (``shares``); ``mix`` has no period.
 PERIOD = 1000
 BLOCK_BYTES = 16_384
-MAX_SOURCES = 10_000
 #: Hash ranges in each source's stream; a task handles some of them.
 RANGES = 4096
+#: Slots in a row of the slot table, and slots that the driver holds at once.
+PIECE, HELD = 1024, 500_000
 
 
 def shares(sizes: dict, target: dict | None, power: float, period: int) -> dict:
@@ -47,30 +51,76 @@ def shares(sizes: dict, target: dict | None, power: float, period: int) -> dict:
     return slots
 
 
-def schedule(slots: dict) -> list:
-    """The source of each slot in one period: earliest deadline first among the released blocks."""
-    period = sum(slots.values())
-    release = [(0, -(-period // p), str(s), s, 0) for s, p in slots.items()]
+def weights(sizes: dict, target: dict | None, power: float) -> dict:
+    """Whole numbers in the exact proportion of the ``target`` (read as decimals), or of the sizes to the power."""
+    exact = {s: Fraction(str(target[s] if target is not None else float(n) ** power)) for s, n in sizes.items() if n > 0}
+    if exact and min(exact.values()) <= 0:
+        raise ValueError("every source needs a positive weight")
+    whole = math.lcm(*(x.denominator for x in exact.values()))
+    numbers = {s: int(x * whole) for s, x in exact.items()}
+    common = math.gcd(*numbers.values())
+    return {s: n // common for s, n in numbers.items()}
+
+
+def slots_of(shares: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, block, slot) in the order of slots: earliest deadline first among the released blocks.
+
+    A source ends after its ``blocks``; a slot for which nothing is released stays empty.
+    """
+    total = sum(shares.values())
+    release = [(0, -(-total // p), str(s), s, 0) for s, p in shares.items()]
     heapq.heapify(release)
     ready: list = []
-    out = []
-    for t in range(period):
+    t = 0
+    while release or ready:
+        if not ready:
+            t = max(t, release[0][0])
         while release and release[0][0] <= t:
             r, d, name, s, j = heapq.heappop(release)
             # Ties: the block whose deadline overlaps the next release, then the heavier source, then the name.
-            heapq.heappush(ready, (d, -((j + 1) * period % slots[s] != 0), -slots[s], name, s, j))
+            heapq.heappush(ready, (d, -((j + 1) * total % shares[s] != 0), -shares[s], name, s, j))
         d, _, _, name, s, j = heapq.heappop(ready)
-        out.append(s)
-        if j + 1 < slots[s]:
-            heapq.heappush(release, ((j + 1) * period // slots[s], -(-(j + 2) * period // slots[s]), name, s, j + 1))
-    return out
+        yield s, j, t
+        t += 1
+        if j + 1 < blocks[s]:
+            heapq.heappush(release, ((j + 1) * total // shares[s], -(-(j + 2) * total // shares[s]), name, s, j + 1))
+
+
+def schedule(slots: dict) -> list:
+    """The source of each slot in a period of ``sum(slots.values())``."""
+    return [s for s, _, _ in slots_of(slots, slots)]
+
+
+def slot_table(spark: SparkSession, shares: dict, blocks: dict, source_type: str) -> DataFrame:
+    """(_t, _b, _slot): the slot of every block of every source, written by the driver in pieces."""
+    path, schema = new_path(spark, "slots"), f"_t {source_type}, _first long, _slots array<long>"
+    rows: list = []
+    lists: dict = {}
+    held = 0
+
+    def write() -> None:
+        spark.createDataFrame(rows + [(s, *x) for s, x in lists.items()], schema, verifySchema=False).write.mode("append").parquet(path)
+
+    for s, j, t in slots_of(shares, blocks):
+        if s not in lists:
+            lists[s] = (j, [])
+        lists[s][1].append(t)
+        held += 1
+        if len(lists[s][1]) == PIECE:
+            rows.append((s, *lists.pop(s)))
+        if held == HELD:
+            write()
+            rows, lists, held = [], {}, 0
+    write()
+    pieces = spark.read.schema(schema).parquet(path)
+    return pieces.select("_t", "_first", F.posexplode("_slots").alias("_i", "_slot")).select("_t", (F.col("_first") + F.col("_i")).alias("_b"), "_slot")
 
 
 def _order_key(doc_id: Column) -> Column:
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def mix(docs: DataFrame, target: dict | None = None, power: float = 0.7, text: str = "text", source: str = "source", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, target: dict | None = None, power: float = 0.7, text: str = "text", source: str = "source", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All rows and columns, with ``block`` (of the source), ``slot`` (of the mix) and ``place`` (in the source's stream).
 
     Ordered by (slot, place, the id's hash), the rows are the mix. Without ``target`` a source's weight is its
@@ -85,26 +135,21 @@ def mix(docs: DataFrame, target: dict | None = None, power: float = 0.7, text: s
     rows = docs.withColumn("_size", size).withColumn("_md5", _order_key(F.col(doc_id))).withColumn("_range", (F.conv(F.substring("_md5", 1, 4), 16, 10).cast("int") * RANGES / 65536).cast("int"))
     sums = stored(rows.groupBy(source, "_range").agg(F.sum("_size").alias("_sum")), "ranges")
     by_source = sums.groupBy(source).agg(F.sum("_sum").alias("n"))
-    found = by_source.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    slots = shares({r[0]: r[1] for r in found}, target, power, period)
-    pattern: dict = {s: [] for s in slots}
-    for t, s in enumerate(schedule(slots)):
-        pattern[s].append(t)
-    spark = docs.sparkSession
+    found = {r[0]: r[1] for r in by_source.collect()}
     source_type = docs.schema[source].dataType.simpleString()
-    plan = spark.createDataFrame([(s, v) for s, v in pattern.items()], f"_s {source_type}, _slots array<int>")  # period slots in all
-    # At most RANGES rows for each source.
-    offsets = sums.select(F.col(source).alias("_s"), F.col("_range").alias("_r"), (F.sum("_sum").over(Window.partitionBy(source).orderBy("_range")) - F.col("_sum")).alias("_offset"))
-    starts = stored(offsets.join(F.broadcast(plan), offsets["_s"].eqNullSafe(plan["_s"])).select(offsets["_s"], "_r", "_offset", "_slots"), "starts")
+    slots = slot_table(docs.sparkSession, weights(found, target, power), {s: -(-n // block_bytes) for s, n in found.items()}, source_type)
+    # At most RANGES rows for each source, each with the slots of the blocks that its bytes lie in.
+    offsets = sums.select(F.col(source).alias("_s"), F.col("_range").alias("_r"), (F.sum("_sum").over(Window.partitionBy(source).orderBy("_range")) - F.col("_sum")).alias("_offset"), "_sum")
+    first, last = F.floor(F.col("_offset") / block_bytes).cast("long"), F.floor((F.col("_offset") + F.col("_sum") - 1) / block_bytes).cast("long")
+    touched = offsets.select("_s", "_r", "_offset", first.alias("_first"), F.explode(F.sequence(first, last)).alias("_block"))
+    dealt = touched.join(slots.hint("shuffle_merge"), touched["_s"].eqNullSafe(slots["_t"]) & (touched["_block"] == slots["_b"]))
+    starts = stored(dealt.groupBy("_s", "_r", "_offset", "_first").agg(F.sort_array(F.collect_list("_slot")).alias("_slots")), "starts")
     inside = Window.partitionBy(source, "_range").orderBy("_md5", F.sha2(F.coalesce(text, F.lit("")), 256))
     placed = rows.withColumn("_before", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
     joined = placed.join(starts.hint("shuffle_merge"), placed[source].eqNullSafe(starts["_s"]) & (placed["_range"] == starts["_r"]))
     place = F.col("_offset") + F.col("_before")
     block = F.floor(place / block_bytes).cast("long")
-    n = F.size("_slots")
-    slot = F.floor(block / n).cast("long") * period + F.element_at("_slots", (block % n + 1).cast("int"))
+    slot = F.element_at("_slots", (block - F.col("_first") + 1).cast("int"))
     return joined.select(*(placed[c] for c in docs.columns), block.alias("block"), slot.alias("slot"), place.alias("place"))
 
 

@@ -189,6 +189,31 @@ def test_mixing_keeps_all_and_follows_targets(spark, docs):
             assert abs(r["block"] - r["slot"] * slots[r["source"]] / mixing.PERIOD) < 1 + 1e-9
 
 
+def test_slots_follow_exact_weights_over_many_periods():
+    for target in ({"a": 0.48523, "b": 0.51467, "c": 0.0001}, {f"d{i}": 1 + i % 7 / 3 for i in range(1500)}):
+        w = mixing.weights(dict.fromkeys(target, 1), target, 1.0)
+        blocks, total, sum_w = {s: 60_000 * x // sum(w.values()) + 1 for s, x in w.items()}, sum(target.values()), sum(w.values())
+        assert all(abs(w[s] / sum_w - target[s] / total) < 1e-12 for s in target)
+        end, taken = min(b * sum_w // w[s] for s, b in blocks.items()), set()
+        for s, j, t in mixing.slots_of(w, blocks):
+            assert t not in taken and j * sum_w // w[s] <= t < -(-(j + 1) * sum_w // w[s])
+            taken.add(t)
+        assert taken >= set(range(end)) and len(taken) == sum(blocks.values())
+
+
+def test_mixing_takes_more_sources_than_a_thousand_and_keeps_the_target(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id < 1500 THEN concat('d', id) WHEN id < 1510 THEN null ELSE concat('big', id % 2) END AS source", "repeat('x', 100) AS text")
+    rows = mixing.mix(docs, block_bytes=100).collect()
+    assert len(rows) == 6000 == len({r["slot"] for r in rows})
+    sizes = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + 100
+    total = sum(float(n) ** 0.7 for n in sizes.values())
+    for r in rows:
+        share = sizes[r["source"]] ** 0.7 / total
+        assert r["block"] / share - 1 < r["slot"] < (r["block"] + 1) / share + 1
+
+
 def test_mixing_rejects_bad_weights():
     with pytest.raises(ValueError):
         mixing.shares({"a": 1, "b": 1}, {"a": 1, "b": 0}, 1.0, 100)
