@@ -2,7 +2,8 @@
 
 A logistic model over the words of a text, and the beginnings of words (inflected and compound forms), whose
 spread over toxic and clean texts chance does not explain. In every labelled sentence that names an identity term, the term
-is swapped for each other term of its group, and the squared change of the score is penalised. Terms for groups of
+is swapped for each other term of its group, seen in the sample or not, and the squared change of the score (by the word
+and the beginnings of words that come and go with it) is penalised. Terms for groups of
 people so get nearly equal weights within a group whatever company they keep in the sample, and a neutral mention
 does not raise the score.
 
@@ -57,12 +58,23 @@ def features_of(text: str | None, sizes: Iterable[int] = PREFIXES) -> set[bytes]
     return words.union(*({b"^" + w[:k] for w in words if len(w) > k} for k in sizes))
 
 
+#: The features of all terms of each group.
+_FAMILIES = [set().union(*(features_of(term) for term in group)) for group in IDENTITY_GROUPS]
+
+
 def swaps_of(text: str | None) -> list[bytes]:
-    """The identity terms of a text, once for each sentence that holds them."""
+    """The identity terms of a text, once for each sentence that holds them.
+
+    After the term, set off by spaces, come the features of its group's terms that the sentence's other words have
+    too, as a swap does not change those.
+    """
     found: list[bytes] = []
     if not _GROUP_OF.keys().isdisjoint(words_of(text)):
         for sentence in _SENTENCE.split(text or ""):
-            found += sorted(_GROUP_OF.keys() & set(words_of(sentence)))
+            words = set(words_of(sentence))
+            for term in sorted(_GROUP_OF.keys() & words):
+                kept = features_of(b" ".join(words - {term}).decode("utf-8", "replace")) & _FAMILIES[_GROUP_OF[term]]
+                found.append(b" ".join([term, *sorted(kept)]))
     return found
 
 
@@ -88,9 +100,9 @@ def log_factorials(n: int) -> np.ndarray:
 def fit(samples: list[tuple[set[bytes], int]], swaps: Counter, terms: list[bytes], l2: float = 0.1, swap_weight: float = 10.0, steps: int = 50) -> tuple[float, dict[bytes, float]]:
     """Intercept and weights of ``terms``: Newton steps on logistic loss, an L2 penalty and the swap penalty.
 
-    ``swaps`` counts labelled sentences by identity term. A term's penalty is the mean over the other terms of its
-    group of (w[term] - w[other])**2, weighted by that count: the squared change of the score when the term is
-    swapped in its sentences. Without samples, or with one class only, the smoothed base rate is every score.
+    ``swaps`` counts labelled sentences by identity term (and kept features, see ``swaps_of``). The penalty is the
+    mean over all other terms of the group of the squared change of the score when the term is swapped, weighted by
+    that count: the features of the one go, those of the other come, and what is not in ``terms`` weighs nothing. Without samples, or with one class only, the smoothed base rate is every score.
     """
     y = np.array([label for _, label in samples], dtype=float)
     n, n1 = len(y), y.sum()
@@ -106,14 +118,14 @@ def fit(samples: list[tuple[set[bytes], int]], swaps: Counter, terms: list[bytes
     weight = np.where(y == 1, n / (2 * n1), n / (2 * (n - n1)))
     penalty = l2 * np.eye(len(terms) + 1)
     penalty[0, 0] = 1e-6
-    for group in IDENTITY_GROUPS:
-        held = [t.encode() for t in group if t.encode() in index]
-        for term in held:
-            for other in held:
-                if other != term:
-                    d = np.zeros(len(terms) + 1)
-                    d[index[term]], d[index[other]] = 1, -1
-                    penalty += swap_weight * swaps[term] / (len(held) - 1) * np.outer(d, d)
+    for swap, count in swaps.items():
+        term, *kept = swap.split()
+        group = [t for t in IDENTITY_GROUPS[_GROUP_OF[term]] if t.encode() != term]
+        for other in group:
+            gone, come = features_of(term.decode()) - set(kept), features_of(other) - set(kept)
+            at = [index[f] for f in sorted((gone ^ come) & index.keys())]
+            d = np.array([1.0 if f in gone else -1.0 for f in sorted((gone ^ come) & index.keys())])
+            penalty[np.ix_(at, at)] += swap_weight * count / len(group) * np.outer(d, d)
     w = np.zeros(len(terms) + 1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -165,13 +177,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         wanted = set(known)
         for batch in batches:
             yield pd.DataFrame({
-                "toxic": batch["toxic"], "words": [b" ".join(sorted(wanted & features_of(t))) for t in batch["text"]], "swaps": [b" ".join(swaps_of(t)) for t in batch["text"]],
+                "toxic": batch["toxic"], "words": [b" ".join(sorted(wanted & features_of(t))) for t in batch["text"]], "swaps": [b"\n".join(swaps_of(t)) for t in batch["text"]],
             })
 
     found = sample.mapInPandas(keep, "toxic int, words binary, swaps binary").collect()  # of each document the chosen features only
     samples = sorted(((set(bytes(r["words"]).split()), r["toxic"]) for r in found), key=lambda x: (sorted(x[0]), x[1]))
     present = set().union(*(w for w, _ in samples)) if samples else set()
-    return fit(samples, Counter(w for r in found for w in bytes(r["swaps"]).split()), sorted(present & set(known)))
+    return fit(samples, Counter(w for r in found for w in bytes(r["swaps"]).splitlines()), sorted(present & set(known)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:

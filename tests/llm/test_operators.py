@@ -83,6 +83,20 @@ def test_counterfactual_penalty_evens_out_identity_terms():
     assert gap(tied) < 0.2 * gap(free) and tied[b"idiot"] > free[b"idiot"]
 
 
+def test_swaps_do_not_change_scores_of_a_skewed_sample(spark):
+    rng = random.Random(3)
+    filler = lambda: " ".join(f"w{chr(97 + rng.randrange(26))}" for _ in range(6))
+    rows = [(i, f"{'idiot' if i % 3 else ''} muslim people {filler()}.", 1) for i in range(0, 150)]
+    rows += [(i, f"{'christian' if i % 2 else ''} people {filler()}.", 0) for i in range(150, 300)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    _, w = toxicity.learn(docs, labels)
+    score = lambda t: sum(w.get(f, 0.0) for f in toxicity.features_of(t))
+    for other in toxicity.IDENTITY_GROUPS[2]:
+        assert abs(score("a muslim walked home") - score(f"a {other} walked home")) < 0.15
+    assert w[b"idiot"] > 0.5
+    assert toxicity.swaps_of("A muslim, many muslims. Women!") == [b"muslim ^musl ^musli", b"muslims ^musl ^musli", b"women"]
+
+
 def test_language_gradients_and_accuracy(docs):
     model = language.ByteTagger(3, hidden=5, seed=3)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
