@@ -131,14 +131,20 @@ def parent_document(hits: DataFrame, chunks: DataFrame, window: int = 1) -> Data
 def shared_shingles(left: DataFrame, right: DataFrame, size: int = 8) -> DataFrame:
     """Blocking for fuzzy text joins: (left_id, right_id, shared) for texts that share a run of ``size`` words.
 
-    Both sides have id and text. Runs on the left are kept in full; on the right only those that the left has.
+    Both sides have id and text. Runs on the left are kept in full; on the right only those that the left has. A text
+    on the left with fewer words is one run of its own length, sought among the right's runs of that length.
     """
     from ragbench.functions.text import normal_words
 
-    def runs(rows: DataFrame, name: str) -> DataFrame:
+    def split(rows: DataFrame, name: str) -> DataFrame:
         # The words are a column before the explode, so that they are split once for a text and not for each run.
-        t = rows.where("text is not null").select(F.col("id").alias(name), F.split(normal_words(F.col("text")), " ").alias("t"))
-        at = t.select(name, "t", F.explode(F.sequence(F.lit(1), F.greatest(F.size("t") - size + 1, F.lit(1)))).alias("i"))
-        return at.select(name, F.array_join(F.slice("t", F.col("i"), size), " ").alias("run")).distinct()
+        return rows.where("text is not null").select(F.col("id").alias(name), F.split(normal_words(F.col("text")), " ").alias("t"))
 
-    return runs(left, "left_id").hint("merge").join(runs(right, "right_id"), "run").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+    def runs(t: DataFrame, name: str) -> DataFrame:
+        at = t.where(F.size("t") >= F.col("n")).select(name, "t", "n", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1)).alias("i"))
+        return at.select(name, F.array_join(F.slice("t", F.col("i"), F.col("n")), " ").alias("run")).distinct()
+
+    sought = split(left, "left_id").withColumn("n", F.least(F.size("t"), F.lit(size)))
+    lengths = sorted(r[0] for r in sought.select("n").distinct().collect())  # at most ``size`` rows
+    held = split(right, "right_id").withColumn("n", F.explode(F.array(*map(F.lit, lengths or [size]))))
+    return runs(sought, "left_id").hint("merge").join(runs(held, "right_id"), "run").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))

@@ -104,15 +104,18 @@ def _evidence(s, d):
 
 
 def _contexts(s, d):
-    """For each question the five chunks that share most runs of eight words with it."""
+    """For each question the five chunks that share most runs of eight words with it.
+
+    A chunk is known by the pair (doc, chunk_index); chunk_id is only its name in the result.
+    """
     from pyspark.sql import Window
 
-    c = chunking.fixed(f.docs(s, d)).select((F.col("doc") * 1000 + F.col("chunk_index")).alias("id"), "text")
+    c = chunking.fixed(f.docs(s, d)).select(F.struct("doc", "chunk_index").alias("id"), "text")
     q = f.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     near = retrieval.shared_shingles(q, c)
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("shared"), "right_id"))
     near = near.withColumn("rank", rank).where("rank <= 5")
-    return near.join(c, near["right_id"] == c["id"]).select(F.col("left_id").alias("qid"), "rank", F.col("right_id").alias("chunk_id"), "text")
+    return near.join(c, near["right_id"] == c["id"]).select(F.col("left_id").alias("qid"), "rank", (F.col("right_id.doc") * 1000 + F.col("right_id.chunk_index")).alias("chunk_id"), "text")
 
 
 def _runs(source: str, key: str, name: str) -> str:

@@ -240,3 +240,24 @@ def test_pair_summary_matches_closed_forms(spark):
     got = {r["annotator"]: r for r in annotation.pair_summary(notes).collect()}
     p = 2 * sum(math.comb(9, i) for i in range(3)) / 2**9
     assert abs(got["a"]["p"] - p) < 1e-9 and got["b"]["p"] is None and got[None]["ties"] == 2
+
+
+def test_short_texts_are_found_inside_longer_ones(spark):
+    left = spark.createDataFrame([(1, "quick brown fox jumps over"), (2, "fox"), (3, "one two three four five six seven eight nine"), (4, "absent words")], "id long, text string")
+    right = spark.createDataFrame([(10, "The quick brown fox jumps over the lazy dog again"), (11, "zero one two three four five six seven eight nine"), (12, "fox"), (13, None)], "id long, text string")
+    got = sorted(tuple(r) for r in retrieval.shared_shingles(left, right).collect())
+    assert got == [(1, 10, 1), (2, 10, 1), (2, 12, 1), (3, 11, 2)]
+    assert retrieval.shared_shingles(left.limit(0), right).count() == 0
+
+
+def test_chunks_of_long_texts_are_not_taken_for_those_of_the_next(spark, tmp_path):
+    import __spark_entry__
+
+    passage = "a passage of more than eight words that stands in two of the documents"
+    rows = [(1, "x" * 900_200 + " " + passage + " " + "y" * 5000, "en"), (2, passage, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage), (8, "stands in two")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = __spark_entry__.queries()["v7_shared_runs"](spark, str(tmp_path)).collect()
+    # The passage is in chunk 1,000 of the first document and in chunk 0 of the second.
+    for qid in (7, 8):
+        assert sorted(r["rank"] for r in got if r["qid"] == qid) == [1, 2]
