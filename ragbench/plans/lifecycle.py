@@ -137,13 +137,23 @@ n AS (SELECT *, row_number() OVER (PARTITION BY user_id, streak ORDER BY ts, eve
 
 
 def streak_alerts(s, d):
-    """The streaming job over the events' file, drained once."""
-    import tempfile
+    """The streaming job over the events' table (a file or a folder of part files), drained once.
 
-    schema = f.table(s, d, "events").schema
-    name = "streaks_" + next(tempfile._get_candidate_names())
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    Alerts are written as Parquet beside the stream's checkpoint in the folder that ``spark.checkpoint.dir`` names.
+    """
+    import tempfile
+    import uuid
+
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    place = f"{base.rstrip('/')}/streaks-{uuid.uuid4().hex}"
+    # As a pattern, since a stream takes a plain path for a folder.
+    stream = s.readStream.schema(f.table(s, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parque[t]")
     timed = stream.select(F.col("user_id").alias("experiment"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
-    query = jobs.failure_streaks(timed, 2).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(600)
-    return s.table(name)
+    alerts = jobs.failure_streaks(timed, 2)
+    query = alerts.writeStream.format("parquet").option("path", f"{place}/alerts").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.read.schema(alerts.schema).parquet(f"{place}/alerts")

@@ -261,3 +261,12 @@ def test_chunks_of_long_texts_are_not_taken_for_those_of_the_next(spark, tmp_pat
     # The passage is in chunk 1,000 of the first document and in chunk 0 of the second.
     for qid in (7, 8):
         assert sorted(r["rank"] for r in got if r["qid"] == qid) == [1, 2]
+
+
+def test_streak_alerts_read_a_folder_of_part_files(spark, tmp_path):
+    import __spark_entry__
+
+    query, sf = __spark_entry__.queries()["w2_streak_alerts"], "/root/testdata/sf0.001"
+    spark.read.parquet(f"{sf}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted(tuple(r) for r in query(spark, sf).collect())
+    assert want and sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == want
