@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,22 +144,30 @@ def kappa(pairs: DataFrame, by: list[str], weights: str = "none") -> DataFrame:
     return s.select(*by, F.when(F.col("e") > 0, 1 - F.col("o") / F.col("e")).alias("kappa"))
 
 
-def bootstrap_kappa(pairs: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
-    """One row (low, high): kappa over resampled units by the drawing rule of paired comparisons; undefined resamples are skipped.
+def bootstrap_kappa(pairs: DataFrame, by: list[str] | None = None, weights: str = "none", resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """(low, high) by ``by``: kappa over resamples of the units with replacement; undefined resamples are skipped.
 
-    Bounds are the sorted values at int(.025 n) and min(n - 1, int(.975 n)). Units are counted by (x, y) only after
-    the draw, so the rows joined are resamples times units: use it on samples.
+    Units of equal scores are alike, so a resample is a multinomial draw over the cells of the confusion table: the
+    units are counted on the executors, and only the cells (scores by scores) of a group meet in one place. Bounds are
+    the sorted values at int(.025 n) and min(n - 1, int(.975 n)).
     """
-    units = pairs.where("x is not null and y is not null").select("item", "x", "y").withColumn("pos", F.row_number().over(Window.orderBy("item")) - 1)
-    n = units.count()
-    if n == 0:
-        return units.select(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high")).limit(0)
-    draws = units.select("pos", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("rep"))
-    draws = draws.select("rep", F.pmod(F.pmod(F.col("rep").cast("long") * 7919 + F.col("pos").cast("long") * 104729 + seed, F.lit(1000003)), F.lit(n)).cast("int").alias("pos"))
-    k = kappa(draws.hint("merge").join(units, "pos"), ["rep"]).where("kappa is not null")
-    s = k.agg(F.sort_array(F.collect_list(F.round("kappa", 9))).alias("v"))  # one value for each resample
-    at = lambda q: F.get("v", q)
-    return s.select(at(F.floor(F.size("v") * 0.025).cast("int")).alias("low"), at(F.least(F.size("v") - 1, F.floor(F.size("v") * 0.975).cast("int"))).alias("high"))
+    by = by or []
+    cells = confusion(pairs, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "y", "n"))).alias("cells"))
+
+    def bounds(groups: pd.Series) -> pd.DataFrame:
+        out = []
+        for group in groups:
+            x, y, n = (np.array([c[k] for c in group], dtype=float) for k in ("x", "y", "n"))
+            values, gap = np.union1d(x, y), lambda a, b: {"none": (a != b) * 1.0, "linear": abs(a - b), "quadratic": (a - b) ** 2}[weights]
+            share = np.random.default_rng(seed).multinomial(int(n.sum()), n / n.sum(), resamples) / n.sum()
+            rows, columns = share @ (x[:, None] == values), share @ (y[:, None] == values)
+            expected = ((rows @ gap(values[:, None], values)) * columns).sum(1)
+            observed = share @ gap(x, y)
+            k = np.sort(1 - observed[expected > 0] / expected[expected > 0])
+            out.append((k[int(0.025 * len(k))], k[min(len(k) - 1, int(0.975 * len(k)))]) if len(k) else (None, None))
+        return pd.DataFrame(out, columns=["low", "high"], dtype=float)
+
+    return cells.select(*by, F.pandas_udf(bounds, "low double, high double")("cells").alias("b")).select(*by, "b.low", "b.high")
 
 
 def final_notes(notes: DataFrame, decisions: DataFrame, items: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def paired_differences(means: DataFrame, baseline: str) -> DataFrame:
     """(combo, base, question, question_type, diff) against the baseline on common questions of the same base; types are the baseline's."""
     b = means.where(F.col("combo") == baseline).select("base", "question", F.col("value").alias("bv"), F.col("question_type").alias("bt"))
     other = means.where(F.col("combo") != baseline).select("combo", "base", "question", "value")
-    return other.join(b, ["base", "question"]).select("combo", "base", "question", F.col("bt").alias("question_type"), (F.col("value") - F.col("bv")).alias("diff"))
+    return other.join(b.hint("merge"), ["base", "question"]).select("combo", "base", "question", F.col("bt").alias("question_type"), (F.col("value") - F.col("bv")).alias("diff"))
 
 
 def compare(means: DataFrame, baseline: str) -> DataFrame:
@@ -47,28 +47,77 @@ def compare(means: DataFrame, baseline: str) -> DataFrame:
 def without_common(means: DataFrame, baseline: str) -> DataFrame:
     """Items of the baseline's base that share no question with it."""
     common = paired_differences(means, baseline).select("combo").distinct()
-    return means.where(F.col("combo") != baseline).select("combo").distinct().join(common, "combo", "left_anti")
+    return _others(means, baseline, "left_semi").select("combo").distinct().join(common.hint("shuffle_hash"), "combo", "left_anti")
 
 
-def bootstrap_means(values: DataFrame, key: str, resamples: int, seed: int = 0, block: int = 100) -> DataFrame:
-    """(key, rep, mean): means of resamples with replacement; the drawn place is ((rep*7919 + pos*104729 + seed) % 1000003) % n.
+def _others(means: DataFrame, baseline: str, how: str) -> DataFrame:
+    """Rows of the other items in the baseline's bases (``left_semi``) or outside them (``left_anti``)."""
+    bases = means.where(F.col("combo") == baseline).select("base").distinct()
+    return means.where(F.col("combo") != baseline).join(bases.hint("shuffle_hash"), "base", how)
 
-    The same draws can be made in any engine. A key's values (one for each question) are an array in the order of
-    ``question``; blocks of resamples are the unit of work, so one key with many values still uses many tasks.
-    """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("question", "diff"))), lambda x: x["diff"])
-    arrays = values.groupBy(key).agg(ordered.alias("v"))
-    blocks = arrays.select(key, "v", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(block))).alias("first")).repartition(F.col(key), F.col("first"))
 
-    def run(vs: pd.Series, firsts: pd.Series) -> pd.Series:
+def other_bases(means: DataFrame, baseline: str) -> DataFrame:
+    """Items of other bases, never paired: questions and mean of each."""
+    return _others(means, baseline, "left_anti").groupBy("combo").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
+def other_base_intervals(means: DataFrame, baseline: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """:func:`other_bases` with the interval of each mean."""
+    values = _others(means, baseline, "left_anti").select("combo", F.col("value").alias("diff"))
+    found = percentile_interval(bootstrap_means(values, "combo", resamples, seed), "combo", resamples)
+    return other_bases(means, baseline).join(found.hint("merge"), "combo", "left").select("combo", "n", "mean", "low", "high")
+
+
+def compare_intervals(means: DataFrame, baseline: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """:func:`compare` with the interval of each difference, in all and by question type."""
+    d = paired_differences(means, baseline)
+    values = d.select("combo", F.explode(F.array(F.lit("all"), "question_type")).alias("scope"), "diff").select(F.struct("combo", "scope").alias("item"), "diff")
+    found = percentile_interval(bootstrap_means(values, "item", resamples, seed), "item", resamples).select("item.combo", "item.scope", "low", "high", "significant")
+    return compare(means, baseline).join(found.hint("merge"), ["combo", "scope"], "left")
+
+
+#: Distinct values of a key in one task, and the rows of a distinct value from which counts are drawn, not places.
+SHARD, PLAIN = 65_536, 20
+
+
+def bootstrap_means(values: DataFrame, key: str, resamples: int = 10_000, seed: int = 0, block: int = 500, shard: int = SHARD) -> DataFrame:
+    """(key, rep, mean): means of resamples with replacement of a key's values (column ``diff``), each of as many values.
+
+    How often each distinct value is drawn is multinomial, so equal values are counted before any draw and a resample
+    costs one binomial for each distinct value, however many rows it stands for. A key's distinct values are dealt to
+    shards: the shards' totals are drawn first (every shard of a block draws the same ones, by the seed), then each
+    shard's own counts. Blocks of resamples and shards are the unit of work, so no key is bound to one task.
+    """
+    counted = values.where("diff is not null").groupBy(key, F.round("diff", 12).alias("diff")).agg(F.count("*").alias("c"))
+    sizes = counted.groupBy(key).agg(F.ceil(F.count("*") / shard).alias("k"))
+    dealt = counted.join(sizes.hint("merge"), key).groupBy(key, F.pmod(F.xxhash64("diff"), F.col("k")).alias("part"))
+    parts = dealt.agg(F.sum("c").alias("m"), F.array_sort(F.collect_list(F.struct("diff", "c"))).alias("v"))
+    totals = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("part", "m"))).alias("parts"))  # one entry for each shard
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(block))).alias("first")
+    # The number is given, as adaptive execution would put these few small rows, each with much work, into one task.
+    tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), values.sparkSession.sparkContext.defaultParallelism)
+    work = parts.join(totals.hint("merge"), key).select(key, "part", "v", "parts", firsts).repartition(4 * tasks, F.col(key), F.col("part"), F.col("first"))
+
+    def run(keys: pd.Series, part: pd.Series, parts_: pd.Series, diffs: pd.Series, counts: pd.Series, firsts_: pd.Series) -> pd.Series:
         out = []
-        for v, first in zip(vs, firsts):
-            v, pos = np.asarray(v, dtype=float), np.arange(len(v), dtype=np.int64) * 104729 + seed
-            out.append([v[(rep * 7919 + pos) % 1000003 % len(v)].mean() for rep in range(first, min(first + block, resamples))])
+        for k, p, shards, v, c, first in zip(keys, part, parts_, diffs, counts, firsts_):
+            reps, sizes_ = min(block, resamples - first), np.array([x["m"] for x in shards], dtype=np.int64)
+            start = [seed, k % 2**63, first]
+            drawn = np.random.default_rng(start).multinomial(sizes_.sum(), sizes_ / sizes_.sum(), reps)
+            own = drawn[:, [x["part"] for x in shards].index(p)]
+            rng, v, c = np.random.default_rng([*start, p + 1]), np.asarray(v, dtype=float), np.asarray(c)
+            if c.sum() < PLAIN * len(c):  # few equal values: places cost less than counts
+                each = np.repeat(v, c)
+                sums = np.array([each[rng.integers(0, len(each), k)].sum() for k in own])
+            else:
+                sums = rng.multinomial(own, c / c.sum()) @ v
+            out.append(sums / sizes_.sum())
         return pd.Series(out)
 
-    means = blocks.select(key, "first", F.pandas_udf(run, T.ArrayType(T.DoubleType()))("v", "first").alias("m"))
-    return means.select(key, "first", F.posexplode("m").alias("i", "mean")).select(key, (F.col("first") + F.col("i")).alias("rep"), "mean")
+    field = lambda name: F.transform("v", lambda x: x[name])
+    sums = work.select(key, "first", F.pandas_udf(run, T.ArrayType(T.DoubleType()))(F.xxhash64(key), "part", "parts", field("diff"), field("c"), "first").alias("s"))
+    flat = sums.select(key, "first", F.posexplode("s").alias("i", "share"))
+    return flat.groupBy(key, (F.col("first") + F.col("i")).alias("rep")).agg(F.round(F.sum("share"), 9).alias("mean"))
 
 
 def percentile_interval(draws: DataFrame, key: str, resamples: int) -> DataFrame:
@@ -100,32 +149,17 @@ def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> Data
 
 
 def chi2_tail(x: float, df: int) -> float:
-    """Upper tail of chi-squared: series below df + 2, continued fraction above."""
+    """Upper tail of chi-squared for a whole number of degrees of freedom, as a finite sum.
+
+    Even: the probability of fewer than df/2 events of a Poisson law with mean x/2. Odd: erfc(sqrt(x/2)) and the terms
+    (x/2)**(j - 1/2) exp(-x/2) / gamma(j + 1/2) for j = 1 .. (df - 1)/2.
+    """
     if x <= 0:
         return 1.0
-    a, y = df / 2, x / 2
-    front = math.exp(-y + a * math.log(y) - math.lgamma(a))
-    if y < a + 1:
-        term = total = 1 / a
-        k = a
-        while abs(term) > abs(total) * 1e-16:
-            k += 1
-            term *= y / k
-            total += term
-        return 1 - total * front
-    tiny = 1e-300
-    b = y + 1 - a
-    c, d = 1 / tiny, 1 / b
-    h = d
-    for i in range(1, 10_000):
-        step = -i * (i - a)
-        b += 2
-        d = 1 / (step * d + b or tiny)
-        c = b + step / c or tiny
-        h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return front * h
+    half, odd = x / 2, df % 2
+    powers = [j + odd / 2 for j in range(df // 2)]
+    terms = [math.exp(a * math.log(half) - half - math.lgamma(a + 1)) for a in powers]
+    return math.fsum(terms) + (math.erfc(math.sqrt(half)) if odd else 0.0)
 
 
 def friedman(means: DataFrame, items: list[str]) -> DataFrame:

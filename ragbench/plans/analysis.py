@@ -30,36 +30,51 @@ def means(s, d):
     return cmp.question_scores(scores(s, d)).where("metric = 'chrf'")
 
 
-def kinds(s, d):
-    """Differences by item and question type, one for each question of both bases."""
-    x = cmp.paired_differences(means(s, d), BASE)
-    return x.select(F.concat_ws("|", "combo", "question_type").alias("item"), (F.col("question") * 2 + F.col("base")).alias("question"), "diff")
-
-
 add("k1_question_scores", lambda s, d: r6(cmp.question_scores(scores(s, d)), "value"), f"{_K} SELECT combo, base, question, metric, round(value, 6) AS value, question_type FROM k")
 add("k2_requested_items", lambda s, d: cmp.requested(f.results(s, d).select(F.regexp_replace("combo", "llmF$", "llmX").alias("combo")).distinct(), f.results(s, d)),
     f"WITH {f.RESULT_SQL}, q AS (SELECT DISTINCT regexp_replace(combo, 'llmF$', 'llmX') AS combo FROM r) SELECT combo, CASE WHEN combo NOT IN (SELECT combo FROM r) THEN 'unknown run' END AS reason FROM q")
-add("k3_default_metric", lambda s, d: cmp.default_metric(scores(s, d), ("answer_correctness", "token_f1")), f"{_K} SELECT combo, 'token_f1' AS metric FROM s GROUP BY combo")
+def some_metrics(s, d):
+    """Results without token_f1 in the combinations of llmF and without context_hit in closed_book ones."""
+    return scores(s, d).where("not (metric = 'token_f1' and llm = 'llmF') and not (metric in ('context_hit', 'chrf') and rag = 'closed_book')")
+
+
+_SOME = "sm AS (SELECT * FROM s WHERE NOT (metric = 'token_f1' AND llm = 'llmF') AND NOT (metric IN ('context_hit', 'chrf') AND rag = 'closed_book'))"
+_PICK = "{sql} SELECT combo, CASE {whens} ELSE min(metric) END AS metric FROM sm GROUP BY combo"
+
+
+def picked(*names):
+    return _PICK.format(sql=f"{_K}, {_SOME}", whens=" ".join(f"WHEN bool_or(metric = '{m}') THEN '{m}'" for m in names))
+
+
+add("k3_default_metric", lambda s, d: cmp.default_metric(some_metrics(s, d), ("answer_correctness", "token_f1")), picked("answer_correctness", "token_f1"))
 add("k4_paired_differences", lambda s, d: r6(cmp.paired_differences(means(s, d), BASE), "diff"), f"{_D} SELECT combo, base, question, question_type, round(diff, 6) + 0 AS diff FROM df")
 add("k4_k6_compare", lambda s, d: r6(cmp.compare(means(s, d), BASE), "mean_diff"), f"{_D} SELECT combo, coalesce(question_type, 'all') AS scope, count(*) AS n, round(avg(diff), 6) AS mean_diff FROM df GROUP BY GROUPING SETS ((combo), (combo, question_type))")
-add("k4_without_common", lambda s, d: cmp.without_common(means(s, d), BASE), f"{_D} SELECT DISTINCT combo FROM c WHERE combo <> '{BASE}' AND combo NOT IN (SELECT combo FROM df)")
-_R = 400
-add(
-    "k5_bootstrap_interval", lambda s, d: r6(cmp.percentile_interval(cmp.bootstrap_means(kinds(s, d), "item", _R).withColumn("mean", F.round("mean", 9)), "item", _R), "low", "high"),
-    f"""{_D}, v AS (SELECT concat_ws('|', combo, question_type) AS item, question * 2 + base AS q, diff FROM df),
-n AS (SELECT item, diff, row_number() OVER (PARTITION BY item ORDER BY q) - 1 AS pos, count(*) OVER (PARTITION BY item) AS n FROM v),
-dr AS (SELECT item, rep, ((rep * 7919 + pos * 104729) % 1000003) % n AS pos FROM n, range({_R}) t(rep)),
-b AS (SELECT dr.item, rep, round(avg(diff), 9) AS mean FROM dr JOIN n USING (item, pos) GROUP BY ALL),
-o AS (SELECT item, mean, row_number() OVER (PARTITION BY item ORDER BY mean) - 1 AS i FROM b)
-SELECT item, round(min(mean), 6) AS low, round(max(mean), 6) AS high, min(mean) > 0 OR max(mean) < 0 AS significant FROM o WHERE i IN ({int(0.025 * _R)}, {int(0.975 * _R) - 1}) GROUP BY item""",
-)
+def apart(s, d):
+    """Every combination answers the questions of its own third, but for one that answers all."""
+    x = means(s, d)
+    return x.where((F.col("combo") == "oracle/retA/llmF") | (F.col("question") % 3 == F.length("combo") % 3))
+
+
+add("k4_without_common", lambda s, d: cmp.without_common(apart(s, d), BASE),
+    f"{_K}, y AS (SELECT * FROM c WHERE combo = 'oracle/retA/llmF' OR question % 3 = length(combo) % 3) SELECT DISTINCT combo FROM y WHERE combo <> '{BASE}' AND combo NOT IN (SELECT o.combo FROM y o JOIN y b USING (base, question) WHERE b.combo = '{BASE}')")
+# Random draws are not SQL; tests hold the intervals against plain resampling.
+add("k5_bootstrap_interval", lambda s, d: r6(cmp.compare_intervals(means(s, d), BASE), "mean_diff", "low", "high"))
+
+
+def placed(s, d):
+    """Items are combinations of one base, so that the baseline's base has others beside it."""
+    return means(s, d).withColumn("combo", F.concat_ws("@", "combo", "base"))
+
+
+_AT = f"{_K}, ca AS (SELECT combo || '@' || base AS combo, base, question, question_type, value FROM c)"
+add("k4_other_bases", lambda s, d: r6(cmp.other_bases(placed(s, d), BASE + "@0"), "mean"), f"{_AT} SELECT combo, count(*) AS n, round(avg(value), 6) AS mean FROM ca WHERE base <> 0 GROUP BY combo")
 _ITEMS = ["naive/retN/llmO", "oracle/retN/llmO", "closed_book/retN/llmO"]
 add(
-    "k7_k8_friedman", lambda s, d: r6(cmp.friedman(means(s, d).withColumn("value", F.round("value", 9)), _ITEMS), "chi2", "p").drop("p"),
+    "k7_k8_friedman", lambda s, d: r6(cmp.friedman(means(s, d).withColumn("value", F.round("value", 9)), _ITEMS), "chi2", "p"),
     f"""{_K}, x AS (SELECT *, count(*) OVER (PARTITION BY base, question) AS cc FROM (SELECT combo, base, question, round(value, 9) AS value FROM c WHERE combo IN ({', '.join(repr(i) for i in _ITEMS)}))),
 y AS (SELECT combo, rank() OVER (PARTITION BY base, question ORDER BY value) + (count(*) OVER (PARTITION BY base, question, value) - 1) / 2 AS rk FROM x WHERE cc = 3),
 z AS (SELECT combo, sum(rk) AS sm, count(*) AS n FROM y GROUP BY combo)
-SELECT any_value(n) AS questions, round(12 / (any_value(n) * 3 * 4) * sum(sm * sm) - 3 * any_value(n) * 4, 6) AS chi2, 2 AS df FROM z""",
+SELECT any_value(n) AS questions, round(12 / (any_value(n) * 3 * 4) * sum(sm * sm) - 3 * any_value(n) * 4, 6) AS chi2, 2 AS df, round(exp(-(12 / (any_value(n) * 3 * 4) * sum(sm * sm) - 3 * any_value(n) * 4) / 2), 6) AS p FROM z""",
 )
 
 _PLAIN = {n: p.replace(r"\b(", r"(?:^|[^\p{L}\p{N}_])(").replace(r")\b", r")(?:$|[^\p{L}\p{N}_])").replace(r"^\W*(", r"^[^\p{L}\p{N}_]*(") for n, p in sig.PATTERNS.items()}
@@ -137,7 +152,7 @@ add(
     "i18_by_hit", lambda s, d: r6(sig.by_hit(f.results(s, d), "chrf"), "hit_rate", "with_evidence", "without_evidence"),
     f"WITH {f.RESULT_SQL} SELECT question, round(avg(context_hit), 6) AS hit_rate, round(avg(chrf) FILTER (context_hit = 1), 6) AS with_evidence, round(avg(chrf) FILTER (context_hit = 0), 6) AS without_evidence FROM r WHERE answer NOT LIKE '[ERRO: %' GROUP BY question",
 )
-add("i19_preferred_metric", lambda s, d: cmp.default_metric(scores(s, d).where("metric <> 'chrf'"), ("chrf", "token_f1", "answer_correctness", "rouge_l")), f"WITH {f.RESULT_SQL}, {f.LONG_SQL} SELECT combo, 'token_f1' AS metric FROM s WHERE metric <> 'chrf' GROUP BY combo")
+add("i19_preferred_metric", lambda s, d: cmp.default_metric(some_metrics(s, d), ("context_hit", "token_f1", "answer_correctness", "rouge_l")), picked("context_hit", "token_f1", "answer_correctness", "rouge_l"))
 
 
 def responses(s, d):

@@ -42,7 +42,51 @@ def test_chi2_and_friedman(spark):
 def test_constant_differences_have_a_zero_width_interval(spark):
     rows = spark.createDataFrame([("a", q, 0.2) for q in range(4)], "item string, question int, diff double")
     for got in (comparison.percentile_interval(comparison.bootstrap_means(rows, "item", 50), "item", 50).first(), comparison.replay_interval(rows, "item", 50).first()):
-        assert abs(got["low"] - 0.2) < 1e-12 and abs(got["high"] - 0.2) < 1e-12
+        assert abs(got["low"] - 0.2) < 1e-9 and abs(got["high"] - 0.2) < 1e-9 and got["low"] > 0
+
+
+@pytest.mark.parametrize("shard", [comparison.SHARD, 16])
+def test_interval_widths_are_those_of_plain_resampling(spark, shard):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    values = {f"n{n}": rng.normal(0.1, 1, n) if n != 100 else rng.integers(0, 4, n) / 4 for n in (15, 40, 100, 1500)}
+    rows = spark.createDataFrame([(k, q, float(x)) for k, v in values.items() for q, x in enumerate(v)], "item string, question int, diff double")
+    draws = comparison.bootstrap_means(rows, "item", 10_000, shard=shard)
+    got = {r["item"]: r for r in comparison.percentile_interval(draws, "item", 10_000).collect()}
+    for k, v in values.items():
+        plain = np.sort(v[rng.integers(0, len(v), (10_000, len(v)))].mean(1))
+        want = plain[9749] - plain[250]
+        assert abs(got[k]["high"] - got[k]["low"] - want) < 0.06 * want and abs(got[k]["low"] - plain[250]) < 0.1 * want
+    assert draws.count() == 40_000 and draws.select("item", "rep").distinct().count() == 40_000
+
+
+def test_kappa_interval_is_that_of_plain_resampling(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 3, 300)
+    y = np.where(rng.random(300) < 0.7, x, rng.integers(0, 3, 300))
+    rows = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(x, y))], "item int, x int, y int")
+    got = annotation.bootstrap_kappa(rows, weights="quadratic").first()
+    draws = []
+    for _ in range(4000):
+        at = rng.integers(0, 300, 300)
+        a, b = x[at], y[at]
+        draws.append(1 - ((a - b) ** 2).mean() / ((a[:, None] - b[None]) ** 2).mean())
+    low, high = np.quantile(draws, [0.025, 0.975])
+    assert abs(got["low"] - low) < 0.02 and abs(got["high"] - high) < 0.02
+
+
+def test_comparison_lists_types_and_other_bases(spark):
+    rows = [("b", 0, q, 0.5, "t1" if q < 4 else "t2") for q in range(8)] + [("x", 0, q, 0.5 + 0.1 * (q % 2), "t1") for q in range(6)] + [("y", 1, q, 0.25 * q, "t1") for q in range(3)] + [("z", 0, 99, 1.0, "t1")]
+    means = spark.createDataFrame(rows, "combo string, base int, question int, value double, question_type string")
+    got = {(r["combo"], r["scope"]): r for r in comparison.compare_intervals(means, "b", 500).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {("x", "all"): 6, ("x", "t1"): 4, ("x", "t2"): 2}
+    assert all(r["low"] <= r["mean_diff"] <= r["high"] for r in got.values())
+    other = comparison.other_base_intervals(means, "b", 500).collect()
+    assert [(r["combo"], r["n"], r["mean"]) for r in other] == [("y", 3, 0.25)] and other[0]["low"] <= 0.25 <= other[0]["high"]
+    assert [r["combo"] for r in comparison.without_common(means, "b").collect()] == ["z"]
 
 
 def test_krippendorff_published_values(spark):
