@@ -77,7 +77,7 @@ def compare_intervals(means: DataFrame, baseline: str, resamples: int = 10_000,
 
 
 #: Distinct values of a key in one task, and the rows of a distinct value from which counts are drawn, not places.
-SHARD, PLAIN = 65_536, 20
+SHARD, PLAIN = 65_536, 6
 
 
 def bootstrap_means(values: DataFrame, key: str, resamples: int = 10_000, seed: int = 0, block: int = 500, shard: int = SHARD) -> DataFrame:
@@ -116,7 +116,7 @@ def bootstrap_means(values: DataFrame, key: str, resamples: int = 10_000, seed:
 
     field = lambda name: F.transform("v", lambda x: x[name])
     sums = work.select(key, "first", F.pandas_udf(run, T.ArrayType(T.DoubleType()))(F.xxhash64(key), "part", "parts", field("diff"), field("c"), "first").alias("s"))
-    flat = sums.select(key, "first", F.posexplode("s").alias("i", "share"))
+    flat = sums.select(key, "first", F.posexplode_outer("s").alias("i", "share"))  # plain posexplode would filter by size first, running the draws twice
     return flat.groupBy(key, (F.col("first") + F.col("i")).alias("rep")).agg(F.round(F.sum("share"), 9).alias("mean"))
 
 

@@ -45,7 +45,7 @@ def test_constant_differences_have_a_zero_width_interval(spark):
         assert abs(got["low"] - 0.2) < 1e-9 and abs(got["high"] - 0.2) < 1e-9 and got["low"] > 0
 
 
-@pytest.mark.parametrize("shard", [comparison.SHARD, 16])
+@pytest.mark.parametrize("shard", [comparison.SHARD, 400])
 def test_interval_widths_are_those_of_plain_resampling(spark, shard):
     import numpy as np
 
