@@ -69,3 +69,25 @@ def held_out(doc_id: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+class Columns:
+    """A table's columns under numbered names, so that no name of an operator's own can clash with one of the table's.
+
+    ``rows`` has the columns c0, c1, ...; ``name(x)`` is the numbered name of column x, and ``back(...)`` are the
+    original columns (but for those in ``without``, letter case aside as Spark compares names) for a final select.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.rows = docs.toDF(*(f"c{k}" for k in range(len(self.names))))
+
+    def name(self, column: str) -> str:
+        at = [k for k, x in enumerate(self.names) if x == column] or [k for k, x in enumerate(self.names) if x.lower() == column.lower()]
+        if not at:
+            raise ValueError(f"no column {column} among {', '.join(self.names)}")
+        return f"c{at[0]}"
+
+    def back(self, without: tuple[str, ...] = (), changed: dict[str, Column] | None = None) -> list[Column]:
+        gone = {x.lower() for x in without}
+        return [(changed or {}).get(f"c{k}", F.col(f"c{k}")).alias(x) for k, x in enumerate(self.names) if x.lower() not in gone]

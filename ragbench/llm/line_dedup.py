@@ -6,13 +6,17 @@ document with a smaller id, or further up in the same document.
 
 How it is found:
 
-1. The minimal runs forward from each line and backward from each line (at most ``min_words`` lines, as each has
-   a word) are the winnowing windows. Two equal runs share such windows.
-2. The line with the least hash in each window is its fingerprint; equal windows select equal fingerprints, so
-   a repeated run is guaranteed to share one. Only windows whose fingerprint stands at two positions go on.
-3. Positions are joined by the window's content hash (128 bits). The first is kept, the later ones are deleted.
-   The windows of a run that start or end at every one of its lines reach its ends both ways, so a match is
-   extended up to the first difference on either side.
+1. Select. The minimal runs forward from each line and backward from each line (at most ``min_words`` lines, as each
+   has a word) are the winnowing windows. Of each window the line with the least hash, the leftmost of equal ones, is
+   selected. Neighbouring windows mostly select the same line, so the selected positions are sparse; equal runs
+   select equal lines, so a repeated run is guaranteed to have a selected line whose hash stands at two positions.
+2. Join. Positions are joined by hash; those whose hash no other position has are done with, and so are documents
+   without any other.
+3. Extend. From each position left, both ways: the windows that selected it are compared as a whole (128 bits), the
+   first place of each is kept, all later ones are matches. As a window starts and one ends at every line, matches
+   reach both ends of a repeated run, also where its parts have their first places in several documents. No two
+   positions are ever paired, so a line that a third of all documents have costs a row for each of them.
+4. Delete. Overlapping matches of a document are merged into maximal runs, which are cut out in one pass.
 """
 
 from __future__ import annotations
@@ -20,41 +24,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragbench.llm.common import SPACE, SPACES_RE, stored
+from ragbench.llm.common import SPACE, SPACES_RE, Columns, stored
 
 MIN_WORDS = 50
+_DOC = Window.partitionBy("doc")
 
 
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(SPACE))
 
 
-def windows(docs: DataFrame, text: str, min_words: int) -> DataFrame:
-    """The winnowing windows of each document: key, id, first and last line number, fingerprint, content hash."""
-    line = F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line")
-    lines = docs.select("_id", "_key", line).select(
-        "_id", "_key", "line_no",
-        F.xxhash64(_trimmed(F.col("line"))).alias("h"),
-        F.xxhash64(F.lit(1), _trimmed(F.col("line"))).alias("h2"),
-        F.size(F.split(_trimmed(F.col("line")), SPACES_RE, -1)).alias("words"),
-        (_trimmed(F.col("line")) != "").alias("full"),
-    ).where("full")
-    doc = Window.partitionBy("_id", "_key")
-    upto = F.sum("words").over(doc.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    lines = lines.withColumn("after", upto).withColumn("before", F.col("after") - F.col("words"))
-    forward = doc.orderBy("before").rangeBetween(0, min_words - 1)
-    backward = doc.orderBy("after").rangeBetween(1 - min_words, 0)
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc, line_no, h, h2, words before and after) for each line with words of (doc, text); equal docs count once."""
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).select("doc", "line_no", _trimmed(F.col("line")).alias("line")).where("line <> ''")
+    hashed = lines.select("doc", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.size(F.split("line", SPACES_RE, -1)).alias("words"))
+    # One shuffle by document serves the windows by line, too.
+    once = hashed.repartition("doc").withColumn("copy", F.row_number().over(Window.partitionBy("doc", "line_no").orderBy("h"))).where("copy = 1").drop("copy")
+    upto = F.sum("words").over(_DOC.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    return once.withColumn("after", upto).withColumn("before", F.col("after") - F.col("words")).drop("words")
 
+
+def _windows(min_words: int) -> tuple:
+    return _DOC.orderBy("before").rangeBetween(0, min_words - 1), _DOC.orderBy("after").rangeBetween(1 - min_words, 0)
+
+
+def selected(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc, h, line_no): the lines that windows of at least ``min_words`` words select, each once."""
+    def least(over) -> Column:
+        return F.when(F.max("after").over(over) - F.min("before").over(over) >= min_words, F.min(F.struct("h", "line_no")).over(over))
+
+    both = lines.select("doc", F.array(*map(least, _windows(min_words))).alias("w"))
+    return both.select("doc", F.explode("w").alias("w")).where("w is not null").select("doc", "w.h", "w.line_no").distinct()
+
+
+def extended(lines: DataFrame, min_words: int) -> DataFrame:
+    """(doc, first, last, c1, c2) for each window whose selected line is ``hot``, with the hashes of its content."""
     def made(over) -> Column:
-        return F.struct(
+        whole = F.max("after").over(over) - F.min("before").over(over) >= min_words
+        return F.when(whole & F.min(F.struct("h", "line_no", "hot")).over(over)["hot"], F.struct(
             F.min("line_no").over(over).alias("first"), F.max("line_no").over(over).alias("last"),
-            F.min("h").over(over).alias("mark"),
             F.xxhash64(F.collect_list("h").over(over)).alias("c1"), F.xxhash64(F.collect_list("h2").over(over)).alias("c2"),
-            (F.max("after").over(over) - F.min("before").over(over) >= min_words).alias("whole"),
-        )
+        ))
+
+    both = lines.select("doc", F.array(*map(made, _windows(min_words))).alias("w"))
+    return both.select("doc", F.explode("w").alias("w")).where("w is not null").select("doc", "w.*")
 
-    both = lines.select("_id", "_key", made(forward).alias("f"), made(backward).alias("b"))
-    return both.select("_id", "_key", F.explode(F.array("f", "b")).alias("w")).where("w.whole").select("_id", "_key", "w.first", "w.last", "w.mark", "w.c1", "w.c2")
+
+def runs_of(matches: DataFrame) -> DataFrame:
+    """(doc, cuts): the maximal runs of lines that the matches (doc, first, last) cover, in order, with the line before each that was cut last."""
+    before = F.max("last").over(_DOC.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
+    starts = matches.withColumn("new", F.coalesce(F.col("first") > before, F.lit(True)).cast("int"))
+    runs = starts.withColumn("run", F.sum("new").over(_DOC.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
+    merged = runs.groupBy("doc", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    merged = merged.withColumn("upto", F.coalesce(F.lag("last").over(_DOC.orderBy("run")), F.lit(-1)))
+    return merged.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last", "upto"))).alias("cuts"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
@@ -63,35 +86,36 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     Null and empty texts stay as they are and have no lines. Lines are compared without white space at their
     ends. Rows that equal each other in id and text count as one document (each gets the same result); rows
     with the same id and other texts are ordered by a hash of the text. Null ids come first. Columns named like
-    the two outputs are replaced. An empty table gives an empty table. A line repeated in more documents than
-    fit into a task costs one row for each document and is never paired with itself.
+    the two outputs are replaced, all others stay, whatever their names. An empty table gives an empty table. A
+    document's lines are sorted in one task, which may spill; the work grows in proportion to their number.
     """
-    docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("_id", F.col(doc_id)).withColumn("_key", F.xxhash64(F.col(text)))
-    spans = stored(windows(keyed.select("_id", "_key", text), text, min_words), "windows")
-    place = F.struct("_id", "_key", "first")
-    # Positions of a window's fingerprint differ between windows of one document only by the window; what counts
-    # is whether any other window, here or elsewhere, selects an equal line.
-    marks = stored(spans.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("mark"), "marks")
-    candidates = spans.join(marks.hint("merge"), "mark", "left_semi")
-    firsts = stored(
-        candidates.groupBy("c1", "c2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("c1", "c2", "lo"), "firsts"
-    )
-    later = candidates.join(firsts.hint("merge"), ["c1", "c2"]).where(place > F.col("lo"))
-    cut = stored(later.groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "last")).alias("cuts")), "cuts")
-    joined = keyed.join(cut.hint("merge"), keyed["_id"].eqNullSafe(cut["_id"]) & keyed["_key"].eqNullSafe(cut["_key"]), "left").drop(cut["_id"]).drop(cut["_key"])
-    lines = F.split(F.col(text), "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.sequence(c["first"], c["last"]))))
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("no")))
-    full = lambda x: _trimmed(x["line"]) != ""
-    left = F.filter(numbered, lambda x: ~(F.array_contains(F.col("_gone"), x["no"]) & full(x)))
-    changed = F.array_join(F.transform(left, lambda x: x["line"]), "\n")
-    out = joined.withColumn("_gone", F.when(F.col("cuts").isNotNull(), gone))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter(lines, lambda x: _trimmed(x) != "")))
-    n_removed = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter(numbered, lambda x: F.array_contains(F.col("_gone"), x["no"]) & full(x))))
-    new = F.when(F.col("cuts").isNull(), F.col(text)).otherwise(changed)
+    table = Columns(docs)
+    text, doc_id = table.name(text), table.name(doc_id)
+    keyed = table.rows.withColumn("doc", F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("key")))
+    lines = stored(lines_of(keyed.select("doc", F.col(text).alias("text"))), "lines")
+    marks = stored(selected(lines, min_words), "selected")
+    place = F.struct("doc", "line_no")
+    repeated = stored(marks.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("h"), "repeated")
+    hot = stored(marks.join(repeated.hint("merge"), "h", "left_semi").select("doc", "line_no", F.lit(True).alias("hot")), "hot")
+    some = lines.join(hot.select("doc").distinct().hint("merge"), "doc", "left_semi").join(hot.hint("merge"), ["doc", "line_no"], "left")
+    windows = stored(extended(some.withColumn("hot", F.coalesce("hot", F.lit(False))), min_words), "windows")
+    place = F.struct("doc", "first")
+    firsts = stored(windows.groupBy("c1", "c2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("c1", "c2", "lo"), "firsts")
+    later = windows.join(firsts.hint("merge"), ["c1", "c2"]).where(place > F.col("lo")).select("doc", "first", "last")
+    cuts = stored(runs_of(later), "cuts")
+
+    out = keyed.join(cuts.hint("merge"), "doc", "left").withColumn("lines", F.split(text, "\n", -1))
+    blank = lambda x: _trimmed(x) == ""
+    part = lambda first, last: F.slice("lines", first + 1, F.greatest(last - first + 1, F.lit(0)))
+    # Between the runs all lines stay; of a run's lines those without words do.
+    kept = F.flatten(F.transform("cuts", lambda c: F.concat(part(c["upto"] + 1, c["first"] - 1), F.filter(part(c["first"], c["last"]), blank))))
+    tail = part(F.element_at("cuts", -1)["last"] + 1, F.size("lines") - 1)
+    gone = F.aggregate("cuts", F.lit(0), lambda n, c: n + F.size(F.filter(part(c["first"], c["last"]), lambda x: ~blank(x))))
+    some_cut = F.col("cuts").isNotNull()
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: ~blank(x))))
+    new = F.when(some_cut, F.array_join(F.concat(kept, tail), "\n")).otherwise(F.col(text))
     return out.select(
-        *(new.alias(text) if c == text else F.col(c) for c in docs.columns), n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")
+        *table.back(("n_lines", "n_removed"), {text: new}), n_lines.cast("long").alias("n_lines"), F.when(some_cut, gone).otherwise(0).cast("long").alias("n_removed")
     )
 
 
@@ -114,8 +138,8 @@ w AS (
   UNION ALL
   SELECT doc_id, min(line_no) OVER f, max(line_no) OVER f, list(line) OVER f, max(after) OVER f - min(before) OVER f FROM l
     WINDOW f AS (PARTITION BY doc_id ORDER BY after RANGE BETWEEN {MIN_WORDS - 1} PRECEDING AND CURRENT ROW)),
-k AS (SELECT doc_id, a, b, min(doc_id * 1000000 + a) OVER (PARTITION BY array_to_string(content, chr(10))) AS lo FROM w WHERE n >= {MIN_WORDS}),
-g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS line_no FROM k WHERE doc_id * 1000000 + a > lo),
+k AS (SELECT doc_id, a, b, min(row(doc_id, a)) OVER (PARTITION BY array_to_string(content, chr(10))) AS lo FROM w WHERE n >= {MIN_WORDS}),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS line_no FROM k WHERE row(doc_id, a) > lo),
 c AS (SELECT l1.doc_id, string_agg(raw_line, chr(10) ORDER BY l0.line_no) FILTER (g.doc_id IS NULL OR line = '') AS kept,
     count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (g.doc_id IS NOT NULL AND line <> '') AS n_removed
   FROM l0 JOIN l1 USING (doc_id, line_no) LEFT JOIN g USING (doc_id, line_no) GROUP BY l1.doc_id)
