@@ -74,8 +74,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Columns:
     """A table's columns under numbered names, so that no name of an operator's own can clash with one of the table's.
 
-    ``rows`` has the columns c0, c1, ...; ``name(x)`` is the numbered name of column x, and ``back(...)`` are the
-    original columns (but for those in ``without``, letter case aside as Spark compares names) for a final select.
+    ``rows`` has the columns c0, c1, ...; ``name(x)`` is the numbered name of column x, and ``done`` gives a result its
+    columns' own names back.
     """
 
     def __init__(self, docs: DataFrame):
@@ -88,6 +88,16 @@ class Columns:
             raise ValueError(f"no column {column} among {', '.join(self.names)}")
         return f"c{at[0]}"
 
-    def back(self, without: tuple[str, ...] = (), changed: dict[str, Column] | None = None) -> list[Column]:
-        gone = {x.lower() for x in without}
-        return [(changed or {}).get(f"c{k}", F.col(f"c{k}")).alias(x) for k, x in enumerate(self.names) if x.lower() not in gone]
+    def done(self, rows: DataFrame, outputs: dict[str, Column | str] | None = None, changed: dict[str, Column] | None = None, without: tuple[str, ...] = ()) -> DataFrame:
+        """The table's columns, some ``changed`` (by numbered name), and the outputs in the place of columns that have their names.
+
+        Letter case aside, as Spark compares names. Values come before names, in a select of their own: names of the
+        table in the same select could be taken for columns that the values read.
+        """
+        outputs = outputs or {}
+        gone = {x.lower() for x in (*outputs, *without)}
+        kept = {f"c{k}": x for k, x in enumerate(self.names) if x.lower() not in gone}
+        values = [(changed or {}).get(c, F.col(c)).alias(c) for c in kept]
+        made = [(F.col(v) if isinstance(v, str) else v).alias(f"out{k}") for k, v in enumerate(outputs.values())]
+        named = rows.select(*values, *made)
+        return named.select(*(F.col(c).alias(x) for c, x in kept.items()), *(F.col(f"out{k}").alias(x) for k, x in enumerate(outputs)))

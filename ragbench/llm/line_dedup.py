@@ -21,13 +21,16 @@ How it is found:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ragbench.llm.common import SPACE, SPACES_RE, Columns, stored
 
 MIN_WORDS = 50
-_DOC = Window.partitionBy("doc")
+
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("doc")
 
 
 def _trimmed(line: Column) -> Column:
@@ -40,12 +43,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     hashed = lines.select("doc", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.size(F.split("line", SPACES_RE, -1)).alias("words"))
     # One shuffle by document serves the windows by line, too.
     once = hashed.repartition("doc").withColumn("copy", F.row_number().over(Window.partitionBy("doc", "line_no").orderBy("h"))).where("copy = 1").drop("copy")
-    upto = F.sum("words").over(_DOC.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("words").over(_doc().orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     return once.withColumn("after", upto).withColumn("before", F.col("after") - F.col("words")).drop("words")
 
 
 def _windows(min_words: int) -> tuple:
-    return _DOC.orderBy("before").rangeBetween(0, min_words - 1), _DOC.orderBy("after").rangeBetween(1 - min_words, 0)
+    return _doc().orderBy("before").rangeBetween(0, min_words - 1), _doc().orderBy("after").rangeBetween(1 - min_words, 0)
 
 
 def selected(lines: DataFrame, min_words: int) -> DataFrame:
@@ -72,11 +75,11 @@ def extended(lines: DataFrame, min_words: int) -> DataFrame:
 
 def runs_of(matches: DataFrame) -> DataFrame:
     """(doc, cuts): the maximal runs of lines that the matches (doc, first, last) cover, in order, with the line before each that was cut last."""
-    before = F.max("last").over(_DOC.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("last").over(_doc().orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1))
     starts = matches.withColumn("new", F.coalesce(F.col("first") > before, F.lit(True)).cast("int"))
-    runs = starts.withColumn("run", F.sum("new").over(_DOC.orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = starts.withColumn("run", F.sum("new").over(_doc().orderBy("first", "last").rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("doc", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    merged = merged.withColumn("upto", F.coalesce(F.lag("last").over(_DOC.orderBy("run")), F.lit(-1)))
+    merged = merged.withColumn("upto", F.coalesce(F.lag("last").over(_doc().orderBy("run")), F.lit(-1)))
     return merged.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("first", "last", "upto"))).alias("cuts"))
 
 
@@ -114,9 +117,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     some_cut = F.col("cuts").isNotNull()
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: ~blank(x))))
     new = F.when(some_cut, F.array_join(F.concat(kept, tail), "\n")).otherwise(F.col(text))
-    return out.select(
-        *table.back(("n_lines", "n_removed"), {text: new}), n_lines.cast("long").alias("n_lines"), F.when(some_cut, gone).otherwise(0).cast("long").alias("n_removed")
-    )
+    return table.done(out, {"n_lines": n_lines.cast("long"), "n_removed": F.when(some_cut, gone).otherwise(0).cast("long")}, {text: new})
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:

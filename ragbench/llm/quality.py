@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragbench.llm.common import SPACE, stored
+from ragbench.llm.common import SPACE, Columns, stored
 
 #: name, feature, good if at most, bad if at least (above for good, below for bad where good > bad).
 #: A value between the two bounds is an abstention.
@@ -199,25 +199,22 @@ def score_quality(docs: DataFrame, text: str = "text", threshold: float = 0.5, k
     """Add the counts, ``base_failed``, ``posterior`` and ``kept`` to every row; all columns stay.
 
     Null and empty texts have zero words: they fail the base rules. Repeated rows are separate documents and
-    get equal verdicts. An input column with the name of an output is replaced. An empty table gives an empty
-    table. Any text length is taken whole. The measured table is written to the shared folder, since it is read
-    twice: for the counts by pattern and for the verdicts; ``keep_text=False`` leaves the text out of it.
+    get equal verdicts. An input column with the name of an output is replaced, all others stay, whatever their
+    names. An empty table gives an empty table. Any text length is taken whole. The measured table is written to the
+    shared folder, since it is read twice: for the counts by pattern and for the verdicts; ``keep_text=False`` leaves
+    the text out of it.
     """
-    out = [*_COUNTS, "base_failed", "posterior", "kept"]
-    keep = [c for c in docs.columns if c not in out]
-    rows = stored(docs.select(*keep, measured(F.col(text)).alias("_m")), "quality") if keep_text else None
-    if rows is None:
-        rows = stored(docs.select(*(c for c in keep if c != text), measured(F.col(text)).alias("_m")), "quality")
-        keep = [c for c in keep if c != text]
-    found = rows.select("_m.pattern").where("pattern >= 0").groupBy("pattern").count().orderBy("pattern").collect()
+    table = Columns(docs)
+    content = table.name(text)
+    keep = [c for c in table.rows.columns if keep_text or c != content]
+    rows = stored(table.rows.select(*keep, measured(F.col(content)).alias("m")), "quality")
+    found = rows.select("m.pattern").where("pattern >= 0").groupBy("pattern").count().orderBy("pattern").collect()
     # At most 3 ** len(RULES) rows, whatever the number of documents.
     share, odds = fit(np.array([r[0] for r in found], dtype=np.int64), np.array([r[1] for r in found], dtype=float), len(RULES))
-    failed = (F.col("_m.n_words") < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_m.n_words"))
-    p = posterior(F.col("_m.pattern"), share, odds)
-    return rows.select(
-        *keep, *(F.col(f"_m.{c}") for c in _COUNTS), failed.alias("base_failed"), p.alias("posterior"),
-        (~failed & F.coalesce(p >= threshold, F.lit(False))).alias("kept"),
-    )
+    failed = (F.col("m.n_words") < MIN_WORDS) | (100 * F.col("m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("m.n_words"))
+    p = posterior(F.col("m.pattern"), share, odds)
+    outputs = {c: f"m.{c}" for c in _COUNTS} | {"base_failed": failed, "posterior": p, "kept": ~failed & F.coalesce(p >= threshold, F.lit(False))}
+    return table.done(rows, outputs, without=() if keep_text else (text,))
 
 
 def op4_quality_rules(docs: DataFrame) -> DataFrame:

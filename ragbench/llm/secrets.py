@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragbench.llm.common import stored
+from ragbench.llm.common import Columns, stored
 
 _WORD = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 #: (kind, pattern, group that must have the length or 0, least length). Base kinds first, in the contract's order.
@@ -85,17 +85,17 @@ def find_secrets(versions: DataFrame, ledger: DataFrame | None = None, text: str
     """Findings for every row, and the ledger rows to append for the next run.
 
     The findings hold all input columns, ``blob`` and ``spans`` (start, kind number, end). Null texts are the
-    empty blob; repeated rows stay as many rows; an input column named like an output is replaced; an empty
-    table gives empty results.
+    empty blob; texts are scanned whole, whatever their length; repeated rows stay as many rows; an input column named
+    like an output is replaced, all others stay, whatever their names; an empty table gives empty results.
     """
-    versions = versions.drop("blob", "spans", "rule_version")
-    held, fresh = update_ledger(versions, ledger, text, rule_version)
+    table = Columns(versions)
+    held, fresh = update_ledger(table.rows, ledger, table.name(text), rule_version)
     known = fresh if ledger is None else ledger.where(F.col("rule_version") == rule_version).unionByName(fresh)
     # Most blobs hold nothing; only those with findings take part in the join back.
     hits = stored(known.where(F.size("spans") > 0).select("blob", "spans"), "findings")
     out = held.join(hits, "blob", "left")
     none = F.array().cast("array<struct<start:int,kind_no:int,end:int>>")
-    return out.withColumn("spans", F.coalesce("spans", none)), fresh
+    return table.done(out, {"blob": "blob", "spans": F.coalesce("spans", none)}), fresh
 
 
 def joined(spans: Column) -> Column:

@@ -13,6 +13,7 @@ rows, chosen by a hash of the id); scoring covers every whole text in Arrow batc
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragbench.llm.common import held_out, stored
+from ragbench.llm.common import Columns, held_out, stored
 
 #: Interchangeable terms for groups of people.
 IDENTITY_GROUPS = (
@@ -45,6 +46,7 @@ _NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >=
 #: Bytes of the beginnings of words that are features.
 PREFIXES = (4, 5, 6, 7, 8, 9)
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+_LOG = logging.getLogger(__name__)
 _GROUP_OF = {term.encode(): no for no, group in enumerate(IDENTITY_GROUPS) for term in group}
 
 
@@ -144,10 +146,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"))
     chosen = usable.where("toxic = 1").orderBy(*order).limit(max_toxic).unionByName(usable.where("toxic = 0").orderBy(*order).limit(max_clean))
-    # At most max_toxic + max_clean narrow rows.
+    # At most max_toxic + max_clean narrow rows; of rows that repeat an id the text with the greatest hash is taken.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-
-    sample = stored(rows.select("toxic", "text"), "sample")
+    sample = stored(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text"), "sample")
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n, n1 = sum(sizes.values()), sizes.get(1, 0)
     terms: list[bytes] = []
@@ -183,17 +184,22 @@ def learn(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     found = sample.mapInPandas(keep, "toxic int, words binary, swaps binary").collect()  # of each document the chosen features only
     samples = sorted(((set(bytes(r["words"]).split()), r["toxic"]) for r in found), key=lambda x: (sorted(x[0]), x[1]))
     present = set().union(*(w for w, _ in samples)) if samples else set()
-    return fit(samples, Counter(w for r in found for w in bytes(r["swaps"]).splitlines()), sorted(present & set(known)))
+    swaps = Counter(w for r in found for w in bytes(r["swaps"]).splitlines())
+    _LOG.info("toxicity: %d labelled documents, %d swapped sentences", len(samples), sum(swaps.values()))
+    return fit(samples, swaps, sorted(present & set(known)))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> DataFrame:
     """Add ``held_out``, ``score`` and ``predicted`` to every row; all other columns stay.
 
     Only the text is an input of a score. Null and empty texts get the intercept's score. Repeated rows are scored
-    alike. Columns named like outputs are replaced. An empty table of documents gives an empty table; without
-    usable labels the score is 0.5 for all.
+    alike. Columns named like outputs are replaced, all others stay, whatever their names. An empty table of documents
+    gives an empty table; without usable labels the score is 0.5 for all. Texts are read whole, whatever their length.
+    Labels without a doc_id, or with one that no document has, are not used.
     """
-    intercept, weights = learn(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, max_toxic, max_clean)
+    table = Columns(docs)
+    text, doc_id = table.name(text), table.name(doc_id)
+    intercept, weights = learn(table.rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, max_toxic, max_clean)
     model = docs.sparkSession.sparkContext.broadcast((intercept, weights))  # at most the sample's vocabulary; a few hundred words
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -203,9 +209,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_i
             z = np.array([b + sum(w[x] for x in w.keys() & features_of(t, sizes)) for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    keep = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    scored = docs.select(*keep, held_out(F.col(doc_id)).alias("held_out"), F.pandas_udf(run, T.DoubleType())(F.col(text)).alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = table.rows.withColumn("score", F.pandas_udf(run, T.DoubleType())(F.col(text)))
+    return table.done(scored, {"held_out": held_out(F.col(doc_id)), "score": "score", "predicted": (F.col("score") >= 0.5).cast("int")})
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
