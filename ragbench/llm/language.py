@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragbench.llm.common import held_out
+from ragbench.llm.common import Columns, held_out
 
-HIDDEN, PIECE, FLOOR = 24, 24, 1e-3
-#: Bounds of the training sample: documents of a language, and distinct (language, word) pairs.
-DOCS_PER_LANGUAGE, MAX_PAIRS, MAX_LANGUAGES = 400, 200_000, 500
+HIDDEN, PIECE, FLOOR, STEPS = 24, 24, 1e-3, 700
+#: Bounds of the training sample: documents of a language, and distinct words of all languages (each has an equal part).
+DOCS_PER_LANGUAGE, MAX_PAIRS = 400, 200_000
 #: Words whose answers a worker keeps.
 MAX_KEPT = 300_000
 _NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(0x100))
@@ -33,10 +33,22 @@ _NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >=
 def pieces_of(text: str | None) -> list[bytes]:
     words = (text or "").encode("utf-8", "replace").translate(_NORMAL).split()
     if words and max(map(len, words)) > PIECE:
-        words = [w[i : i + PIECE] for w in words for i in range(0, len(w), PIECE)]
+        words = [piece for w in words for piece in _cut(w)]
     return words
 
 
+def _cut(word: bytes) -> list[bytes]:
+    """Pieces of at most PIECE bytes, never within a character."""
+    out, at = [], 0
+    while at < len(word):
+        end = min(at + PIECE, len(word))
+        while end < len(word) and end > at + 1 and 0x80 <= word[end] < 0xC0:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
@@ -122,13 +134,13 @@ def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return seq, mask
 
 
-def train(words: list[bytes], counts: np.ndarray, steps: int = 700, batch: int = 256, rate: float = 0.01, seed: int = 11, hidden: int = HIDDEN) -> ByteTagger:
+def train(words: list[bytes], counts: np.ndarray, steps: int | None = None, batch: int = 256, rate: float = 0.01, seed: int = 11, hidden: int = HIDDEN) -> ByteTagger:
     """Fit on distinct words; ``counts`` has a row for each and a column for each language.
 
     A word's target is its share of each language (languages weigh the same); words are drawn by the root of
     their frequency. Adam with a falling rate.
     """
-    model = ByteTagger(counts.shape[1], hidden)
+    model, steps = ByteTagger(counts.shape[1], hidden), steps or STEPS
     share = counts / np.maximum(counts.sum(0, keepdims=True), 1)
     target = (share / share.sum(1, keepdims=True)).astype(np.float32)
     draw = np.sqrt(share.sum(1))
@@ -204,7 +216,7 @@ SCHEMA = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = DOCS_PER_LANGUAGE, max_pairs: int = MAX_PAIRS) -> tuple[ByteTagger, list[str]] | None:
     """Fit on rows with a language that are not held out; None without such rows."""
     rows = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     if not sizes:
         return None
     # A hash of the id decides, at a rate that leaves about twice the wanted number; the rest is cut by rank.
@@ -218,7 +230,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                 yield pd.DataFrame({"lang": language, "word": pieces_of(text_)})
 
     pairs = sample.select("lang", "text").mapInPandas(words, "lang string, word binary").groupBy("lang", "word").count()
-    found = pairs.orderBy(F.desc("count"), F.xxhash64("word"), "word", "lang").limit(max_pairs).collect()
+    # Every language keeps its most frequent words, however rare it is among the documents.
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), F.xxhash64("word"), "word"))
+    found = pairs.withColumn("no", order).where(F.col("no") <= max(1, max_pairs // len(sizes))).select("lang", "word", "count").collect()
     languages = sorted({r[0] for r in found})
     vocabulary = {w: k for k, w in enumerate(sorted({bytes(r[1]) for r in found}))}
     if not vocabulary:
@@ -233,14 +247,16 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     """Add ``held_out``, ``lang_pred`` and ``score`` to every row; all other columns stay.
 
     Texts that are null or have no letter get ``und`` with score 0, as do all texts when there is nothing to learn
-    from. Repeated rows get equal answers. Columns named like outputs are replaced. An empty table gives an empty
-    table. All bytes of a text count, whatever its length.
+    from. Repeated rows get equal answers. Columns named like outputs are replaced, all others stay, whatever their
+    names. An empty table gives an empty table. All bytes of a text count, whatever its length. Ties go to the
+    language that is first by name.
     """
     learned = learn(docs, text, lang, doc_id)
-    keep = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    rows = docs.withColumn("_held", held_out(F.col(doc_id)))
+    table = Columns(docs)
+    text, doc_id = table.name(text), table.name(doc_id)
+    held = held_out(F.col(doc_id))
     if learned is None:
-        return rows.select(*keep, F.col("_held").alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return table.done(table.rows, {"held_out": held, "lang_pred": F.lit("und"), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(learned)  # some 100 kB
     key = uuid.uuid4().hex
 
@@ -257,8 +273,8 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
                 scores += found[1]
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    rows = rows.select(*keep, "_held", F.pandas_udf(run, SCHEMA)(F.col(text)).alias("_p"))
-    return rows.select(*keep, F.col("_held").alias("held_out"), "_p.lang_pred", "_p.score")
+    rows = table.rows.withColumn("p", F.pandas_udf(run, SCHEMA)(F.col(text)))
+    return table.done(rows, {"held_out": held, "lang_pred": "p.lang_pred", "score": "p.score"})
 
 
 def op3_language(docs: DataFrame) -> DataFrame:
