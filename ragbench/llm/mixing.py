@@ -20,39 +20,20 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ragbench.llm.common import new_path, stored
+from ragbench.llm.common import Columns, new_path, stored
 
-#: Of schedules in whole slots (``shares``); ``mix`` has no period.
-PERIOD = 1000
-BLOCK_BYTES = 16_384
-#: Hash ranges in each source's stream; a task handles some of them.
-RANGES = 4096
+#: The least size of a block, and the blocks of a table from which they grow: the driver takes one step for each.
+BLOCK_BYTES, MOST_BLOCKS = 16_384, 4_000_000
+#: Hash ranges in each source's stream (four hexadecimal digits); a task handles some of them.
+RANGES = 65_536
 #: Slots in a row of the slot table, and slots that the driver holds at once.
 PIECE, HELD = 1024, 500_000
 
 
-def shares(sizes: dict, target: dict | None, power: float, period: int) -> dict:
-    """Slots of each source in a period: ``target`` weights, or sizes to the power; largest remainders, 1 at least."""
-    weights = {s: float(target[s]) if target is not None else float(n) ** power for s, n in sizes.items() if n > 0}
-    if not weights:
-        return {}
-    if min(weights.values()) <= 0 or len(weights) > period:
-        raise ValueError("every source needs a positive weight, and the period at least as many slots as there are sources")
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    slots = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    by = sorted(exact, key=lambda s: (-(exact[s] - math.floor(exact[s])), str(s)))
-    k = 0
-    while sum(slots.values()) < period:
-        slots[by[k % len(by)]] += 1
-        k += 1
-    while sum(slots.values()) > period:  # sources raised to 1 take from the largest
-        slots[max(slots, key=lambda s: (slots[s] - exact[s] if slots[s] > 1 else -math.inf, str(s)))] -= 1
-    return slots
-
-
 def weights(sizes: dict, target: dict | None, power: float) -> dict:
     """Whole numbers in the exact proportion of the ``target`` (read as decimals), or of the sizes to the power."""
+    if target is not None and (lost := [s for s, n in sizes.items() if n > 0 and s not in target]):
+        raise ValueError(f"no target weight for the sources {lost[:10]}")
     exact = {s: Fraction(str(target[s] if target is not None else float(n) ** power)) for s, n in sizes.items() if n > 0}
     if exact and min(exact.values()) <= 0:
         raise ValueError("every source needs a positive weight")
@@ -86,11 +67,6 @@ def slots_of(shares: dict, blocks: dict) -> Iterator[tuple]:
             heapq.heappush(release, ((j + 1) * total // shares[s], -(-(j + 2) * total // shares[s]), name, s, j + 1))
 
 
-def schedule(slots: dict) -> list:
-    """The source of each slot in a period of ``sum(slots.values())``."""
-    return [s for s, _, _ in slots_of(slots, slots)]
-
-
 def slot_table(spark: SparkSession, shares: dict, blocks: dict, source_type: str) -> DataFrame:
     """(_t, _b, _slot): the slot of every block of every source, written by the driver in pieces."""
     path, schema = new_path(spark, "slots"), f"_t {source_type}, _first long, _slots array<long>"
@@ -116,41 +92,50 @@ def slot_table(spark: SparkSession, shares: dict, blocks: dict, source_type: str
     return pieces.select("_t", "_first", F.posexplode("_slots").alias("_i", "_slot")).select("_t", (F.col("_first") + F.col("_i")).alias("_b"), "_slot")
 
 
-def _order_key(doc_id: Column) -> Column:
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def _order_key(doc_id: Column, text: Column) -> Column:
+    """A hash of the id and the text, so that rows without an id, or with equal ids, spread over the ranges too."""
+    return F.md5(F.concat_ws(":", doc_id.cast("string"), F.xxhash64(text).cast("string")).cast("binary"))
 
 
-def mix(docs: DataFrame, target: dict | None = None, power: float = 0.7, text: str = "text", source: str = "source", doc_id: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mix(docs: DataFrame, target: dict | None = None, power: float = 0.7, text: str = "text", source: str = "source", doc_id: str = "doc_id", block_bytes: int | None = None) -> DataFrame:
     """All rows and columns, with ``block`` (of the source), ``slot`` (of the mix) and ``place`` (in the source's stream).
 
-    Ordered by (slot, place, the id's hash), the rows are the mix. Without ``target`` a source's weight is its
-    size in bytes to the power ``power``. Nothing is dropped: when a source has ended, its later slots stay empty
-    and the others go on in proportion. A null source is a source of its own; null and empty texts take one byte,
-    so that they have a place; a document longer than a block belongs to the block where it starts. Repeated rows
-    are separate documents, in an order that is theirs by text; null ids are hashed as the empty id. Columns
-    named like outputs are replaced; an empty table gives an empty table.
+    Ordered by (slot, place, doc_id), the rows are the mix. Without ``target`` a source's weight is its size in bytes
+    to the power ``power``; a source that the target lacks, or a weight that is not positive, is an error. Without
+    ``block_bytes`` a block has BLOCK_BYTES, or the least power of two that leaves at most MOST_BLOCKS blocks.
+
+    Nothing is dropped: when a source has ended, its later slots stay empty and the others go on in proportion; the
+    bound of one block holds up to there. A null source is a source of its own; null and empty texts take one byte,
+    so that they have a place; a document longer than a block belongs to the block where it starts, and the slots of
+    the blocks that it fills stay empty, so counted in bytes the bound is one block and the longest document. Repeated
+    rows are separate documents, next to each other. Columns named like outputs are replaced, all others stay,
+    whatever their names; an empty table gives an empty table.
     """
-    docs = docs.drop("block", "slot", "place")
+    table = Columns(docs)
+    text, source, doc_id = table.name(text), table.name(source), table.name(doc_id)
     size = F.greatest(F.coalesce(F.octet_length(text), F.lit(0)), F.lit(1)).cast("long")
-    rows = docs.withColumn("_size", size).withColumn("_md5", _order_key(F.col(doc_id))).withColumn("_range", (F.conv(F.substring("_md5", 1, 4), 16, 10).cast("int") * RANGES / 65536).cast("int"))
-    sums = stored(rows.groupBy(source, "_range").agg(F.sum("_size").alias("_sum")), "ranges")
-    by_source = sums.groupBy(source).agg(F.sum("_sum").alias("n"))
-    found = {r[0]: r[1] for r in by_source.collect()}
-    source_type = docs.schema[source].dataType.simpleString()
+    rows = table.rows.withColumn("size", size).withColumn("md5", _order_key(F.col(doc_id), F.col(text))).withColumn("range", F.conv(F.substring("md5", 1, 4), 16, 10).cast("int"))
+    sums = stored(rows.groupBy(F.col(source).alias("s"), F.col("range").alias("r")).agg(F.sum("size").alias("sum")), "ranges")
+    found = {r[0]: r[1] for r in sums.groupBy("s").agg(F.sum("sum").alias("n")).collect()}
+    if block_bytes is None:
+        block_bytes = BLOCK_BYTES
+        while sum(found.values()) > block_bytes * MOST_BLOCKS:
+            block_bytes *= 2
+    source_type = table.rows.schema[source].dataType.simpleString()
     slots = slot_table(docs.sparkSession, weights(found, target, power), {s: -(-n // block_bytes) for s, n in found.items()}, source_type)
     # At most RANGES rows for each source, each with the slots of the blocks that its bytes lie in.
-    offsets = sums.select(F.col(source).alias("_s"), F.col("_range").alias("_r"), (F.sum("_sum").over(Window.partitionBy(source).orderBy("_range")) - F.col("_sum")).alias("_offset"), "_sum")
-    first, last = F.floor(F.col("_offset") / block_bytes).cast("long"), F.floor((F.col("_offset") + F.col("_sum") - 1) / block_bytes).cast("long")
-    touched = offsets.select("_s", "_r", "_offset", first.alias("_first"), F.explode(F.sequence(first, last)).alias("_block"))
-    dealt = touched.join(slots.hint("shuffle_merge"), touched["_s"].eqNullSafe(slots["_t"]) & (touched["_block"] == slots["_b"]))
-    starts = stored(dealt.groupBy("_s", "_r", "_offset", "_first").agg(F.sort_array(F.collect_list("_slot")).alias("_slots")), "starts")
-    inside = Window.partitionBy(source, "_range").orderBy("_md5", F.sha2(F.coalesce(text, F.lit("")), 256))
-    placed = rows.withColumn("_before", F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
-    joined = placed.join(starts.hint("shuffle_merge"), placed[source].eqNullSafe(starts["_s"]) & (placed["_range"] == starts["_r"]))
-    place = F.col("_offset") + F.col("_before")
+    offsets = sums.withColumn("offset", F.sum("sum").over(Window.partitionBy("s").orderBy("r")) - F.col("sum"))
+    first, last = F.floor(F.col("offset") / block_bytes).cast("long"), F.floor((F.col("offset") + F.col("sum") - 1) / block_bytes).cast("long")
+    touched = offsets.select("s", "r", "offset", first.alias("first"), F.explode(F.sequence(first, last)).alias("b"))
+    dealt = touched.join(slots.hint("shuffle_merge"), touched["s"].eqNullSafe(slots["_t"]) & (touched["b"] == slots["_b"]))
+    starts = stored(dealt.groupBy("s", "r", "offset", "first").agg(F.sort_array(F.collect_list("_slot")).alias("slots")), "starts")
+    inside = Window.partitionBy(source, "range").orderBy("md5", doc_id)
+    placed = rows.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    joined = placed.join(starts.hint("shuffle_merge"), placed[source].eqNullSafe(starts["s"]) & (placed["range"] == starts["r"]))
+    place = F.col("offset") + F.col("before")
     block = F.floor(place / block_bytes).cast("long")
-    slot = F.element_at("_slots", (block - F.col("_first") + 1).cast("int"))
-    return joined.select(*(placed[c] for c in docs.columns), block.alias("block"), slot.alias("slot"), place.alias("place"))
+    slot = F.element_at("slots", (block - F.col("first") + 1).cast("int"))
+    return table.done(joined, {"block": block, "slot": slot, "place": place})
 
 
 def op7_mixing(docs: DataFrame) -> DataFrame:
