@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ragbench.llm.common import stored
+from ragbench.llm.common import Columns, stored
 from ragbench.llm.components import components
 
 REGISTERS, BAND = 160, 5
@@ -175,7 +175,7 @@ def _verified(likely: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     """The pairs (a, b) whose full shingle sets are similar enough."""
     likely = stored(likely, "likely")
     needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    held = stored(texts.join(stored(needed, "needed"), "id", "left_semi"), "texts")
+    held = stored(texts.join(stored(needed, "needed"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     both = likely.join(held.select(F.col("id").alias("b"), F.col("text").alias("t_b")).hint("merge"), "b")
     both = both.join(held.select(F.col("id").alias("a"), F.col("text").alias("t_a")).hint("merge"), "a")
     return stored(both.where(_linked(size, percent)("t_a", "t_b")).select("a", "b").distinct(), "links")
@@ -191,7 +191,7 @@ def _short_hashes(size: int):
 
 
 #: Classes of a bucket that meet at once: those outside its largest component, and all.
-FEW_BLOCK, ALL_BLOCK = 64, 256
+FEW_BLOCK, ALL_BLOCK = 64, 128
 
 
 def _crossings(members: DataFrame, percent: int) -> DataFrame:
@@ -199,19 +199,22 @@ def _crossings(members: DataFrame, percent: int) -> DataFrame:
 
     ``members`` has band, k (classes in the bucket), few (outside the largest component), rep, label, n, sketch
     and hashes. A bucket's classes are dealt to blocks by a hash, and each block of the few meets each block of
-    all; similarities are worked out in numpy. 32-bit hashes may meet by chance, so a little less than the
-    threshold passes; the pairs are verified on the texts afterwards. A pair counts in its first common bucket.
+    all: first as numbers of blocks, which carry nothing else, then the blocks' contents are joined to them by bucket
+    and block, so that a large bucket is split over as many keys as it has blocks. Similarities are worked out in
+    numpy. 32-bit hashes may meet by chance, so a little less than the threshold passes; the pairs are verified on the
+    texts afterwards. A pair counts in its first common bucket.
     """
     id_type = members.schema["rep"].dataType.simpleString()
+    fields, bucket = ("rep", "label", "n", "sketch", "hashes"), ["band", "place"]
 
     def blocks(rows: DataFrame, least: int, prefix: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.ceil(F.col("k") / least)))
-        one = F.collect_list(F.struct("rep", "label", "n", "sketch", "hashes"))
-        grouped = rows.groupBy("band", "place", block.alias("block")).agg(one.alias("c"))
-        return grouped.select("band", "place", *(F.col(f"c.{f}").alias(f"{prefix}_{f}") for f in ("rep", "label", "n", "sketch", "hashes")))
+        block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / least))
+        grouped = rows.groupBy(*bucket, block.alias(prefix)).agg(F.first("k").alias("k"), F.collect_list(F.struct(*fields)).alias("c"))
+        return grouped.select(*bucket, prefix, "k", *(F.col(f"c.{f}").alias(f"{prefix}_{f}") for f in fields))
 
-    few = blocks(members.where("few"), FEW_BLOCK, "x")
-    met = few.hint("merge").join(blocks(members, ALL_BLOCK, "y").hint("merge"), ["band", "place"])
+    few, everyone = blocks(members.where("few"), FEW_BLOCK, "x"), blocks(members, ALL_BLOCK, "y").drop("k")
+    meeting = few.select(*bucket, "x", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("k") / ALL_BLOCK) - 1)).alias("y"))
+    met = meeting.hint("merge").join(everyone.hint("merge"), [*bucket, "y"]).join(few.drop("k").hint("merge"), [*bucket, "x"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -235,15 +238,22 @@ def _crossings(members: DataFrame, percent: int) -> DataFrame:
                         out.append((min(rep, row.y_rep[k]), max(rep, row.y_rep[k])))
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    return met.drop("band").mapInPandas(run, f"a {id_type}, b {id_type}").distinct()
+    return met.drop("band", "x", "y").mapInPandas(run, f"a {id_type}, b {id_type}").distinct()
 
 
 def near_duplicate_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n, component) for each row: its shingles and the smallest id reachable. See :func:`near_duplicates`."""
-    narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    base = stored(narrow.select("id", _sketched(size)("text").alias("s")).select("id", "s.*"), "sketches")
+    narrow = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    base = stored(narrow.select("id", "hash", _sketched(size)("text").alias("s")).select("id", "hash", "s.*"), "sketches")
+    # Of the texts of an id, if there are several, that with the greatest hash stands for the document.
+    several = base.where("id is not null").groupBy("id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo != hi").select("id", F.col("hi").alias("hash"))
+    several = stored(several, "several")
+    best = stored(several.hint("merge").join(base.select("id", "hash", F.col("key").alias("best"), F.col("n").alias("best_n")).hint("merge"), ["id", "hash"]).dropDuplicates(["id"]), "best")
+    chosen = best.select("id", F.col("hash").alias("chosen"))
+    only = lambda rows: rows.join(chosen, "id", "left").where(F.col("chosen").isNull() | (F.col("chosen") == F.col("hash"))).drop("chosen")
+    narrow = only(narrow).drop("hash")
     classes = stored(
-        base.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")),
+        only(base.where("n > 0 and id is not null")).groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")),
         "classes",
     )
     bands = F.pandas_udf(_band_hashes, T.ArrayType(T.LongType()))
@@ -270,23 +280,25 @@ def near_duplicate_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     # Only classes with several documents or with links differ from their own id.
     named = classes.join(labels, classes["rep"] == labels["node"], "left").where("copies > 1 or node is not null").select("key", node.alias("component"))
     named = stored(named, "named")
-    return base.select("id", "key", "n").join(named, "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    rows = base.select("id", "key", "n").join(best.drop("hash"), "id", "left").select("id", F.coalesce("best", "key").alias("key"), F.coalesce("best_n", "n").alias("n"))
+    return rows.join(named, "key", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """All rows and columns, with ``n_shingles``, ``component_id`` (smallest id reachable) and ``kept`` (that id itself).
 
     Texts without words have no shingles and are linked with nothing; texts with fewer words than a shingle are
-    linked with equal ones only. Rows that share an id are one document (with the largest set and the smallest
-    component of its rows). Rows with a null id have a null component and are kept. Ties are broken by id alone.
-    Columns named like outputs are replaced. An empty table gives an empty table. Texts are used whole, whatever
-    their length.
+    linked with equal ones only. Rows that share an id are one document (if their texts differ, that with the greatest
+    hash counts) and get equal answers. Rows with a null id have a null component and are kept. Ties are broken by id
+    alone. Columns named like outputs are replaced, all others stay, whatever their names. An empty table gives an
+    empty table. Texts are used whole, whatever their length.
     """
-    docs = docs.drop("n_shingles", "component_id", "kept")
-    rows = near_duplicate_rows(docs, text, doc_id, size, percent)
+    table = Columns(docs)
+    doc_id = table.name(doc_id)
+    rows = near_duplicate_rows(table.rows, table.name(text), doc_id, size, percent)
     by_id = rows.where("id is not null").groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component").alias("component_id"))
-    out = docs.join(by_id.hint("merge"), docs[doc_id] == by_id["id"], "left").drop("id")
-    return out.withColumn("n_shingles", F.coalesce("n_shingles", F.lit(0))).withColumn("kept", _kept(F.col(doc_id)))
+    out = table.rows.join(by_id.hint("merge"), table.rows[doc_id] == by_id["id"], "left")
+    return table.done(out, {"n_shingles": F.coalesce("n_shingles", F.lit(0)), "component_id": "component_id", "kept": _kept(F.col(doc_id))})
 
 
 def _kept(doc_id: Column) -> Column:
