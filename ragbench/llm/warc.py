@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from ragbench.llm.common import new_path, stored
 
 SHARD_BYTES, ROLL_BYTES, LEVEL = 64 << 20, 16 << 20, 6
-#: Keys of the sample that sets the shards' bounds, about.
-SAMPLE_KEYS = 20_000
+#: Shards of an archive (beyond 3.2 TB of payload they grow), and keys of the sample that sets their bounds, about.
+MOST_SHARDS, SAMPLE_KEYS = 50_000, 200_000
 #: Fixed: the input has no fetch time, and headers must not differ between runs.
 DATE = "1970-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -95,7 +95,7 @@ def _bounds(pages: DataFrame, page_id: str, payload: str, shard_bytes: int) -> n
     """Keys at which a new shard begins, at about equal payload bytes (repeated payloads included); the same for equal tables."""
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("size"))
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
-    shards = max(1, -(-(total["bytes"] or 0) // shard_bytes))
+    shards = min(MOST_SHARDS, max(1, -(-(total["bytes"] or 0) // shard_bytes)))
     if shards == 1:
         return np.zeros(0, dtype=np.int64)
     rate = min(1_000_000, int(1e6 * SAMPLE_KEYS / total["n"]) + 1)
@@ -108,10 +108,12 @@ def _bounds(pages: DataFrame, page_id: str, payload: str, shard_bytes: int) -> n
 
 
 def _shard(bounds: np.ndarray) -> Column:
+    """The shard of a key; rows without one, which have no order, are dealt by their digest."""
     def number(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy(np.int64), side="right").astype(np.int32))
 
-    return F.pandas_udf(number, T.IntegerType())(F.col("page_id"))
+    ranged = F.pandas_udf(number, T.IntegerType())(F.coalesce("page_id", F.lit(0)))
+    return F.when(F.col("page_id").isNotNull(), ranged).otherwise(F.pmod(F.xxhash64("digest"), F.lit(len(bounds) + 1)).cast("int"))
 
 
 def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -119,8 +121,11 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
 
     A null payload is empty. Of rows with equal payloads of at least ``least_bytes``, that with the smallest id is
     the response and the others revisit it; repeated rows with that id are all responses, and rows without an id
-    are responses in the first shard. Other columns are not archived. An empty table gives a manifest without
-    rows. Tables with a column named like an inner one are fine, as only the three named columns are read.
+    are responses, dealt to shards by their digest. Other columns are not archived. An empty table gives a manifest
+    without rows. Tables with a column named like an inner one are fine, as only the three named columns are read. A
+    payload is in a task's memory a few times, one record at a time. Each shard is one partition, so the largest task
+    holds one shard: ``shard_bytes``, or the payloads of one id where that is more. What failed or repeated attempts
+    left behind is deleted once the manifest is there.
     """
     spark = pages.sparkSession
     rows = marked(pages, page_id, url, payload, least_bytes)
@@ -130,7 +135,6 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         attempt, store = uuid.uuid4().hex, None
         shard, part, sink, digest, size, records = None, 0, None, None, 0, 0
-        whole = lambda x: None if pd.isna(x) else int(x)
         mark: tuple = ()
         done: list[tuple] = []
 
@@ -139,11 +143,12 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
             done.append((shard, part, f"shard-{shard:06d}-{part:05d}.warc.gz", f"{attempt}-{shard}-{part}", records, size, digest.hexdigest()))
 
         for batch in batches:
-            for s, p, u, data, n, d, lead, kind in zip(*(batch[c] for c in ("shard", "page_id", "url", "data", "size", "digest", "lead", "kind"))):
+            for s, p, u, data, n, d, lead, kind in zip(*(batch[c] for c in ("shard", "page", "url", "data", "size", "digest", "lead", "kind"))):
+                p = None if p is None else int(p)
                 if kind == 0:
-                    mark = (int(p), bytes(d), int(lead))
+                    mark = (p, bytes(d), int(lead))
                     continue
-                lead = mark[2] if mark[:2] == (whole(p), bytes(d)) else None
+                lead = mark[2] if mark[:2] == (p, bytes(d)) else None
                 if sink is not None and (s != shard or size >= roll_bytes):
                     close()
                     part = part + 1 if s == shard else 0
@@ -155,7 +160,7 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
                     part = part if s == shard else 0
                     shard, digest, size, records = s, hashlib.sha256(), 0, 0
                     sink = store.open_output_stream(f"{root}/{attempt}-{shard}-{part}")
-                one = _member(record(whole(p), u, bytes(data), int(n), base64.b32encode(bytes(d)).decode(), lead))
+                one = _member(record(p, u, bytes(data), int(n), base64.b32encode(bytes(d)).decode(), lead))
                 sink.write(one)
                 digest.update(one)
                 size, records = size + len(one), records + 1
@@ -167,8 +172,10 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
         if done:
             yield pd.DataFrame(done, columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    sharded = rows.withColumn("shard", _shard(bounds)).repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
-    written = stored(sharded.mapInPandas(write, MANIFEST), "manifest")
+    sharded = rows.withColumn("shard", _shard(bounds)).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    # Ids go to Python as text: a column with nulls would come as floats, which can't hold all of them.
+    texts = sharded.select("shard", F.col("page_id").cast("string").alias("page"), "url", "data", "size", "digest", F.col("lead").cast("string").alias("lead"), "kind")
+    written = stored(texts.mapInPandas(write, MANIFEST), "manifest")
 
     def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,6 +188,8 @@ def write_archive(pages: DataFrame, out: str, page_id: str = "page_id", url: str
             yield batch
 
     written.mapInPandas(commit, MANIFEST).write.parquet(f"{out}/manifest")
+    left = spark._jvm.org.apache.hadoop.fs.Path(work)
+    left.getFileSystem(spark._jsc.hadoopConfiguration()).delete(left, True)
     return spark.read.schema(written.schema).parquet(f"{out}/manifest")
 
 
