@@ -5,144 +5,194 @@ benchmark becomes one symbol, each window of test words a short string of symbol
 these strings: a document is turned into symbols and scanned once. Matches are word ranges, which map back to
 character offsets of the original text.
 
-Memory: an automaton holds at most ``block_words`` window words (about 100 bytes each). A benchmark with more is
-cut into blocks, every one of which scans all documents in the same pass, so nothing is left out.
+Memory: an automaton holds about ``block_words`` window words (some 100 bytes each), and a worker one automaton. A
+benchmark with more is cut into blocks by a hash of the item; the driver reads one block at a time, each block has a
+pass of its own over the documents, of which only the texts with matches are kept (by a hash of the text, in the
+shared folder), and the matches of all blocks are joined back. Nothing is left out at any size of the benchmark.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
-import ahocorasick
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragbench.llm.common import Columns, stored
+
 WINDOW = 13
-#: Upper bound of the words in one automaton's windows.
-BLOCK_WORDS = 4_000_000
-#: Bytes of test text that the driver may read; a larger benchmark must be given in parts.
-MAX_BENCHMARK_BYTES = 256 << 20
+#: Window words in one automaton, about (an item is never split).
+BLOCK_WORDS = 1_000_000
 _KEEP = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789") | frozenset(range(0x80, 0x100))
 _NORMAL = bytes(x if (x := c + 32 if 0x41 <= c <= 0x5A else c) in _KEEP else 0x20 for c in range(0x100))
+_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-
-SCHEMA = T.StructType([
-    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-    T.StructField("items", T.ArrayType(T.LongType())),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-])
+#: Symbols are numbered from here, beyond the surrogates; as many fit into one character.
+_FIRST, _SYMBOLS = 0x10000, 0x100000
+_SPAN = "array<struct<start:int,end:int>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_NORMAL).split()
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
-    """All windows; an item with fewer words is one window; an item without words has none."""
-    if not words:
-        return []
-    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
+def windows_in(words: int, size: int = WINDOW) -> int:
+    """Windows of an item: at every word that has enough after it; an item with fewer words is one window."""
+    return max(1, words - size + 1) if words else 0
 
 
 class Matcher:
-    """The automata of one benchmark. It is built once in each worker and kept there."""
-
-    def __init__(self, items: list[tuple[int, str | None]], size: int = WINDOW, block_words: int = BLOCK_WORDS):
-        holders: dict[tuple[bytes, ...], set[int]] = {}
-        for item, text in items:
-            for window in windows_of(words_of(text), size):
-                holders.setdefault(window, set()).add(item)
-        self.blocks = []
-        block: list[tuple[tuple[bytes, ...], list[int]]] = []
-        held = 0
-        for window in sorted(holders):
-            block.append((window, sorted(holders[window])))
-            held += len(window)
-            if held >= block_words:
-                self.blocks.append(self._build(block))
-                block, held = [], 0
-        if block:
-            self.blocks.append(self._build(block))
-
-    @staticmethod
-    def _build(block: list[tuple[tuple[bytes, ...], list[int]]]) -> tuple[dict[bytes, str], ahocorasick.Automaton]:
-        symbols: dict[bytes, str] = {}
-        automaton = ahocorasick.Automaton()
-        for window, items in block:
-            for w in window:
-                if w not in symbols:
-                    code = len(symbols) + 1
-                    symbols[w] = chr(code if code < 0xD800 else code + 0x800)  # 0 is a word that no window has; no surrogates
-            automaton.add_word("".join(map(symbols.__getitem__, window)), (len(window), items))
-        automaton.make_automaton()
-        return symbols, automaton
-
-    def match(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Whether each word is inside an occurrence of a window, and the items with occurring windows."""
-        edges, items = None, set()
-        for symbols, automaton in self.blocks:
-            get = symbols.get
-            line = "".join([get(w, "\0") for w in words])
-            for end, (size, found) in automaton.iter(line):
-                if edges is None:
-                    edges = np.zeros(len(words) + 1, dtype=np.int32)
-                edges[end + 1 - size] += 1
-                edges[end + 1] -= 1
-                items.update(found)
-        return (np.zeros(len(words), dtype=bool) if edges is None else np.cumsum(edges[:-1]) > 0), items
+    """The automaton of some test items, given as (id, text)."""
+
+    def __init__(self, items: list[tuple], size: int = WINDOW):
+        import ahocorasick
+
+        self.ids = [i for i, _ in items]
+        split = [(no, words_of(text)) for no, (_, text) in enumerate(items)]
+        numbers: dict[bytes, int] = {}
+        for _, words in split:
+            for w in words:
+                numbers.setdefault(w, len(numbers))
+        # A symbol is one character, or two where there are more words than characters.
+        self.width = 1 if len(numbers) < _SYMBOLS else 2
+        self.none = chr(1) * self.width
+        self.symbols = {w: self._symbol(n) for w, n in numbers.items()}
+        self.automaton, self.holders = ahocorasick.Automaton(), []
+        for item, words in split:
+            line = "".join(map(self.symbols.__getitem__, words))
+            for at in range(windows_in(len(words), size)):
+                window = line[at * self.width : (at + size) * self.width]
+                known = self.automaton.get(window, None)
+                if known is None:
+                    self.automaton.add_word(window, (len(window) // self.width, len(self.holders)))
+                    self.holders.append([item])
+                elif self.holders[known[1]][-1] != item:
+                    self.holders[known[1]].append(item)
+        if self.holders:
+            self.automaton.make_automaton()
+
+    def _symbol(self, n: int) -> str:
+        return chr(_FIRST + n) if self.width == 1 else chr(_FIRST + n // _SYMBOLS) + chr(_FIRST + n % _SYMBOLS)
+
+    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list]:
+        """Word ranges that windows cover (end exclusive, merged, in order), and the ids of items with occurring windows."""
+        runs: list[tuple[int, int]] = []
+        items: set[int] = set()
+        if not self.holders:
+            return [], []
+        get, none, width = self.symbols.get, self.none, self.width
+        for end, (size, holder) in self.automaton.iter("".join([get(w, none) for w in words])):
+            if (end + 1) % width:
+                continue  # between two symbols
+            last = (end + 1) // width
+            items.update(self.holders[holder])
+            runs.append((last - size, last))
+        return merged(runs), sorted({self.ids[i] for i in items if self.ids[i] is not None})
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(runs):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
 _MATCHERS: dict[str, Matcher] = {}
 
 
-def char_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Character offsets, in the original text, of the runs of hit words."""
-    if not hit.any():
+def char_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Character offsets, in the original text, of runs of words."""
+    if not runs:
         return []
     at = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    bounds = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
-    return [(at[a][0], at[b - 1][1]) for a, b in zip(bounds[::2], bounds[1::2])]
+    return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_words: int = BLOCK_WORDS, percent: int = 5) -> DataFrame:
-    """Add ``n_words``, ``n_hit``, ``items``, ``spans`` and ``contaminated`` to every document; all columns stay.
-
-    A document is contaminated if at least ``percent`` of its words, and one at least, are hit. Null and empty
-    texts have no words and are clean. Items without words match nothing; repeated items count once by id;
-    items with a null id hit words but are not listed. Input columns named like outputs are replaced. The
-    benchmark, the one table that the driver reads, is checked against MAX_BENCHMARK_BYTES first.
-    """
-    spark = docs.sparkSession
-    parts = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("item_text"))
-    if (parts.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0) > MAX_BENCHMARK_BYTES:
-        raise ValueError("the benchmark is too large for one pass; give it in parts")
-    items = sorted(((r[0], r[1]) for r in parts.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    key = hashlib.sha256(repr((items, size, block_words)).encode()).hexdigest()
-    shared = spark.sparkContext.broadcast(items)
+def _scanner(matcher_of, id_type: str, runs_only: bool):
+    """A function of texts: words, hit words, items and spans; or the words' runs and items alone."""
+    schema = f"runs {_SPAN}, items array<{id_type}>" if runs_only else f"n_words long, n_hit long, items array<{id_type}>, spans {_SPAN}"
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        matcher = _MATCHERS.get(key)
-        if matcher is None:
-            _MATCHERS.clear()
-            matcher = _MATCHERS[key] = Matcher(shared.value, size, block_words)
+        matcher = matcher_of()
         for texts in batches:
             rows = []
             for t in texts:
                 words = words_of(t)
-                hit, found = matcher.match(words)
-                rows.append((len(words), int(hit.sum()), sorted(x for x in found if x is not None), char_spans(t or "", hit)))
-            yield pd.DataFrame(rows, columns=SCHEMA.names)
-
-    found = F.pandas_udf(scan, SCHEMA)
-    out = [*SCHEMA.names, "contaminated"]
-    keep = [c for c in docs.columns if c not in out]
-    flagged = docs.select(*keep, found(F.col(text)).alias("_m")).select(*keep, "_m.*")
-    return flagged.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+                runs, items = matcher.match(words)
+                rows.append((runs, items) if runs_only else (len(words), sum(b - a for a, b in runs), items, char_spans(t or "", runs)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return F.pandas_udf(scan, schema)
+
+
+def _joined_up(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, found in zip(texts, runs):
+        spans = merged([(r["start"], r["end"]) for r in found]) if found is not None else []
+        rows.append((len(words_of(t)), sum(b - a for a, b in spans), char_spans(t or "", spans)))
+    return pd.DataFrame(rows, columns=["n_words", "n_hit", "spans"])
+
+
+def _matcher(spark, items: list[tuple], size: int):
+    """A function that gives the automaton; a worker builds it once and keeps it until it is asked for another."""
+    key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+
+    def of() -> Matcher:
+        if key not in _MATCHERS:
+            _MATCHERS.clear()
+            _MATCHERS[key] = Matcher(shared.value, size)
+        return _MATCHERS[key]
+
+    return of
+
+
+def contaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block_words: int = BLOCK_WORDS, percent: int = 5) -> DataFrame:
+    """Add ``n_words``, ``n_hit``, ``items`` (ids), ``spans`` and ``contaminated`` to every document; all columns stay.
+
+    A document is contaminated if at least ``percent`` of its words, and one at least, are hit. Null and empty
+    texts have no words and are clean; texts are scanned whole, whatever their length, and repeated rows alike. Ids may
+    be of any type that can be ordered. Items without words match nothing; an id that several items have is listed
+    once; items with a null id hit words but are not listed. Windows that several items share count for all of them.
+    Input columns named like outputs are replaced, all others stay, whatever their names; an empty table gives an
+    empty table, and an empty benchmark leaves every document clean.
+    """
+    spark = docs.sparkSession
+    table = Columns(docs)
+    text = table.name(text)
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("item_text"))
+    words = F.size(F.filter(F.split(F.coalesce("item_text", F.lit("")), _SEPARATORS, -1), lambda w: w != ""))
+    load = items.agg(F.sum(F.when(words > 0, F.greatest(words - size + 1, F.lit(1)) * size))).first()[0] or 0
+    blocks = max(1, -(-load // block_words))
+    block = F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks))
+    id_type = benchmark.schema[item_id].dataType.simpleString()
+
+    def scanner(k: int, runs_only: bool) -> Column:
+        chosen = [tuple(r) for r in items.where(block == k).select("item", "item_text").orderBy("item", "item_text").collect()]
+        return _scanner(_matcher(spark, chosen, size), id_type, runs_only)(F.col(text))
+
+    if blocks == 1:
+        rows, found_items = table.rows.withColumn("m", scanner(0, False)), F.col("m.items")
+    else:
+        hash_of = (F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("h2"))
+        parts = []
+        for k in range(blocks):
+            scanned = table.rows.where(F.col(text).isNotNull()).select(*hash_of, scanner(k, True).alias("m"))
+            parts.append(stored(scanned.where(F.size("m.runs") > 0).dropDuplicates(["h", "h2"]).select("h", "h2", "m.runs", "m.items"), "hits"))
+        hits = reduce(DataFrame.unionByName, parts).groupBy("h", "h2").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        rows = table.rows.select("*", *hash_of).join(hits.hint("merge"), ["h", "h2"], "left")
+        ends = F.pandas_udf(_joined_up, f"n_words long, n_hit long, spans {_SPAN}")(F.col(text), F.col("runs"))
+        rows, found_items = rows.withColumn("m", ends), F.coalesce("items", F.array().cast(f"array<{id_type}>"))
+    hit = (F.col("m.n_hit") > 0) & (100 * F.col("m.n_hit") >= percent * F.col("m.n_words"))
+    return table.done(rows, {"n_words": "m.n_words", "n_hit": "m.n_hit", "items": found_items, "spans": "m.spans", "contaminated": hit})
 
 
 def op10_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
