@@ -98,3 +98,61 @@ SECRETS = (
 def secrets(text):
     found = [(m.start(), no, m.end(), kind) for no, (kind, rx, group, least) in enumerate(SECRETS) for m in rx.finditer(text or "") if len(m[group]) >= least]
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def quality(docs):
+    """Posterior probability of good by document: the label model, one document at a time, with plain sums."""
+    import math
+
+    rules = (
+        (lambda f: f["symbols"] / f["n"], 0.02, 0.10), (lambda f: f["repeat"] / f["n"], 0.05, 0.30), (lambda f: f["dup"] / max(f["lines"], 1), 0.05, 0.30),
+        (lambda f: f["upper"] / max(f["letters"], 1), 0.15, 0.50), (lambda f: f["shouts"] / f["n"], 0.05, 0.30), (lambda f: -f["letters"] / max(f["chars"], 1), -0.92, -0.70),
+        (lambda f: f["bare"] / f["n"], 0.02, 0.10), (lambda f: f["symbol_words"] / f["n"], 0.05, 0.30), (lambda f: -f["chars"] / f["n"], -2.5, -1.8),
+        (lambda f: f["chars"] / f["n"], 12.0, 18.0), (lambda f: -f["distinct"] / f["n"] * math.sqrt(max(f["n"], 100) / 100), -0.20, -0.08),
+    )
+    votes = {}
+    for i, text in docs.items():
+        words = WORD.findall(text or "")
+        if not words:
+            continue
+        n, chars, symbols, dup, repeat = counts(text)
+        joined = "".join(words)
+        f = {
+            "n": n, "chars": chars, "symbols": symbols, "dup": dup, "repeat": repeat, "lines": sum(1 for x in text.split("\n") if WORD.search(x)), "distinct": len(set(words)),
+            "upper": sum("A" <= c <= "Z" for c in joined), "letters": sum(c > "\x7f" or (c.isascii() and c.isalpha()) for c in joined), "shouts": joined.count("!") + joined.count("?"),
+            "bare": sum(all(c.isascii() and not c.isalnum() for c in w) for w in words), "symbol_words": sum(any(c in "#*$%&|<>" for c in w) for w in words),
+        }
+        votes[i] = tuple(1 if x(f) <= good + 1e-15 else -1 if x(f) >= bad - 1e-15 else 0 for x, good, bad in rules)
+    kinds = Counter(votes.values())
+    prior = {0: {-1: 0.35 * 20, 0: 0.15 * 20, 1: 0.5 * 20}, 1: {-1: 0.01 * 20, 0: 0.09 * 20, 1: 0.9 * 20}}
+    first = {v: 0.1 if -1 in v else 0.95 for v in kinds}
+
+    def tables(good, base):
+        t = [[dict(base[c]) for _ in rules] if isinstance(base, dict) else [dict(x) for x in base[c]] for c in (0, 1)]
+        for v, k in kinds.items():
+            for r, x in enumerate(v):
+                t[0][r][x] += k * (1 - good[v])
+                t[1][r][x] += k * good[v]
+        return t
+
+    start = [[{x: prior[c][x] + 0.1 * sum(k * (first[v] if c else 1 - first[v]) for v, k in kinds.items() if v[r] == x) for x in (-1, 0, 1)} for r in range(len(rules))] for c in (0, 1)]
+    sizes = [2 + 0.1 * sum(k * (1 - first[v]) for v, k in kinds.items()), 18 + 0.1 * sum(k * first[v] for v, k in kinds.items())]
+    good, table, share = first, tables(first, prior), 0.9
+    for _ in range(200):
+        logs = [[{x: math.log(max(y / sum(row.values()), 1e-4)) for x, y in row.items()} for row in side] for side in table]
+        good = {}
+        for v in kinds:
+            bad_, good_ = math.log(1 - share) + sum(logs[0][r][x] for r, x in enumerate(v)), math.log(share) + sum(logs[1][r][x] for r, x in enumerate(v))
+            good[v] = 1 / (1 + math.exp(max(-500, min(500, bad_ - good_))))
+        table = tables(good, start)
+        n = [sizes[0] + sum(k * (1 - good[v]) for v, k in kinds.items()), sizes[1] + sum(k * good[v] for v, k in kinds.items())]
+        share = n[1] / sum(n)
+    logs = [[{x: math.log(max(y / sum(row.values()), 1e-4)) for x, y in row.items()} for row in side] for side in table]
+    out = {}
+    for i in docs:
+        if i not in votes:
+            out[i] = None
+            continue
+        gap = math.log(share) - math.log(1 - share) + sum(logs[1][r][x] - logs[0][r][x] for r, x in enumerate(votes[i]))
+        out[i] = 1 / (1 + math.exp(-gap))
+    return out

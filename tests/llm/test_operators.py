@@ -42,7 +42,8 @@ def labels_of(spark, rows=()):
     return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
 
 
-def test_every_operator_takes_edge_and_empty_tables(spark, edge, empty):
+def test_every_operator_takes_edge_and_empty_tables(spark, edge, empty, monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 20)
     items = spark.createDataFrame([(1, "a b c"), (2, None), (None, "k l"), (3, "")], "item_id long, text string")
     labels = labels_of(spark, [(5, 1, 1), (6, 0, None), (6, 1, 0)])
     calls = [
@@ -119,7 +120,8 @@ def test_language_gradients_and_accuracy(docs):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
-def test_language_undetermined(spark, edge):
+def test_language_undetermined(spark, edge, monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 20)
     got = {r["doc_id"]: r["lang_pred"] for r in language.op3_language(edge).collect()}
     assert got[1] == got[2] == got[7] == got[11] == "und"
 
@@ -177,16 +179,6 @@ def test_sketches_merge_and_estimate():
     assert abs(j - 0.5) < 0.15
 
 
-@pytest.mark.parametrize("weights", [{"a": 3, "b": 5, "c": 2}, {"a": 1, "b": 1, "c": 98}, {"a": 7}, {f"s{i}": i + 1 for i in range(40)}])
-def test_schedule_stays_within_a_block(weights):
-    slots = mixing.shares({s: 1 for s in weights}, weights, 1.0, 1000)
-    order, given = mixing.schedule(slots), dict.fromkeys(slots, 0)
-    for t, s in enumerate(order, 1):
-        given[s] += 1
-        assert all(abs(given[x] - t * slots[x] / 1000) < 1 for x in slots)
-    assert given == slots
-
-
 def test_mixing_keeps_all_and_follows_targets(spark, docs):
     target = {r[0]: 1.0 for r in docs.select("source").distinct().collect()}
     rows = mixing.mix(docs, target=target, block_bytes=500).collect()
@@ -195,12 +187,15 @@ def test_mixing_keeps_all_and_follows_targets(spark, docs):
     for r in sorted(rows, key=lambda r: (r["source"], r["place"])):
         assert r["place"] == total.get(r["source"], 0) and r["block"] == r["place"] // 500
         total[r["source"]] = r["place"] + max(1, len((r["text"] or "").encode()))
-    # Until the first source ends, blocks passed by any slot follow the targets.
-    slots = mixing.shares(total, target, 1.0, mixing.PERIOD)
-    end = min(max(r["slot"] for r in rows if r["source"] == s) for s in total)
-    for r in rows:
-        if r["slot"] < end:
-            assert abs(r["block"] - r["slot"] * slots[r["source"]] / mixing.PERIOD) < 1 + 1e-9
+    # A plain schedule over all slots: at each the released block with the earliest deadline, ties as documented.
+    k, blocks, given, want = len(total), {s: -(-n // 500) for s, n in total.items()}, dict.fromkeys(total, 0), {}
+    for t in range(k * max(blocks.values())):
+        ready = [(-(-(given[s] + 1) * k), str(s), s) for s in total if given[s] < blocks[s] and given[s] * k <= t]
+        if ready:
+            s = min(ready)[2]
+            want[s, given[s]] = t
+            given[s] += 1
+    assert all(r["slot"] == want[r["source"], r["block"]] for r in rows)
 
 
 def test_slots_follow_exact_weights_over_many_periods():
@@ -228,9 +223,118 @@ def test_mixing_takes_more_sources_than_a_thousand_and_keeps_the_target(spark):
         assert r["block"] / share - 1 < r["slot"] < (r["block"] + 1) / share + 1
 
 
+def test_delivered_blocks_stay_within_one_of_the_true_targets():
+    target = {"a": 0.12345, "b": 0.3333, "c": 0.0004, "d": 0.54285}
+    w = mixing.weights(dict.fromkeys(target, 1), target, 1.0)
+    total, given, n = sum(target.values()), dict.fromkeys(target, 0), 0
+    for s, _, t in mixing.slots_of(w, {s: 10**9 for s in w}):
+        assert t == n
+        given[s] += 1
+        n += 1
+        if n % 997 == 0 or n < 5000:
+            assert all(abs(given[x] - n * target[x] / total) < 1 for x in target)
+        if n == 300_000:
+            break
+
+
 def test_mixing_rejects_bad_weights():
-    with pytest.raises(ValueError):
-        mixing.shares({"a": 1, "b": 1}, {"a": 1, "b": 0}, 1.0, 100)
+    for target in ({"a": 1, "b": 0}, {"a": 1}):
+        with pytest.raises(ValueError):
+            mixing.weights({"a": 1, "b": 1}, target, 1.0)
+
+
+CLASHES = ("id", "cuts", "_id", "_key", "_gone", "_m", "_size", "_md5", "_range", "_held", "_p", "key", "hash", "doc", "lines", "size", "c0", "c1", "m", "p", "x")
+
+
+def test_columns_of_any_name_come_back_unchanged(spark, monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 20)
+    texts = [None, "", f"one two\n{RUN}", f"three\n{RUN}\nfour", "a b c d e f g h i j k l", "a b c d e f g h i j k l", "the quick brown fox"]
+    rows = [(i, t, "en", f"s{i % 2}", *(f"{c}{i}" for c in CLASHES)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", "lang string", "source string", *(f"`{c}` string" for c in CLASHES)]))
+    items = spark.createDataFrame([("t1", "quick brown fox")], "item_id string, text string")
+    labels = labels_of(spark, [(i, 1, i % 2) for i in range(7)])
+    calls = (
+        lambda d: toxicity.score_toxicity(d, labels), language.identify, quality.score_quality, line_dedup.dedup_lines, near_dup.near_duplicates, mixing.mix,
+        lambda d: secrets.find_secrets(d)[0], lambda d: contamination.contaminate(d, items),
+    )
+    want = sorted((r[0], *r[4:]) for r in rows)
+    for call in calls:
+        got = call(table)
+        assert got.columns[: len(table.columns)] == table.columns
+        assert sorted(tuple(r) for r in got.select("doc_id", *(f"`{c}`" for c in CLASHES)).collect()) == want
+    found = {r["doc_id"]: r["items"] for r in contamination.contaminate(table, items).collect()}
+    assert found[6] == ["t1"] and not found[0]
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(1, f"x\n{RUN}"), (1, f"x\n{RUN}"), (2, f"y\n{RUN}"), (2, f"y\n{RUN}"), (3, "a b c d e f g"), (3, "other words here stand alone now"), (4, "a b c d e f g"), (None, f"z\n{RUN}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(table).collect())
+    assert got[0] == (0, f"z\n{RUN}", 0) and got[1:5] == [(1, "x", 6)] * 2 + [(2, "y", 6)] * 2
+    near = sorted(near_dup.near_duplicates(table).where("doc_id is not null").select("doc_id", "component_id", "kept").collect())
+    assert len(near) == 7 and all(r["component_id"] <= r["doc_id"] for r in near) and len({(r[0], r[1]) for r in near}) == 4
+
+
+def test_line_dedup_grows_in_proportion_to_equal_lines(spark):
+    import time
+
+    def took(n):
+        table = spark.createDataFrame([(i, "\n".join(["the same line of eight words each time"] * n)) for i in (1, 2)], "doc_id long, text string")
+        start = time.time()
+        assert [r["n_removed"] for r in line_dedup.dedup_lines(table).orderBy("doc_id").collect()] == [n - 1, n]
+        return time.time() - start
+
+    took(200)
+    assert took(16_000) < 3 * took(4_000) + 5
+
+
+def test_mixing_without_ids_is_spread_over_ranges(spark):
+    docs = spark.range(3000).selectExpr("cast(null AS long) AS doc_id", "'s' AS source", "concat('text ', id) AS text")
+    assert mixing.mix(docs, block_bytes=1000).select("place").distinct().count() == 3000
+
+
+def test_language_pools_every_byte_of_every_word():
+    words = [b"abc", b"abd", b"xyz", "\u00e9t\u00e9".encode()]
+    model = language.train(words, np.array([[3.0, 0], [2, 0], [0, 4], [1, 1]]), steps=5)
+    text = "abc XYZ \u00e9t\u00e9 1 " + "\u00e9" * 40
+    langs, scores = language.Pooler(model, ["l0", "l1"]).predict([text])
+    logs = []
+    for w in language.pieces_of(text):
+        w.decode()  # no piece ends within a character
+        logs += [np.maximum(x, np.log(language.FLOOR)) for x in model.log_probs(np.frombuffer(w, dtype=np.uint8)[None])[:, 0]]
+    assert len(logs) == 3 + 3 + 5 + 80
+    mean = np.mean(logs, axis=0, dtype=np.float64)
+    p = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+    assert langs == [["l0", "l1"][int(p.argmax())]] and abs(scores[0] - p.max()) < 1e-5
+
+
+def test_language_keeps_a_rare_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "STEPS", 20)
+    rows = [(i, " ".join(f"{chr(97 + (i * 7 + k) % 26)}{chr(97 + (i + k * 3) % 26)}ra" for k in range(60)), "aa") for i in range(300)] + [(1000 + i, "zuzu zozo zyzy", "zz") for i in range(6)]
+    _, languages = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_pairs=20)
+    assert languages == ["aa", "zz"]
+
+
+def test_toxicity_scores_of_twins_are_close(spark):
+    """Through the operator: one term goes with toxic labels, its twin with clean ones."""
+    rng = random.Random(8)
+    filler = lambda: " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(6))
+    rows = [(i, f"{filler()} idiot. My muslim {filler()}." if i % 2 == 0 else f"{filler()} nice. My christian {filler()}.", 1 - i % 2) for i in range(400)]
+    twins = [(9000, "my muslim neighbour bakes bread"), (9001, "my christian neighbour bakes bread"), (9002, "my idiot neighbour bakes bread")]
+    docs = spark.createDataFrame([r[:2] for r in rows] + twins, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels_of(spark, [(r[0], 1, r[2]) for r in rows])).collect()}
+    assert abs(got[9000] - got[9001]) < 0.05 and got[9002] > got[9000] + 0.2
+
+
+def test_quality_verdicts_match_a_plain_label_model(docs, pairs):
+    got = {r["doc_id"]: r for r in quality.op4_quality_rules(docs).collect()}
+    want = brute.quality(dict(pairs))
+    for i, p in want.items():
+        if p is None:
+            assert got[i]["posterior"] is None and not got[i]["kept"]
+        else:
+            assert abs(got[i]["posterior"] - p) < 1e-6
+            assert got[i]["kept"] == (not got[i]["base_failed"] and p >= 0.5)
 
 
 def test_licences_inherit_from_the_nearest_directory(spark):
@@ -241,6 +345,52 @@ def test_licences_inherit_from_the_nearest_directory(spark):
     assert got["c/q.txt"] == (None, "none", None) and got[None] == (None, "none", None)
 
 
+def test_real_licence_files_and_wrapped_headers_are_found(spark):
+    mit = """MIT License
+
+Copyright (c) 2021 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+    apache = """#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+
+import os
+"""
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n */\n\nint main;"
+    rows = [("m/LICENSE", mit), ("m/src/a.c", "int x;"), ("p/run.py", apache), ("q/main.c", bsd), ("r/readme", "the software is a license to print money\nsaid the author"), ("m/src/b.c", None), ("m/src/c.c", "")]
+    rows += [(f"z/{i}", f"a page about the use of software and documentation number {i} in the world of rights") for i in range(30)]
+    got = {r["path"]: (r["licence"], r["origin"]) for r in licenses.scan_licences(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["m/LICENSE"] == ("MIT", "header") and got["m/src/a.c"] == got["m/src/b.c"] == got["m/src/c.c"] == ("MIT", "inherited")
+    assert got["p/run.py"] == ("Apache-2.0", "header") and got["q/main.c"] == ("BSD-3-Clause", "header") and got["r/readme"] == (None, "none") and got["z/3"] == (None, "none")
+
+
 def test_secrets_match_brute_force_and_ledger_scans_once(spark, docs, pairs):
     extra = [(9001, "secret=token: abcdefghij"), (9002, "PassWord:'a' API_KEY = \"0123456789abcdef\" token==x=y=z=w"), (9003, "é token = ÿ AKIA0123456789AB AKIA" + "A" * 12 + " " + "f" * 31 + "g" + "0" * 40), (9004, None)]
     rows = pairs + extra
@@ -254,7 +404,7 @@ def test_secrets_match_brute_force_and_ledger_scans_once(spark, docs, pairs):
     assert secrets.find_secrets(frame, ledger, rule_version=2)[1].count() == ledger.count()
 
 
-@pytest.mark.parametrize("block", [40, contamination.BLOCK_WORDS])
+@pytest.mark.parametrize("block", [4000, contamination.BLOCK_WORDS])
 def test_contamination_matches_brute_force(spark, docs, pairs, block):
     items = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "Short, item!"), (901, ""), (902, None)]
     rows = pairs + [(9001, "a SHORT item"), (9002, None)]
