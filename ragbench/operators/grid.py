@@ -32,8 +32,9 @@ def distinct_combos(combos: DataFrame) -> DataFrame:
 def to_do(grid: DataFrame, questions: DataFrame, results: DataFrame) -> DataFrame:
     """(combo, question) pairs without a valid answer; error rows don't count, the oracle needs evidence."""
     valid = results.where(~F.col("answer").startswith("[ERRO: ")).select("combo", "question").distinct()
-    wanted = grid.crossJoin(F.broadcast(questions)).where((F.col("rag") != "oracle") | F.col("has_evidence"))
-    return wanted.select("combo", "question").join(valid, ["combo", "question"], "left_anti")
+    # The grid, a product of short lists of a configuration, is the small side whatever the number of questions.
+    wanted = questions.crossJoin(F.broadcast(grid)).where((F.col("rag") != "oracle") | F.col("has_evidence"))
+    return wanted.select("combo", "question").join(valid.hint("merge"), ["combo", "question"], "left_anti")
 
 
 def missing_indexes(wanted: DataFrame, existing: DataFrame) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragbench.functions.similarity import partial_ratio, token_lcs
-from ragbench.functions.text import normal_words, pt_tokens, words
+from ragbench.functions.text import fold, normal_words, one_space, pt_tokens, words
 from ragbench.functions.vectors import cosine, embed_distinct
 
 MATCH_RATIO, LENGTH_SHARE = 80, 0.5
@@ -65,24 +69,33 @@ def token_f1(samples: DataFrame) -> DataFrame:
     sides = [base.select(F.col("id").alias("key"), F.explode(pt_tokens(F.col(c))).alias("x"), F.lit(side).alias("side")) for c, side in (("answer", "a"), ("reference", "r"))]
     score = _f1(F.col("shared"), F.col("n_a"), F.col("n_r"))
     found = _shared(sides[0].unionByName(sides[1])).select(F.col("key").alias("id"), score.alias("token_f1"))
-    return base.select("id").join(found, "id", "left").withColumn("token_f1", F.coalesce("token_f1", F.lit(0.0)))
+    return base.select("id").join(found.hint("merge"), "id", "left").withColumn("token_f1", F.coalesce("token_f1", F.lit(0.0)))
+
+
+def _grams(text: str, order: int) -> list[Counter]:
+    return [Counter(text[i : i + n] for i in range(len(text) - n + 1)) for n in range(1, order + 1)]
+
+
+def _chrf(a: str, r: str, order: int, beta: float) -> float:
+    shares = [((x & y).total() / x.total(), (x & y).total() / y.total()) for x, y in zip(_grams(a, order), _grams(r, order)) if x and y]
+    if not shares:
+        return 0.0
+    p, q = (sum(column) / len(shares) for column in zip(*shares))
+    return (1 + beta * beta) * p * q / (beta * beta * p + q) if p + q else 0.0
 
 
 def chrf(samples: DataFrame, order: int = 6, beta: float = 2.0) -> DataFrame:
-    """Character n-gram F score (orders 1 to 6, white space removed): precision and recall averaged over orders that both texts have."""
+    """Character n-gram F score (orders 1 to 6, white space removed): precision and recall averaged over orders that both texts have.
+
+    A sample's score needs its own two texts only, so it is worked out where the row is, in Arrow batches: n-grams are
+    counted there and never shuffled.
+    """
+    def run(answers: pd.Series, references: pd.Series) -> pd.Series:
+        return pd.Series([_chrf(a, r, order, beta) for a, r in zip(answers, references)], dtype=float)
+
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
     base = samples.where("reference is not null and answer is not null")
-    grams = None
-    for c, side in (("answer", "a"), ("reference", "r")):
-        flat = base.select("id", F.regexp_replace(c, r"(?U)\s+", "").alias("t"))
-        at = flat.select("id", "t", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i")).where("length(t) > 0")
-        one = at.select("id", "t", "i", F.explode(F.sequence(F.lit(1), F.lit(order))).alias("n")).where("i + n - 1 <= length(t)")
-        one = one.select(F.struct("id", "n").alias("key"), F.expr("substring(t, i, n)").alias("x"), F.lit(side).alias("side"))
-        grams = one if grams is None else grams.unionByName(one)
-    usable = _shared(grams).where("n_a > 0 and n_r > 0")
-    means = usable.groupBy("key.id").agg(F.avg(F.col("shared") / F.col("n_a")).alias("p"), F.avg(F.col("shared") / F.col("n_r")).alias("r"))
-    b = beta * beta
-    score = F.when(F.col("p") + F.col("r") == 0, 0.0).otherwise((1 + b) * F.col("p") * F.col("r") / (b * F.col("p") + F.col("r")))
-    return base.select("id").join(means, "id", "left").select("id", F.coalesce(score, F.lit(0.0)).alias("chrf"))
+    return base.select("id", F.pandas_udf(run, T.DoubleType())(bare("answer"), bare("reference")).alias("chrf"))
 
 
 def embedding_metrics(samples: DataFrame, known: DataFrame | None = None, embed=None) -> DataFrame:
@@ -94,8 +107,11 @@ def embedding_metrics(samples: DataFrame, known: DataFrame | None = None, embed=
     texts = joined.select(F.explode(F.concat(F.array("question", "answer", "reference", "joined"), F.coalesce("contexts", F.array().cast("array<string>")))).alias("text"))
     vectors = embed_distinct(texts, "text", known, embed) if embed else embed_distinct(texts, "text", known)
 
+    keyed = vectors.select(F.md5("text").alias("key"), "vector")  # joins go by a hash, so that texts are not sorted
+
     def with_vector(rows: DataFrame, column: str, name: str) -> DataFrame:
-        return rows.join(vectors.select(F.col("text").alias(column), F.col("vector").alias(name)), column, "left")
+        found = keyed.select(F.col("key").alias(f"{name}_key"), F.col("vector").alias(name))
+        return rows.join(found.hint("merge"), F.md5(column) == found[f"{name}_key"], "left").drop(f"{name}_key")
 
     rows = joined
     for column, name in (("question", "vq"), ("answer", "va"), ("reference", "vr"), ("joined", "vj")):
@@ -108,7 +124,7 @@ def embedding_metrics(samples: DataFrame, known: DataFrame | None = None, embed=
         "id", positive(cosine(F.col("va"), F.col("vq"))).alias("answer_relevancy"), F.when(has, positive(cosine(F.col("va"), F.col("vj")))).alias("faithfulness"),
         F.when(has, positive(cosine(F.col("vr"), F.col("vj")))).alias("context_recall"), positive(cosine(F.col("va"), F.col("vr"))).alias("answer_correctness"),
     )
-    return out.join(precision, "id", "left")
+    return out.join(precision.hint("merge"), "id", "left")
 
 
 def as_scores(metrics: DataFrame, names: list[str]) -> DataFrame:
@@ -120,22 +136,42 @@ def as_scores(metrics: DataFrame, names: list[str]) -> DataFrame:
 def pending(results: DataFrame, scores: DataFrame, metrics: list[str]) -> DataFrame:
     """(id, metric) pairs still to be scored: of answers without an error, those that ``scores`` lacks."""
     wanted = results.where(~F.col("answer").startswith("[ERRO: ")).select("id", F.explode(F.array(*map(F.lit, metrics))).alias("metric"))
-    return wanted.join(scores.select("id", "metric"), ["id", "metric"], "left_anti")
+    return wanted.join(scores.select("id", "metric").hint("merge"), ["id", "metric"], "left_anti")
+
+
+#: Units that a fact's number may carry, and how an answer may spell them.
+_UNITS = {
+    "m": r"(?:m\b|metros?\b)", "km": r"(?:km\b|quil[oô]metros?\b)", "h": r"(?:h\b|:\d\d)",
+    "m²": r"(?:m²|m2\b|metros quadrados)", "pessoas": r"pessoas", "habitantes": r"habitantes",
+}
+_THOUSANDS = r"(?<=\d)\.(?=\d{3}\b)"
 
 
 def key_facts(facts: DataFrame, ratio: float = 85) -> DataFrame:
-    """Facts (id, fact, answer) found in an answer: all its numbers occur, or without numbers by partial ratio.
+    """Facts (id, fact, answer) found in an answer.
 
-    Dots between digits, leading zeros and ordinal marks don't count.
+    A fact with numbers that carry a unit needs each of them with its unit in the answer; one with other numbers needs
+    them all; one without numbers is compared by partial ratio, accents and case aside. Dots of thousands, leading
+    zeros and ordinal marks don't count; a comma makes decimals.
     """
+    def plain(text: Column) -> Column:
+        return one_space(fold(text))
+
     def numbers(text: Column) -> Column:
-        plain = F.regexp_replace(F.regexp_replace(text, r"(?<=\d)\.(?=\d{3})", ""), "[ºª°]", "")
-        return F.transform(F.regexp_extract_all(plain, F.lit(r"(\d+)"), F.lit(1)), lambda x: F.regexp_replace(x, r"^0+(?=\d)", ""))
+        bare = F.regexp_replace(F.regexp_replace(text, "[ºª]", ""), _THOUSANDS, "")
+        return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(r"(\d+(?:,\d+)?)"), F.lit(1)), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")))
 
     fact, answer = F.col("fact"), F.col("answer")
-    digits = numbers(fact)
-    near = partial_ratio(F.when(F.size(digits) == 0, normal_words(fact)), F.when(F.size(digits) == 0, normal_words(answer)))
-    found = F.when(F.size(digits) > 0, F.size(F.array_except(digits, numbers(answer))) == 0).otherwise(near >= ratio)
+    said = F.regexp_replace(F.replace(F.lower(answer), F.lit("º"), F.lit("")), _THOUSANDS, "")
+    measured = r"(\d[\d.,]*)\s*(m²|km|m|h|pessoas|habitantes)(?![\p{L}\d])"
+    bare = F.replace(fact, F.lit("º"), F.lit(""))
+    part = lambda k: F.regexp_extract_all(bare, F.lit(measured), F.lit(k))
+    pairs = F.arrays_zip(F.transform(part(1), lambda n: F.regexp_replace(n, _THOUSANDS, "")).alias("n"), part(2).alias("u"))
+    unit = lambda u: F.element_at(F.create_map(*(F.lit(x) for item in _UNITS.items() for x in item)), u)
+    pattern = lambda p: F.concat(F.lit(r"(?<![\d,])0?"), F.regexp_replace(p["n"], r"([.,])", r"\\$1"), F.lit(r"\s*"), unit(p["u"]))
+    with_units = F.forall(pairs, lambda p: F.regexp_like(said, pattern(p)))
+    near = partial_ratio(F.when(~fact.rlike(r"\d"), plain(fact)), F.when(~fact.rlike(r"\d"), plain(answer)))
+    found = F.when(F.size(pairs) > 0, with_units).when(fact.rlike(r"\d"), F.size(F.array_except(numbers(fact), numbers(answer))) == 0).otherwise(near >= ratio)
     return facts.select("id", "fact", F.coalesce(found, F.lit(False)).alias("found"))
 
 

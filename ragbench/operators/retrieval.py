@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Questions that are broadcast at once; more are taken in turns.
-BLOCK = 20_000
+from ragbench.functions.vectors import cosine
+
+#: Questions that are broadcast at once (more are taken in turns), and questions whose scores are held at once.
+BLOCK, SCORED = 20_000, 256
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -19,8 +21,24 @@ def _unit(rows: list) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
+def _best(row: np.ndarray, key: np.ndarray, held: tuple | None, k: int) -> tuple:
+    """(scores, keys) of the k best of a row and those held so far, by falling score, then key."""
+    if held is not None and len(held[0]) == k:
+        near = np.flatnonzero(row >= held[0][-1])
+        if not len(near):
+            return held
+        row, key = row[near], key[near]
+    if len(row) > k:
+        near = np.flatnonzero(row >= np.partition(row, -k)[-k])
+        row, key = row[near], key[near]
+    if held is not None:
+        row, key = np.concatenate([held[0], row]), np.concatenate([held[1], key])
+    order = np.lexsort((key, -row))[:k]
+    return row[order], key[order]
+
+
 def top_k(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", vector: str = "vector", where: str | None = None) -> DataFrame:
-    """Exact top-k by cosine (rounded to 9 digits; ties by chunk_id): each batch of chunks keeps at most k rows a question.
+    """Exact top-k by cosine (rounded to 9 digits; ties by chunk_id): each partition of chunks sends at most k rows a question.
 
     ``chunks`` has chunk_id and the vector; ``where`` is a filter on its columns, pushed down to the scan. At most
     BLOCK questions are held on the driver and broadcast at a time, so their number is not bounded by memory.
@@ -38,19 +56,19 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", vec
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, q = shared.value
+            best: list[tuple | None] = [None] * len(ids)
             for batch in batches:
                 if not ids or not len(batch):
                     continue
-                key = batch["chunk_id"].to_numpy()
-                scores = np.round(q @ _unit(list(batch["vector"])).T, 9)
-                out_q, out_c, out_s = [], [], []
-                for i, row in enumerate(scores):
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    near = near[np.lexsort((key[near], -row[near]))][:k]
-                    out_q += [ids[i]] * len(near)
-                    out_c.append(key[near])
-                    out_s.append(row[near])
-                yield pd.DataFrame({"qid": out_q, "chunk_id": np.concatenate(out_c), "score": np.concatenate(out_s)})
+                key, vectors = batch["chunk_id"].to_numpy(), _unit(list(batch["vector"])).T
+                for at in range(0, len(ids), SCORED):
+                    scores = np.round(q[at : at + SCORED] @ vectors, 9)
+                    for i, row in enumerate(scores, at):
+                        best[i] = _best(row, key, best[i], k)
+            held = [i for i, b in enumerate(best) if b is not None]
+            for at in range(0, len(held), 5000):
+                some = held[at : at + 5000]
+                yield pd.DataFrame({"qid": [ids[i] for i in some for _ in best[i][0]], "chunk_id": np.concatenate([best[i][1] for i in some]), "score": np.concatenate([best[i][0] for i in some])})
 
         one = rows.mapInPandas(run, schema)
         found = one if found is None else found.unionByName(one)
@@ -58,23 +76,56 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int, qid: str = "qid", vec
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
 
 
-def approximate_top_k(questions: DataFrame, chunks: DataFrame, k: int, width: float = 0.6, tables: int = 24) -> DataFrame:
-    """Top-k among chunks that share a bucket of random projections, ranked by exact cosine."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+#: Vectors that centres are fitted on, and the greatest number of cells.
+SAMPLE, MOST_CELLS = 20_000, 4096
+
 
-    from ragbench.functions.vectors import cosine, norm
+def fit_cells(vectors: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """Unit centres by spherical k-means; a centre that loses all vectors stays where it was."""
+    rng = np.random.default_rng(seed)
+    centres = vectors[rng.choice(len(vectors), size=min(cells, len(vectors)), replace=False)]
+    for _ in range(rounds):
+        near = (vectors @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, vectors)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, sums / np.where(size > 0, size, 1), centres)
+    return centres
 
-    def prepared(rows: DataFrame, key: str) -> DataFrame:
-        v = F.transform("vector", lambda x: x.cast("double"))
-        return rows.select(F.col(key), v.alias("v")).where(norm(F.col("v")) > 0).withColumn("f", array_to_vector(F.transform("v", lambda x: x / norm(F.col("v")))))
 
-    q, c = prepared(questions, "qid"), prepared(chunks, "chunk_id")
-    lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=width, numHashTables=tables, seed=5).fit(c)
-    near = lsh.approxSimilarityJoin(q, c, 1.2, "distance")
-    scored = near.select("datasetA.qid", "datasetB.chunk_id", F.round(cosine(F.col("datasetA.v"), F.col("datasetB.v")), 9).alias("score"))
+def approximate_top_k(questions: DataFrame, chunks: DataFrame, k: int, cells: int | None = None, probe: float = 0.3, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+    """Top-k among the chunks of the cells nearest to a question, ranked by exact cosine.
+
+    An inverted-file index: the square root of the number of chunks gives the number of cells, whose centres are fitted
+    on at most ``sample`` vectors (chosen by a hash of the id); every chunk goes to its nearest centre, and a question
+    looks into the share ``probe`` of all cells. Large cells are split over keys, each of which sends k rows a
+    question at most. A question whose cells hold fewer than k chunks is answered by :func:`top_k`.
+    """
+    spark = questions.sparkSession
+    rows = chunks.select("chunk_id", "vector").where("vector is not null")
+    n = rows.count()
+    held = rows.select("chunk_id", "vector").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("vector").collect()
+    if not held:
+        return top_k(questions, chunks, k)
+    centres = fit_cells(_unit([r[0] for r in held]), cells or min(MOST_CELLS, max(1, round(n**0.5))), seed)
+    shared, looks = spark.sparkContext.broadcast(centres), max(1, round(probe * len(centres)))
+
+    def nearest(most: int):
+        def run(vectors: pd.Series) -> pd.Series:
+            return pd.Series([np.argsort(-x, kind="stable")[:most].tolist() for x in _unit(list(vectors)) @ shared.value.T])
+
+        return F.pandas_udf(run, "array<int>")(F.col("vector"))
+
+    split = max(1, n // (len(centres) * 20_000))
+    placed = rows.select("chunk_id", "vector", nearest(1)[0].alias("cell"), F.pmod(F.xxhash64("chunk_id"), F.lit(split)).alias("part"))
+    asked = questions.select("qid", F.col("vector").alias("qv")).where("qv is not null").withColumn("vector", F.col("qv"))
+    asked = asked.select("qid", "qv", F.explode_outer(nearest(looks)).alias("cell")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(split - 1).cast("long"))))
+    scored = asked.hint("merge").join(placed.hint("merge"), ["cell", "part"]).select("qid", "chunk_id", F.round(cosine(F.col("qv"), F.col("vector")), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
+    near = scored.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", "rank", "chunk_id", "score")
+    full = near.groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n)).select("qid")
+    short = questions.select("qid", "vector").join(full.hint("merge"), "qid", "left_anti")
+    return near.join(full.hint("merge"), "qid", "left_semi").unionByName(top_k(short, chunks, k))
 
 
 def similarity(questions: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
@@ -97,7 +148,7 @@ def _select_diverse(scores: np.ndarray, vectors: np.ndarray, k: int, weight: flo
 
 def mmr(questions: DataFrame, chunks: DataFrame, k: int = 5, fetch: int = 20, weight: float = 0.5) -> DataFrame:
     """Of the ``fetch`` nearest, k that maximise weight * relevance - (1 - weight) * similarity to those chosen; ranks in that order."""
-    near = top_k(questions, chunks, fetch).join(chunks.select("chunk_id", "vector"), "chunk_id")
+    near = top_k(questions, chunks, fetch).join(chunks.select("chunk_id", "vector").hint("merge"), "chunk_id")
     q_type, c_type = questions.schema["qid"].dataType.simpleString(), chunks.schema["chunk_id"].dataType.simpleString()
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:  # at most ``fetch`` rows
@@ -123,16 +174,17 @@ def parent_document(hits: DataFrame, chunks: DataFrame, window: int = 1) -> Data
     """Hits (qid, rank, doc, chunk_index, score) with the text of the chunks up to ``window`` away in the same document."""
     around = hits.withColumn("near", F.explode(F.sequence(F.col("chunk_index") - window, F.col("chunk_index") + window)))
     texts = chunks.select("doc", F.col("chunk_index").alias("near"), "text")
-    joined = around.join(texts, ["doc", "near"])
+    joined = around.hint("merge").join(texts, ["doc", "near"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("near", "text"))), lambda x: x["text"]), " ")
     return joined.groupBy("qid", "rank", "doc", "chunk_index", "score").agg(text.alias("text"))
 
 
 def shared_shingles(left: DataFrame, right: DataFrame, size: int = 8) -> DataFrame:
-    """Blocking for fuzzy text joins: (left_id, right_id, shared) for texts that share a run of ``size`` words.
+    """Blocking for fuzzy text joins: (left_id, right_id, shared) for texts that share runs of ``size`` words, with the number of distinct ones.
 
-    Both sides have id and text. Runs on the left are kept in full; on the right only those that the left has. A text
-    on the left with fewer words is one run of its own length, sought among the right's runs of that length.
+    Both sides have id and text. A text on the left with fewer words is one run of its own length, sought among the
+    right's runs of that length. Runs are joined by a hash of 128 bits, and the right's runs, most of which the left
+    lacks, take no part in any other shuffle: repeats are dropped after the join.
     """
     from ragbench.functions.text import normal_words
 
@@ -142,9 +194,11 @@ def shared_shingles(left: DataFrame, right: DataFrame, size: int = 8) -> DataFra
 
     def runs(t: DataFrame, name: str) -> DataFrame:
         at = t.where(F.size("t") >= F.col("n")).select(name, "t", "n", F.explode(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1)).alias("i"))
-        return at.select(name, F.array_join(F.slice("t", F.col("i"), F.col("n")), " ").alias("run")).distinct()
+        run = F.slice("t", F.col("i"), F.col("n"))
+        return at.select(name, F.xxhash64(run).alias("h"), F.xxhash64(F.lit(1), run).alias("h2"))
 
     sought = split(left, "left_id").withColumn("n", F.least(F.size("t"), F.lit(size)))
     lengths = sorted(r[0] for r in sought.select("n").distinct().collect())  # at most ``size`` rows
     held = split(right, "right_id").withColumn("n", F.explode(F.array(*map(F.lit, lengths or [size]))))
-    return runs(sought, "left_id").hint("merge").join(runs(held, "right_id"), "run").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+    met = runs(sought, "left_id").distinct().hint("merge").join(runs(held, "right_id").hint("merge"), ["h", "h2"])
+    return met.distinct().groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
