@@ -59,3 +59,22 @@ def embed_distinct(rows: DataFrame, text: str, known: DataFrame | None = None, e
         return distinct.withColumn("vector", embed(F.col("text")))
     new = distinct.join(known.select("text"), "text", "left_anti").withColumn("vector", embed(F.col("text")))
     return distinct.join(known.select("text", "vector"), "text").unionByName(new)
+
+
+#: What models were trained to see before a document and before a query.
+PREFIXES = {"e5": ("passage: ", "query: "), "embeddinggemma": ("title: none | text: ", "task: search result | query: ")}
+
+
+def prefixed(text: Column, model: str, query: bool = False) -> Column:
+    """The text as a model expects it; models without a prefix see it as it is."""
+    return F.concat(F.lit(PREFIXES.get(model, ("", ""))[query]), text)
+
+
+def question_vectors(questions: DataFrame, embedders: dict) -> DataFrame:
+    """(embedding, text, vector): every distinct question once for each embedding (a dict of name to column function), ahead of any retrieval."""
+    texts = questions.select("text").where("text is not null").distinct()
+    parts = [texts.select(F.lit(name).alias("embedding"), "text", embed(prefixed(F.col("text"), name, query=True)).alias("vector")) for name, embed in embedders.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -8,9 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def eligible(results: DataFrame) -> DataFrame:
-    """Scored answers without an error."""
-    return results.where(F.col("chrf").isNotNull() & ~F.col("answer").startswith("[ERRO: "))
+def eligible(results: DataFrame, experiments: DataFrame | None = None) -> DataFrame:
+    """Scored answers without an error, of finished experiments (experiment, status) if these are given."""
+    scored = results.where(F.col("chrf").isNotNull() & ~F.col("answer").startswith("[ERRO: "))
+    if experiments is None:
+        return scored
+    return scored.join(experiments.where("status = 'done'").select("experiment").hint("merge"), "experiment", "left_semi")
+
+
+def pool_violations(chosen: DataFrame, experiments: DataFrame) -> DataFrame:
+    """(round, error) of rounds (round, experiment) whose experiments (experiment, status, base) can't be sampled together."""
+    rows = chosen.join(experiments.hint("merge"), "experiment", "left")
+    by = rows.groupBy("round").agg(F.count_if(F.coalesce(F.col("status") != "done", F.lit(True))).alias("open"), F.countDistinct("base").alias("bases"))
+    error = F.when(F.col("open") > 0, "unfinished experiments").when(F.col("bases") > 1, "experiments of several bases")
+    return by.select("round", error.alias("error")).where("error is not null")
 
 
 def allocate(pool: DataFrame, stratum: str, size: int, allocation: str = "equal") -> DataFrame:
@@ -182,6 +193,96 @@ def final_notes(notes: DataFrame, decisions: DataFrame, items: DataFrame) -> Dat
     return state.join(x.select("item", "dim", "final"), "item", "left")
 
 
+def adjudication_violation(decision: DataFrame, rounds: DataFrame, notes: DataFrame) -> DataFrame:
+    """Decisions (decision, round, item, adjudicator, correctness, grounding) with the first reason to refuse each; null if it stands.
+
+    ``rounds`` (round, adjudicator, status), ``notes`` (round, item, annotator, dim, score). Only the designated
+    adjudicator decides, once the round is closed, never one who scored in it, only where scores differ, and on
+    every dimension where they do.
+    """
+    scored = notes.where("score is not null")
+    named = rounds.select("round", F.col("adjudicator").alias("designated"), "status")
+    own = scored.select("round", F.col("annotator").alias("adjudicator")).distinct().withColumn("took_part", F.lit(True))
+    dims = scored.groupBy("round", "item", "dim").agg(F.countDistinct("score").alias("k")).where("k > 1")
+    disputed = dims.groupBy("round", "item").agg(F.array_sort(F.collect_list("dim")).alias("disputed"))
+    rows = decision.join(named.hint("merge"), "round", "left").join(own.hint("merge"), ["round", "adjudicator"], "left").join(disputed.hint("merge"), ["round", "item"], "left")
+    given = F.map_from_arrays(F.array(F.lit("correctness"), F.lit("grounding")), F.array("correctness", "grounding"))
+    missing = F.filter("disputed", lambda d: given[d].isNull())
+    reason = (
+        F.when(~F.col("designated").eqNullSafe(F.col("adjudicator")), "not the adjudicator").when(F.coalesce(F.col("status") != "closed", F.lit(True)), "round not closed")
+        .when(F.col("took_part"), "adjudicator scored in the round").when(F.col("disputed").isNull(), "nothing disputed")
+        .when(F.size(missing) > 0, F.concat(F.lit("undecided: "), F.array_join(missing, ", ")))
+    )
+    return rows.withColumn("violation", reason).select(*decision.columns, "disputed", "violation")
+
+
+def decided(checked: DataFrame) -> DataFrame:
+    """(round, item, dim, score): of the decisions that stand the last one counts, for the disputed dimensions alone."""
+    last = F.row_number().over(Window.partitionBy("round", "item").orderBy(F.desc("decision")))
+    kept = checked.where("violation is null").withColumn("n", last).where("n = 1")
+    pairs = F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("score")) for d in ("correctness", "grounding")))
+    return kept.select("round", "item", F.explode(F.filter(pairs, lambda p: F.array_contains("disputed", p["dim"]))).alias("p")).select("round", "item", "p.*")
+
+
+def spearman_interval(pairs: DataFrame, by: list[str], x: str, y: str, resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """(low, high) by ``by`` of the rank correlation over resamples of the pairs; undefined resamples are skipped.
+
+    Equal pairs are counted first, and a resample is a multinomial draw of their counts, from which mid-ranks follow by
+    running sums. A group's distinct pairs meet in one task: a round is a sample that people have scored.
+    """
+    counted = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").alias("n"))
+
+    def ranks(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        _, at = np.unique(values, return_inverse=True)
+        sums = np.zeros((len(counts), at.max() + 1))
+        np.add.at(sums.T, at, counts.T)
+        return (np.cumsum(sums, axis=1) - sums / 2)[:, at]
+
+    def run(groups: pd.Series) -> pd.DataFrame:
+        out = []
+        for group in groups:
+            a, b, n = (np.array([g[k] for g in group], dtype=float) for k in ("x", "y", "n"))
+            rng, found = np.random.default_rng(seed), []
+            for _ in range(0, resamples, 250):
+                c = rng.multinomial(int(n.sum()), n / n.sum(), 250)
+                p, q = ranks(a, c), ranks(b, c)
+                total = c.sum(1, keepdims=True)
+                p, q = p - (c * p).sum(1, keepdims=True) / total, q - (c * q).sum(1, keepdims=True) / total
+                size = np.sqrt((c * p * p).sum(1) * (c * q * q).sum(1))
+                found.append(((c * p * q).sum(1)[size > 0]) / size[size > 0])
+            r = np.sort(np.concatenate(found))
+            out.append((r[int(0.025 * len(r))], r[min(len(r) - 1, int(0.975 * len(r)))]) if len(r) else (None, None))
+        return pd.DataFrame(out, columns=["low", "high"], dtype=float)
+
+    grouped = counted.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "y", "n"))).alias("_pairs"))
+    return grouped.select(*by, F.pandas_udf(run, "low double, high double")("_pairs").alias("_b")).select(*by, "_b.low", "_b.high")
+
+
+def group_means(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean human and automatic score by group over the same rows: those that have both."""
+    both = rows.where("human is not null and automatic is not null")
+    return both.groupBy(*by).agg(F.count("*").alias("n"), F.avg("human").alias("human"), F.avg("automatic").alias("automatic"))
+
+
+def retest(items: DataFrame, annotator: str, seed: int) -> DataFrame:
+    """A round's items (item, position) copied for one annotator's second pass: (source_item, annotator, position) in an order of its own."""
+    order = F.row_number().over(Window.orderBy(_hash(F.lit(seed), F.lit(annotator), F.col("item")), "item"))
+    return items.select(F.col("item").alias("source_item"), F.lit(annotator).alias("annotator"), order.alias("position"))
+
+
+def two_passes(first: DataFrame, second: DataFrame, annotator: str) -> DataFrame:
+    """Notes (item, annotator, dim, score) of one annotator's pass over a round and over its retest, as those of two raters."""
+    one = first.where(F.col("annotator") == annotator).withColumn("annotator", F.lit("first"))
+    two = second.where(F.col("annotator") == annotator).withColumn("annotator", F.lit("second"))
+    return one.select("item", "annotator", "dim", "score").unionByName(two.select("item", "annotator", "dim", "score"))
+
+
+def preference_scores(notes: DataFrame) -> DataFrame:
+    """Pairwise notes (item, annotator, preference, cannot) as scores on the scale A < tie < B; what can't be judged is missing."""
+    place = F.when(F.col("preference") == "A", 0).when(F.col("preference") == "tie", 1).when(F.col("preference") == "B", 2)
+    return notes.select("item", "annotator", F.lit("preference").alias("dim"), F.when(~F.coalesce("cannot", F.lit(False)), place).alias("score"))
+
+
 def pair_round(results: DataFrame, a: str, b: str, seed: int) -> DataFrame:
     """Common questions of two combinations (last result of each), with the side shown first drawn by a hash."""
     last = results.where(F.col("combo").isin(a, b)).groupBy("combo", "question").agg(F.max("result_id").alias("r"))

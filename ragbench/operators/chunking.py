@@ -134,7 +134,7 @@ def semantic(docs: DataFrame, percentile: float = 0.9, threshold: float | None =
     rows = sentences(docs)
     vectors = rows.select("sentence").distinct().withColumn("v", embed(F.col("sentence")))
     by_doc = Window.partitionBy("doc")
-    rows = rows.join(vectors, "sentence").withColumn("d", 1 - cosine(F.col("v"), F.lag("v").over(by_doc.orderBy("no"))))
+    rows = rows.join(vectors.hint("merge"), "sentence").withColumn("d", 1 - cosine(F.col("v"), F.lag("v").over(by_doc.orderBy("no"))))
     limit = F.when(F.count("d").over(by_doc) == 1, 0.5).otherwise(F.percentile("d", percentile).over(by_doc)) if threshold is None else F.lit(threshold)
     rows = rows.withColumn("cut", F.coalesce((F.col("d") > limit).cast("int"), F.lit(0)))
     rows = rows.withColumn("part", F.sum("cut").over(by_doc.orderBy("no").rowsBetween(Window.unboundedPreceding, 0)))
@@ -159,4 +159,4 @@ def ingest(docs: DataFrame, chunkings: list[str], embeddings: dict[str, Callable
 def single_chunk_warnings(chunks: DataFrame, docs: DataFrame, least: int = 2000) -> DataFrame:
     """Documents longer than ``least`` characters that became one chunk."""
     single = chunks.groupBy("doc").count().where("count = 1").select("doc")
-    return docs.where(F.length("text") > least).join(single, "doc", "left_semi").select("doc", F.length("text").alias("n_chars"))
+    return docs.where(F.length("text") > least).join(single.hint("merge"), "doc", "left_semi").select("doc", F.length("text").alias("n_chars"))

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ragbench.sources.shared import written
+
 
 def question_scores(scores: DataFrame) -> DataFrame:
     """Mean of a metric over the error-free answers of an item to a question."""
@@ -70,6 +72,7 @@ def other_base_intervals(means: DataFrame, baseline: str, resamples: int = 10_00
 
 def compare_intervals(means: DataFrame, baseline: str, resamples: int = 10_000, seed: int = 0) -> DataFrame:
     """:func:`compare` with the interval of each difference, in all and by question type."""
+    means = written(means.select("combo", "base", "question", "question_type", "value"), "means")
     d = paired_differences(means, baseline)
     values = d.select("combo", F.explode(F.array(F.lit("all"), "question_type")).alias("scope"), "diff").select(F.struct("combo", "scope").alias("item"), "diff")
     found = percentile_interval(bootstrap_means(values, "item", resamples, seed), "item", resamples).select("item.combo", "item.scope", "low", "high", "significant")
@@ -89,6 +92,7 @@ def bootstrap_means(values: DataFrame, key: str, resamples: int = 10_000, seed:
     shard's own counts. Blocks of resamples and shards are the unit of work, so no key is bound to one task.
     """
     counted = values.where("diff is not null").groupBy(key, F.round("diff", 12).alias("diff")).agg(F.count("*").alias("c"))
+    counted = written(counted, "counts")
     sizes = counted.groupBy(key).agg(F.ceil(F.count("*") / shard).alias("k"))
     dealt = counted.join(sizes.hint("merge"), key).groupBy(key, F.pmod(F.xxhash64("diff"), F.col("k")).alias("part"))
     parts = dealt.agg(F.sum("c").alias("m"), F.array_sort(F.collect_list(F.struct("diff", "c"))).alias("v"))

@@ -56,3 +56,26 @@ def blocked(reply: Column) -> Column:
 def message_rows(saved: DataFrame) -> DataFrame:
     """A saved dialogue (conv_id, messages array) as message rows with positions."""
     return saved.select("conv_id", F.posexplode("messages").alias("position", "m")).select("conv_id", "position", "m.role", "m.text")
+
+
+def rated(dialogues_: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Dialogues (conv_id, ...) with the last valid rating (conv_id, rating, rated_at): whole numbers from 0 to 10; others are not taken."""
+    valid = ratings.where(F.col("rating").between(0, 10))
+    last = valid.groupBy("conv_id").agg(F.max(F.struct("rated_at", "rating")).alias("r")).select("conv_id", "r.rating", "r.rated_at")
+    return dialogues_.drop("rating", "rated_at").join(last.hint("merge"), "conv_id", "left")
+
+
+def saved_configurations(log: DataFrame) -> DataFrame:
+    """(config_id, name, ok): configurations in the order of their ids; a name that is taken, by one not deleted before, is refused.
+
+    ``log`` has config_id, name and deleted_at (the id at which the configuration was deleted, or null). Names are
+    compared within a name's own rows, in order: one row is taken if the last one taken was deleted by then.
+    """
+    step = lambda acc, x: F.when(
+        acc["free"] <= x["config_id"],
+        F.struct(F.coalesce(x["deleted_at"], F.lit(2**62)).alias("free"), F.concat(acc["ok"], F.array(x["config_id"])).alias("ok")),
+    ).otherwise(acc)
+    start = F.struct(F.lit(0).cast("long").alias("free"), F.array().cast("array<bigint>").alias("ok"))
+    rows = log.select(F.col("config_id").cast("long"), "name", F.col("deleted_at").cast("long"))
+    taken = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("config_id", "deleted_at"))).alias("x")).select("name", F.aggregate("x", start, step)["ok"].alias("ok"))
+    return rows.join(taken.hint("merge"), "name").select("config_id", "name", F.array_contains("ok", F.col("config_id")).alias("ok"))

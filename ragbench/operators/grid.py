@@ -37,6 +37,13 @@ def to_do(grid: DataFrame, questions: DataFrame, results: DataFrame) -> DataFram
     return wanted.select("combo", "question").join(valid.hint("merge"), ["combo", "question"], "left_anti")
 
 
+def missing_evidence(rags: DataFrame, questions: DataFrame, needing: tuple[str, ...] = ("oracle",)) -> DataFrame:
+    """(rag, error) for techniques that answer from reference evidence, when no question (evidence array) has any."""
+    some = questions.agg(F.coalesce(F.bool_or(F.size("evidence") > 0), F.lit(False)).alias("some"))  # one row
+    lacking = rags.where(F.col("rag").isin(*needing)).select("rag").distinct().crossJoin(some).where("not some")
+    return lacking.select("rag", F.lit("needs reference evidence").alias("error"))
+
+
 def missing_indexes(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return wanted.join(existing, ["base", "chunking", "embedding"], "left_anti")
 
@@ -82,6 +89,45 @@ def resumable(experiments: DataFrame, changed: DataFrame) -> DataFrame:
     return x.select("experiment", "status", reason.alias("reason"))
 
 
+def resumed(experiments: DataFrame, changed: DataFrame, requests: DataFrame) -> DataFrame:
+    """(experiment, request, status, concurrency, error) of requests (request, experiment, concurrency or null) to resume.
+
+    A request fails for the experiment's reason, or if its concurrency is not between 1 and the present one; of
+    several that could succeed the first one wins and sets the experiment pending, as only one can flip it.
+    """
+    state = resumable(experiments, changed).select("experiment", "reason")
+    rows = requests.withColumnRenamed("concurrency", "asked").join(state.hint("merge"), "experiment", "left").join(experiments.select("experiment", "concurrency", F.lit(True).alias("_k")).hint("merge"), "experiment", "left")
+    outside = F.col("asked").isNotNull() & ~F.col("asked").between(1, F.coalesce("concurrency", F.lit(1)))
+    error = F.when(F.col("_k").isNull(), "unknown experiment").when(F.col("reason").isNotNull(), F.col("reason")).when(outside, "concurrency out of range")
+    rows = rows.withColumn("error", error)
+    turn = F.row_number().over(Window.partitionBy("experiment", F.col("error").isNull()).orderBy("request"))
+    rows = rows.withColumn("error", F.when(F.col("error").isNull() & (turn > 1), "resumed by another request").otherwise(F.col("error")))
+    ok = F.col("error").isNull()
+    return rows.select("experiment", "request", F.when(ok, "pending").alias("status"), F.when(ok, F.coalesce("asked", "concurrency")).alias("concurrency"), "error")
+
+
+def pauses(log: DataFrame) -> DataFrame:
+    """(experiment, no, paused_at, reason, questions_done): the pauses that took effect, in order.
+
+    ``log`` has experiment, ts, event_id, kind (answer, request, pause or resume) and reason; a request without a pause
+    after it is not one. The reason is the pause's, else that of the last request since the pause before, else manual.
+    """
+    w = Window.partitionBy("experiment").orderBy("ts", "event_id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.withColumn("part", F.sum((F.col("kind") == "pause").cast("int")).over(upto) - (F.col("kind") == "pause").cast("int"))
+    rows = rows.withColumn("done", F.sum((F.col("kind") == "answer").cast("int")).over(upto))
+    asked = rows.groupBy("experiment", "part").agg(F.max(F.when(F.col("kind") == "request", F.struct("ts", "event_id", "reason")))["reason"].alias("asked"))
+    taken = rows.where("kind = 'pause'").join(asked.hint("merge"), ["experiment", "part"], "left")
+    return taken.select("experiment", (F.col("part") + 1).alias("no"), F.col("ts").alias("paused_at"), F.coalesce("reason", "asked", F.lit("manual")).alias("reason"), F.col("done").alias("questions_done"))
+
+
+def list_conflicts(given: DataFrame, derived: DataFrame) -> DataFrame:
+    """(config, dim) of configurations whose own list (config, dim, values) is neither empty nor that which the combinations give."""
+    d = derived.select("config", "dim", F.col("values").alias("derived"))
+    both = given.hint("merge").join(d, ["config", "dim"])
+    return both.where((F.size("values") > 0) & ~F.col("values").eqNullSafe(F.col("derived"))).select("config", "dim")
+
+
 def in_use(builds: DataFrame, experiments: DataFrame) -> DataFrame:
     """(base, reason): the first use of each base, builds before experiments, by id."""
     uses = builds.select("base", F.lit(0).alias("k"), "id").unionByName(experiments.select("base", F.lit(1).alias("k"), "id"))

@@ -36,6 +36,11 @@ def evidence_matches(evidence: DataFrame, contexts: DataFrame, fuzzy: bool = Tru
     return evidence.join(contexts, "qid", "left").withColumn("found", found_in(F.col("passage"), F.col("text"), fuzzy))
 
 
+def index_sizes(chunks: DataFrame, by: list[str]) -> DataFrame:
+    """By index: number of chunks, mean and greatest number of characters."""
+    return chunks.groupBy(*by).agg(F.count("*").alias("chunks"), F.avg(F.length("text")).alias("mean_chars"), F.max(F.length("text")).alias("longest"))
+
+
 def gold_metrics(matches: DataFrame) -> DataFrame:
     """context_hit, context_mrr, context_recall_gold and context_all_hops by question."""
     hop = matches.groupBy("qid", "hop").agg(F.bool_or("found").alias("h")).groupBy("qid").agg(F.bool_and("h").cast("double").alias("context_all_hops"))

@@ -31,13 +31,20 @@ def running_lines(lines: DataFrame, share: float = 0.3) -> DataFrame:
     """(doc, mask): edge lines, digits masked, on at least ``share`` of a document's pages."""
     pages = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
     seen = lines.where("edge").groupBy("doc", masked(F.col("line")).alias("mask")).agg(F.countDistinct("page").alias("n"))
-    return seen.join(pages, "doc").where(F.col("n") >= share * F.col("pages")).select("doc", "mask")
+    return seen.hint("merge").join(pages, "doc").where(F.col("n") >= share * F.col("pages")).select("doc", "mask")
 
 
-def without_running_lines(lines: DataFrame, running: DataFrame) -> DataFrame:
-    """Lines that are neither running headers nor bare page numbers."""
+#: Fixed value: the stamp of a publisher of laws.
+STAMPS = ("leismunicipais.com.br",)
+
+
+def without_running_lines(lines: DataFrame, running: DataFrame, stamps: tuple[str, ...] = STAMPS) -> DataFrame:
+    """Lines that are neither running headers, bare page numbers nor a publisher's stamp (any of ``stamps``, letter case aside)."""
     kept = lines.withColumn("mask", F.when(F.col("edge"), masked(F.col("line"))))
-    return kept.join(running, ["doc", "mask"], "left_anti").where(~F.col("line").rlike(r"^\d{1,4}$")).drop("mask")
+    kept = kept.join(running.hint("merge"), ["doc", "mask"], "left_anti").where(~F.col("line").rlike(r"^\d{1,4}$")).drop("mask")
+    for stamp in stamps:
+        kept = kept.where(~F.contains(F.lower("line"), F.lit(stamp)))
+    return kept
 
 
 def join_wrapped(lines: DataFrame) -> DataFrame:
@@ -124,3 +131,18 @@ def nearest_titles(wanted: DataFrame, titles: DataFrame, cutoff: float = 0.9) ->
     scored = near.withColumn("ratio", indel_ratio(fold(F.col("title")), fold(F.col("name"))) / 100).where(F.col("ratio") >= cutoff)
     first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ratio"), "name"))
     return scored.withColumn("n", first).where("n = 1").select("id", "title", F.col("name").alias("nearest"), "ratio")
+
+
+def audit(matches: DataFrame, most: int = 2) -> DataFrame:
+    """(qid, problem) of a question set, from the blocks (doc) that hold each hop's evidence (qid, hop, doc or null, secondary).
+
+    Evidence that no block holds; evidence that a secondary source holds; all hops in the same blocks; more than ``most``
+    blocks for a hop.
+    """
+    hops = matches.groupBy("qid", "hop").agg(F.count("doc").alias("n"), F.array_sort(F.collect_set("doc")).alias("docs"), F.bool_or(F.col("doc").isNotNull() & F.coalesce("secondary", F.lit(False))).alias("secondary"))
+    by = hops.groupBy("qid").agg(F.min("n").alias("least"), F.max("n").alias("greatest"), F.bool_or(F.coalesce("secondary", F.lit(False))).alias("secondary"), F.countDistinct("docs").alias("kinds"), F.count("*").alias("hops"))
+    found = (
+        F.when(F.col("least") == 0, "unmatched evidence"), F.when(F.col("secondary"), "secondary source"),
+        F.when((F.col("least") > 0) & (F.col("hops") > 1) & (F.col("kinds") == 1), "hops in the same blocks"), F.when(F.col("greatest") > most, "more than two blocks"),
+    )
+    return by.select("qid", F.explode(F.array_compact(F.array(*found))).alias("problem"))

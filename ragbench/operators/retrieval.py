@@ -93,12 +93,13 @@ def fit_cells(vectors: np.ndarray, cells: int, seed: int, rounds: int = 12) -> n
     return centres
 
 
-def approximate_top_k(questions: DataFrame, chunks: DataFrame, k: int, cells: int | None = None, probe: float = 0.3, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+def approximate_top_k(questions: DataFrame, chunks: DataFrame, k: int, cells: int | None = None, probe: float = 0.6, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
     """Top-k among the chunks of the cells nearest to a question, ranked by exact cosine.
 
-    An inverted-file index: the square root of the number of chunks gives the number of cells, whose centres are fitted
+    An inverted-file index: twice the square root of the number of chunks are the cells, whose centres are fitted
     on at most ``sample`` vectors (chosen by a hash of the id); every chunk goes to its nearest centre, and a question
-    looks into the share ``probe`` of all cells. Large cells are split over keys, each of which sends k rows a
+    looks into the share ``probe`` of all cells (0.6 finds over 0.9 of the true ten even among vectors without clusters;
+    clustered ones need less). Large cells are split over keys, each of which sends k rows a
     question at most. A question whose cells hold fewer than k chunks is answered by :func:`top_k`.
     """
     spark = questions.sparkSession
@@ -107,7 +108,7 @@ def approximate_top_k(questions: DataFrame, chunks: DataFrame, k: int, cells: in
     held = rows.select("chunk_id", "vector").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).select("vector").collect()
     if not held:
         return top_k(questions, chunks, k)
-    centres = fit_cells(_unit([r[0] for r in held]), cells or min(MOST_CELLS, max(1, round(n**0.5))), seed)
+    centres = fit_cells(_unit([r[0] for r in held]), cells or min(MOST_CELLS, max(1, round(2 * n**0.5))), seed)
     shared, looks = spark.sparkContext.broadcast(centres), max(1, round(probe * len(centres)))
 
     def nearest(most: int):

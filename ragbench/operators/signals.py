@@ -35,21 +35,27 @@ def document_frequency(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def corpus_signals(questions: DataFrame, df: DataFrame, n_docs: int) -> DataFrame:
     """mean_idf, max_idf and out_of_corpus by question (qid, text); idf = ln((N+1)/(df+1)), tokens counted as often as they occur."""
-    tokens = questions.select("qid", F.explode(pt_tokens(F.col("text"))).alias("token")).join(df, "token", "left")
+    tokens = questions.select("qid", F.explode(pt_tokens(F.col("text"))).alias("token")).join(df.hint("merge"), "token", "left")
     idf = F.log((F.lit(n_docs) + 1) / (F.coalesce("df", F.lit(0)) + 1))
     found = tokens.groupBy("qid").agg(F.avg(idf).alias("mean_idf"), F.max(idf).alias("max_idf"), F.avg(F.col("df").isNull().cast("double")).alias("out_of_corpus"))
-    return questions.select("qid").join(found, "qid", "left").fillna(0.0, ["mean_idf", "max_idf", "out_of_corpus"])
+    return questions.select("qid").join(found.hint("merge"), "qid", "left").fillna(0.0, ["mean_idf", "max_idf", "out_of_corpus"])
 
 
 def evidence_signals(evidence: DataFrame) -> DataFrame:
     """evidence_count and evidence_overlap; evidence has qid, question and passages (array)."""
     t = evidence.select("qid", F.size("passages").cast("double").alias("evidence_count"), pt_tokens(F.col("question")).alias("q"), pt_tokens(F.array_join("passages", " ")).alias("e"))
     tokens = t.select("qid", F.explode("q").alias("token"), "e").groupBy("qid").agg(F.avg(F.array_contains("e", F.col("token")).cast("double")).alias("evidence_overlap"))
-    return t.select("qid", "evidence_count").join(tokens, "qid", "left").fillna(0.0, ["evidence_overlap"])
+    return t.select("qid", "evidence_count").join(tokens.hint("merge"), "qid", "left").fillna(0.0, ["evidence_overlap"])
 
 
 def retrieval_signals(hits: DataFrame) -> DataFrame:
-    """top_score, score_gap (0 with one score) and score_spread (population) by question; no row without scores."""
+    """top_score, score_gap (0 with one score) and score_spread (population) by question.
+
+    No row without scores, nor where every context is a compression's, whose score is not a retrieval's.
+    """
+    if "source" in hits.columns:
+        retrieved = hits.where("source is null or source <> 'compression'").select("qid").distinct()
+        hits = hits.join(retrieved.hint("merge"), "qid", "left_semi")
     s = hits.where("score is not null").groupBy("qid").agg(F.sort_array(F.collect_list("score"), False).alias("s"), F.stddev_pop("score").alias("score_spread"))
     return s.select("qid", F.col("s")[0].alias("top_score"), F.when(F.size("s") > 1, F.get("s", F.lit(0)) - F.get("s", F.lit(1))).otherwise(0.0).alias("score_gap"), "score_spread")
 
@@ -91,7 +97,7 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, least: int = 3) ->
 def signal_correlations(signals: DataFrame, difficulty: DataFrame, names: list[str]) -> DataFrame:
     """Spearman of each signal (wide, by question) with difficulty (question, scope, difficulty)."""
     long = signals.select("question", F.explode(F.array(*(F.struct(F.lit(n).alias("signal"), F.col(n).cast("double").alias("value")) for n in names))).alias("s")).select("question", "s.*")
-    return spearman(long.join(difficulty, "question"), ["signal", "scope"], "value", "difficulty")
+    return spearman(long.hint("merge").join(difficulty, "question"), ["signal", "scope"], "value", "difficulty")
 
 
 def lexical_echo(rows: DataFrame, stop: list[str]) -> DataFrame:

@@ -51,7 +51,7 @@ def rerank(contexts: DataFrame, replies: DataFrame, keep: int = 3) -> DataFrame:
     n = contexts.groupBy("qid").agg(F.count("*").cast("int").alias("n")).join(replies, "qid", "left")
     order = n.select("qid", F.posexplode(parsed_ranking(F.coalesce("reply", F.lit("")), F.col("n"))).alias("new", "old")).where(F.col("new") < keep)
     numbered = contexts.withColumn("old", F.row_number().over(Window.partitionBy("qid").orderBy("rank")) - 1)
-    return numbered.join(order, ["qid", "old"]).drop("rank", "old").withColumn("rank", F.col("new") + 1).drop("new")
+    return numbered.join(order.hint("merge"), ["qid", "old"]).drop("rank", "old").withColumn("rank", F.col("new") + 1).drop("new")
 
 
 def insufficient(verdict: Column) -> Column:
@@ -67,7 +67,13 @@ def corrected(contexts: DataFrame, verdicts: DataFrame, second: DataFrame) -> Da
 def compressed(contexts: DataFrame, extracts: DataFrame) -> DataFrame:
     """One extract (qid, extract) in the contexts' place, with score 1 and source compression; nothing without contexts."""
     asked = contexts.select("qid").distinct()
-    return extracts.join(asked, "qid", "left_semi").select("qid", F.lit(1).alias("rank"), F.col("extract").alias("text"), F.lit(1.0).alias("score"), F.lit("compression").alias("source"))
+    return extracts.join(asked.hint("merge"), "qid", "left_semi").select("qid", F.lit(1).alias("rank"), F.col("extract").alias("text"), F.lit(1.0).alias("score"), F.lit("compression").alias("source"))
+
+
+def compressed_blocks(questions: DataFrame, contexts: DataFrame, extracts: DataFrame) -> DataFrame:
+    """(qid, context) of every question's answer prompt: its extract, or an empty context where nothing was retrieved."""
+    text = compressed(contexts, extracts).select("qid", F.btrim("text").alias("context"))
+    return questions.select("qid").join(text.hint("merge"), "qid", "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
 def agent_step(reply: Column) -> tuple[Column, Column]:
@@ -97,9 +103,9 @@ def agentic(rounds: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
     return done.join(seen.groupBy("qid").agg(F.count("*").alias("contexts")), "qid", "left").fillna(0, ["contexts"])
 
 
-def united(first: DataFrame, second: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Two rankings interleaved, the first one ahead; of equal chunks the first stays; ranks anew."""
-    a = first.select("qid", key, (F.col("rank") * 2).alias("p"))
-    b = second.select("qid", key, (F.col("rank") * 2 + 1).alias("p"))
-    best = a.unionByName(b).groupBy("qid", key).agg(F.min("p").alias("p"))
-    return best.select("qid", key, F.row_number().over(Window.partitionBy("qid").orderBy("p")).alias("rank"))
+def united(first: DataFrame, second: DataFrame, text: str = "text") -> DataFrame:
+    """Two rankings interleaved, the first one ahead; of equal texts the first stays, with its columns; ranks anew."""
+    rows = first.withColumn("p", F.col("rank") * 2).unionByName(second.withColumn("p", F.col("rank") * 2 + 1))
+    once = F.row_number().over(Window.partitionBy("qid", text).orderBy("p"))
+    kept = rows.withColumn("n", once).where("n = 1").drop("rank", "n")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("p"))).drop("p")

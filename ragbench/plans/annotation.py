@@ -170,7 +170,6 @@ add("h16_h21_validation", lambda s, d: r6(validation(s, d), "rho"), f"""WITH {_N
 fi AS (SELECT item, dim, CASE WHEN k > 1 THEN CASE WHEN item % 2 = 0 THEN top END ELSE common END AS final, n_chars AS auto FROM v JOIN documents d ON d.doc_id = item), w AS (SELECT * FROM fi WHERE final IS NOT NULL),
 rk AS (SELECT dim, rank() OVER (PARTITION BY dim ORDER BY final) + (count(*) OVER (PARTITION BY dim, final) - 1) / 2 AS x, rank() OVER (PARTITION BY dim ORDER BY auto) + (count(*) OVER (PARTITION BY dim, auto) - 1) / 2 AS y FROM w)
 SELECT dim, count(*) AS n, round(corr(x, y), 6) AS rho FROM rk GROUP BY dim""")
-add("h17_retest_alpha", lambda s, d: r6(an.krippendorff(notes(s, d).where("annotator in ('ana', 'bia')"), ["dim"], "nominal"), "alpha"), _CO.replace("FROM nt WHERE score IS NOT NULL GROUP BY ALL), m AS", "FROM nt WHERE score IS NOT NULL AND annotator IN ('ana', 'bia') GROUP BY ALL), m AS") + " SELECT dim, round(1 - sum(w * (a <> b)::INT) / (sum(fa * fb * (a <> b)::INT) / (any_value(n) - 1)), 6) AS alpha FROM gd GROUP BY dim")
 add("h22_duplicate_names", lambda s, d: an.duplicate_names(f.table(s, d, "documents").select(F.concat(F.when(F.col("doc_id") % 2 == 0, F.upper("source")).otherwise(F.col("source")), (F.col("doc_id") % 40).cast("string")).alias("name"))),
     "SELECT lower(source || doc_id % 40) AS name, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 
@@ -207,8 +206,14 @@ def pending_runs(s, d):
 
 add("x4_to_do", pending_runs, f"""WITH {f.RESULT_SQL}, q AS (SELECT question, bool_or(question_type <> 'ponte') AS e FROM r GROUP BY question), w AS (SELECT combo, question FROM (SELECT DISTINCT combo, rag FROM r), q WHERE rag <> 'oracle' OR e)
 SELECT combo, question FROM w EXCEPT SELECT combo, question FROM r WHERE answer NOT LIKE '[ERRO: %'""")
-add("x3_missing_indexes", lambda s, d: gr.missing_indexes(f.table(s, d, "documents").select(F.col("source").alias("base"), F.lit("fixed").alias("chunking"), F.lit("hash").alias("embedding")).distinct(), f.table(s, d, "documents").where("lang = 'es'").select(F.col("source").alias("base"), F.lit("fixed").alias("chunking"), F.lit("hash").alias("embedding")).distinct()),
-    "SELECT DISTINCT source AS base, 'fixed' AS chunking, 'hash' AS embedding FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND source IS NOT NULL)")
+
+
+def index_pairs(s, d):
+    return f.table(s, d, "documents").where("source is not null and lang is not null").select(F.col("source").alias("base"), F.lit("fixed").alias("chunking"), F.col("lang").alias("embedding"), "doc_id")
+
+
+add("x3_missing_indexes", lambda s, d: gr.missing_indexes(index_pairs(s, d).drop("doc_id").distinct(), index_pairs(s, d).where("doc_id % 4 = 1 and embedding <> 'fr'").drop("doc_id")),
+    "SELECT DISTINCT source AS base, 'fixed' AS chunking, lang AS embedding FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND source || '|' || lang NOT IN (SELECT source || '|' || lang FROM documents WHERE doc_id % 4 = 1 AND lang <> 'fr' AND source IS NOT NULL)")
 
 
 def changes(s, d):

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ragbench.functions.vectors import embed_distinct
 from ragbench.operators import annotation as an
-from ragbench.operators import graph, grid, prep, signals, techniques
+from ragbench.operators import chunking, graph, grid, prep, signals, techniques
 from ragbench.operators.retrieval import top_k
 from ragbench.plans import frames as f
 from ragbench.plans.annotation import _PAIR, pair_notes
 from ragbench.plans.pipelines import _CTX, _PAGE, contexts, kept_lines
 from ragbench.plans.ranking import r6
 from ragbench.sources import tables as st
+from ragbench.sources.shared import shared_place
 from ragbench.streaming import jobs
 
 QUERIES, SQL = {}, {}
@@ -41,8 +42,7 @@ def prints(s, d):
 
 _CUR = "cu AS (SELECT DISTINCT o_custkey % 40 AS index, 'm' || (o_orderkey % 3) AS extractor FROM orders WHERE o_orderkey % 2 = 1 AND (o_custkey % 40, o_custkey % 7) IN (SELECT (c_custkey % 40, c_custkey % 5) FROM customer))"
 add("g16_current_graphs", lambda s, d: graph.current_graphs(graphs(s, d), prints(s, d), "v2", "g1").distinct(), f"WITH {_CUR} SELECT * FROM cu")
-add("g19_to_build", lambda s, d: graph.to_build(graphs(s, d).select("index", "extractor").distinct(), graph.current_graphs(graphs(s, d), prints(s, d), "v2", "g1")),
-    f"WITH {_CUR} SELECT DISTINCT o_custkey % 40 AS index, 'm' || (o_orderkey % 3) AS extractor FROM orders EXCEPT SELECT * FROM cu")
+add("g19_to_build", lambda s, d: graph.to_build(graphs(s, d).select("index", F.explode(F.array(F.col("extractor"), F.lit("another"))).alias("extractor")).distinct(), graph.current_graphs(graphs(s, d), prints(s, d), "v2", "g1")), f"WITH {_CUR} SELECT * FROM (SELECT DISTINCT o_custkey % 40 AS index, unnest(['m' || (o_orderkey % 3), 'another']) AS extractor FROM orders) EXCEPT SELECT * FROM cu")
 add("x2_derived_lists", lambda s, d: grid.derived_lists(f.results(s, d).select(F.col("result_id").alias("no"), "rag", "llm"), ["rag", "llm"]),
     f"WITH {f.RESULT_SQL}, x AS (SELECT 'rag' AS dim, rag AS value, min(result_id) AS at_ FROM r GROUP BY rag UNION ALL SELECT 'llm', llm, min(result_id) FROM r GROUP BY llm) SELECT dim, row_number() OVER (PARTITION BY dim ORDER BY at_, value)::INT AS no, value FROM x")
 
@@ -121,17 +121,51 @@ def missing_texts(s, d):
     return embed_distinct(c, "text", known).where("vector <> array(0.0D)").select(F.sha2("text", 256).alias("digest"))
 
 
-add("d6_turn_signals", lambda s, d: turn_signals(s, d), f"WITH {_CTX} SELECT qid, greatest(1, length(text) - length(replace(text, '?', '')))::DOUBLE AS sub_questions FROM ctx WHERE rank = 1")
+def turn_signals(s, d):
+    """Signals of the searched text (for every second question the next turn), or of the question where there is none."""
+    c = contexts(s, d)
+    searched = c.where("rank = 2 and qid % 2 = 0").select("qid", F.col("text").alias("searched"))
+    x = c.where("rank = 1").join(searched, "qid", "left").select("qid", F.coalesce(F.nullif(F.btrim("searched"), F.lit("")), "text").alias("text"))
+    return x.select("qid", *signals.question_signals(F.col("text")))
 
 
-def turn_signals(s, d):
-    """Signals of the searched text, or of the question where there is none."""
-    x = contexts(s, d).where("rank = 1").select("qid", F.coalesce(F.nullif(F.lit(""), F.lit("")), F.col("text")).alias("text"))
-    return x.select("qid", *signals.question_signals(F.col("text"))).select("qid", "sub_questions")
+def _d6():
+    from ragbench.functions.text import pt_tokens_sql
+    from ragbench.plans.analysis import _FLAGS
+
+    return f"WITH {_CTX}, x AS (SELECT a.qid, coalesce(nullif(trim(b.text, ' '), ''), a.text) AS text FROM ctx a LEFT JOIN ctx b ON b.qid = a.qid AND b.rank = 2 AND b.qid % 2 = 0 WHERE a.rank = 1) SELECT qid, len({pt_tokens_sql('text')})::DOUBLE AS question_length, greatest(1, length(text) - length(replace(text, '?', '')))::DOUBLE AS sub_questions, {_FLAGS} FROM x"
+
+
+add("d6_turn_signals", turn_signals, _d6())
+
+
+def ingested(s, d):
+    """The documents' table as a stream, chunked by the ingestion job and drained once; the chunks by base."""
+    place = shared_place(s, "ingest")
+    # As a pattern, since a stream takes a plain path for a folder.
+    stream = s.readStream.schema(f.table(s, d, "documents").schema).parquet(f"{d.rstrip('/')}/documents.parque[t]")
+    docs = stream.where("text is not null").select(F.struct("doc_id", "lang").alias("doc"), "text", F.lit("2020-01-01").cast("timestamp").alias("ts"))
+    jobs.ingest_stream(docs, f"{place}/chunks", f"{place}/checkpoint", chunking.fixed).awaitTermination()
+    return s.read.parquet(f"{place}/chunks").groupBy(F.col("doc.lang").alias("base")).agg(F.count("*").alias("chunks"), F.countDistinct("doc.doc_id").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+def _w4():
+    from ragbench.plans.retrieval import _FIXED
+
+    return f"WITH {_FIXED} SELECT lang AS base, count(*) AS chunks, count(DISTINCT doc) AS docs, sum(length(ch.text))::BIGINT AS chars FROM ch JOIN documents ON doc_id = doc GROUP BY lang"
+
+
+add("w4_new_documents", ingested, _w4())
+
+
+def whole_files(s, d):
+    """The benchmark's texts written as a file each and scanned back."""
+    place = shared_place(s, "files")
+    f.table(s, d, "benchmark").where("text is not null").select("item_id", "text").write.partitionBy("item_id").text(place)
+    return st.read_documents(s, f"{place}/*").select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.sha2("text", 256).alias("digest"))
 
 
-add("w4_new_documents", lambda s, d: r6(f.docs(s, d).where("text is not null").dropDuplicates(["doc"]).groupBy("base").agg(F.count("*").alias("docs"), F.avg(F.length("text")).alias("mean_chars")), "mean_chars"),
-    "SELECT lang AS base, count(DISTINCT doc_id) AS docs, round(avg(length(text)), 6) AS mean_chars FROM documents WHERE text IS NOT NULL GROUP BY lang")
+add("s2_whole_files", whole_files, "SELECT item_id, sha256(text || chr(10)) AS digest FROM benchmark WHERE text IS NOT NULL")
 add("w2_streak_alerts", lambda s, d: streak_alerts(s, d), """WITH e AS (SELECT user_id, event_id, event_type <> 'error' AS ok, sum((event_type <> 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS streak, ts FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, streak ORDER BY ts, event_id) AS k FROM e WHERE NOT ok) SELECT user_id AS experiment, event_id FROM n WHERE k = 2""")
 
@@ -141,15 +175,7 @@ def streak_alerts(s, d):
 
     Alerts are written as Parquet beside the stream's checkpoint in the folder that ``spark.checkpoint.dir`` names.
     """
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    place = f"{base.rstrip('/')}/streaks-{uuid.uuid4().hex}"
+    place = shared_place(s, "streaks")
     # As a pattern, since a stream takes a plain path for a folder.
     stream = s.readStream.schema(f.table(s, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parque[t]")
     timed = stream.select(F.col("user_id").alias("experiment"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("retrieval", "ranking", "analysis", "annotation", "pipelines", "lifecycle")
+FAMILIES = ("retrieval", "ranking", "analysis", "annotation", "pipelines", "lifecycle", "rules")
 
 
 def queries() -> dict:

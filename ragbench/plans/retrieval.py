@@ -48,8 +48,8 @@ g AS (SELECT doc, section, max(path) AS path, trim(coalesce(string_agg(line, chr
 SELECT doc, section, path, body FROM g WHERE body <> ''""")(lambda s, d: chunking.markdown_sections(_headed(s, d)))
 query("c4_markdown_chunks")(lambda s, d: chunking.markdown(_headed(s, d)))
 query("c5_semantic_chunks")(lambda s, d: chunking.semantic(f.docs(s, d)))
-query("c6_single_chunk_warnings", f"WITH {_FIXED} SELECT doc_id AS doc, length(text)::INT AS n_chars FROM documents WHERE length(text) > 2000 AND doc_id IN (SELECT doc FROM ch GROUP BY doc HAVING count(*) = 1)")(
-    lambda s, d: chunking.single_chunk_warnings(chunking.fixed(f.docs(s, d)), f.docs(s, d))
+query("c6_single_chunk_warnings", f"SELECT doc_id AS doc, length(text)::INT AS n_chars FROM documents WHERE length(text) > 2000 AND len({words_sql('text')}) BETWEEN 1 AND 600")(
+    lambda s, d: chunking.single_chunk_warnings(chunking.tokens(f.docs(s, d), 600, 20), f.docs(s, d))
 )
 query("c6_ingest_grid", f"""WITH {_FIXED}, t AS (SELECT doc_id AS doc, {words_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
 x2 AS (SELECT doc, t, unnest(range(0, greatest(len(t) - 20, 1), 236)) AS pos FROM t WHERE len(t) > 0),
@@ -147,6 +147,9 @@ def gold(s, d):
 
 
 query("e7_e10_gold_metrics", f"WITH {_CONTEXT} {_GOLD}")(gold)
+query("p11_index_sizes", f"WITH {_FIXED} SELECT lang AS base, count(*) AS chunks, round(avg(length(ch.text)), 6) AS mean_chars, max(length(ch.text))::INT AS longest FROM ch JOIN documents ON doc_id = doc GROUP BY lang")(
+    lambda s, d: metrics.index_sizes(chunking.fixed(f.docs(s, d)).join(f.docs(s, d).select("doc", "base"), "doc"), ["base"]).withColumn("mean_chars", F.round("mean_chars", 6))
+)
 query("p11_evidence_coverage", f"WITH {_CONTEXT} SELECT qid, hop FROM ma GROUP BY ALL HAVING NOT bool_or(found)")(
     lambda s, d: metrics.evidence_matches(_evidence(s, d), _contexts(s, d), fuzzy=False).groupBy("qid", "hop").agg(F.bool_or("found").alias("f")).where("not f").drop("f")
 )
@@ -202,9 +205,10 @@ query("e15_pending_scores", f"WITH {f.RESULT_SQL} SELECT result_id AS id, 'conte
 
 
 def _facts(s, d):
-    """Prices in assistant turns' place: an order's totals as facts, its comment of digits as the answer."""
-    c = f.turns(s, d)
-    return c.select("id", F.explode(F.array(F.element_at(F.split("reference", " "), 1), F.concat(F.col("conv_id").cast("string"), F.lit(" anos")))).alias("fact"), F.concat_ws(" ", "answer", F.col("conv_id").cast("string")).alias("answer"))
+    """Orders as answers that name a distance, in kilometres or not, and a number with or without it; both are their key facts."""
+    o = f.table(s, d, "orders")
+    answer = F.concat(F.lit("Fica a 0"), "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, " quilômetros").otherwise(" minutos"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit(" e é o pedido nº 00"), "o_orderkey")).otherwise(""), F.lit("."))
+    return o.select(F.col("o_orderkey").alias("id"), F.explode(F.array(F.concat("o_custkey", F.lit(" km")), F.concat(F.lit("pedido "), "o_orderkey"))).alias("fact"), answer.alias("answer"))
 
 
-query("e16_key_facts")(lambda s, d: metrics.leakage_class(metrics.key_facts(_facts(s, d))))
+query("e16_key_facts", """SELECT o_orderkey AS id, 2::BIGINT AS facts, h::BIGINT AS hits, ['none', 'half', 'all'][h + 1] AS leak FROM (SELECT o_orderkey, (o_orderkey % 2 = 0)::INT + (o_orderkey % 3 > 0 OR o_orderkey = o_custkey)::INT AS h FROM orders)""")(lambda s, d: metrics.leakage_class(metrics.key_facts(_facts(s, d))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragbench.functions.text import split_list
+from ragbench.operators.graph import bridges_found
 
 QUESTION_TYPES = ("simples", "ponte", "comparacao", "agregacao")
 #: Column names of question files.
@@ -34,8 +36,9 @@ def parse_questions(raw: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole UTF-8 files: (doc, text)."""
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("doc"), F.col("value").alias("text"))
+    """Whole UTF-8 files: (path, doc: the file's name, text)."""
+    name = F.input_file_name()
+    return spark.read.text(path, wholetext=True).select(name.alias("path"), F.element_at(F.split(name, "/"), -1).alias("doc"), F.col("value").alias("text"))
 
 
 def numbered(chunks: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -125,15 +128,41 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.select(*(csv_cell(F.col(c)).alias(c) if c in texts else F.col(c) for c in rows.columns)).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def comparison_rows(compared: DataFrame, types: tuple[str, ...] = QUESTION_TYPES) -> DataFrame:
-    """Comparison export: one row for each item, mean differences with 6 decimals, a column for each question type."""
-    text = F.format_string("%.6f", F.first("mean_diff"))
-    return compared.groupBy("combo").pivot("scope", ["all", *types]).agg(text)
+def comparison_rows(compared: DataFrame, others: DataFrame | None = None, means: DataFrame | None = None, types: tuple[str, ...] = QUESTION_TYPES) -> DataFrame:
+    """Comparison export, numbers with 6 decimals: the paired items with a column for each question type, then items of other bases.
 
+    ``compared`` has combo, scope (all or a type), n and mean_diff, and low, high and significant where intervals were
+    drawn; ``others`` combo, n, mean; ``means`` combo and the metric's mean.
+    """
+    number = lambda c: F.when(c.isNotNull(), F.format_string("%.6f", F.round(c, 6) + 0.0))
+    cell = lambda scope, c: F.max(F.when(F.col("scope") == scope, F.col(c)))
+    columns = [cell("all", "n").alias("perguntas"), number(cell("all", "mean_diff")).alias("diferenca")]
+    if "low" in compared.columns:
+        yes = F.when(cell("all", "significant"), "sim").otherwise("não")
+        columns += [number(cell("all", "low")).alias("ic_inferior"), number(cell("all", "high")).alias("ic_superior"), yes.alias("significativa")]
+    rows = compared.groupBy("combo").agg(*columns, *(number(cell(t, "mean_diff")).alias(f"diferenca_{t}") for t in types)).withColumn("pareamento", F.lit("pareado"))
+    if means is not None:
+        rows = rows.join(means.select("combo", number(F.col("mean")).alias("media")).hint("merge"), "combo", "left")
+    if others is not None:
+        extra = [number(F.col(c)).alias(name) for c, name in (("low", "ic_inferior"), ("high", "ic_superior")) if c in others.columns]
+        other = others.select("combo", F.col("n").alias("perguntas"), number(F.col("mean")).alias("media"), F.lit("outra Base").alias("pareamento"), *extra)
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return rows
 
-def annotation_rows(notes: DataFrame, final: DataFrame) -> DataFrame:
-    """Annotation export: one row for each note and dimension with the final note."""
-    return notes.where("score is not null").join(final.select("item", "dim", "final", "status"), ["item", "dim"], "left").select("item", csv_cell(F.col("annotator")).alias("annotator"), "dim", "score", "final", "status")
+
+def annotation_rows(notes: DataFrame, final: DataFrame, items: DataFrame | None = None, metrics: tuple[str, ...] = ()) -> DataFrame:
+    """Annotation export: one row for each note and dimension with the final note and, of ``items`` (item, scores map), the automatic metrics."""
+    rows = notes.join(final.select("item", "dim", "final", "status").hint("merge"), ["item", "dim"], "left")
+    if items is not None:
+        rows = rows.join(items.select("item", "scores").hint("merge"), "item", "left")
+    return rows.select("item", csv_cell(F.col("annotator")).alias("annotator"), "dim", "score", "final", "status", *(F.try_element_at("scores", F.lit(m)).alias(m) for m in metrics))
+
+
+def experiment_page(experiments: DataFrame, base: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    """A page of experiments (experiment, base, ...), newest first, of one base if given, each row with the total."""
+    rows = experiments.where(F.col("base") == base) if base is not None else experiments
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    return rows.orderBy(F.desc("experiment")).offset((page - 1) * size).limit(size).crossJoin(total)
 
 
 def explode_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -158,17 +187,42 @@ def complete_only(rows: DataFrame, meta: DataFrame) -> DataFrame:
     return rows.join(meta.select("graph").distinct(), "graph", "left_semi")
 
 
-def options(chunks: DataFrame, graphs: DataFrame) -> DataFrame:
-    """By base: its indexes and the extractors that have a graph of one of them."""
+def graph_texts(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``text``, what is embedded of an entity (name: description) and of a relation (keywords source target description)."""
+    words = F.btrim(F.regexp_replace(F.concat_ws(" ", "keywords", "source", "target", "description"), r"\s+", " "))
+    return entities.withColumn("text", F.concat_ws(": ", "name", F.nullif("description", F.lit("")))), relations.withColumn("text", words)
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(entities, relations) of a graph that :func:`write_graph` has completed; None without its meta row."""
+    try:
+        complete = not spark.read.parquet(f"{path}/meta").isEmpty()
+    except AnalysisException:
+        return None
+    return (spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/relations")) if complete else None
+
+
+def options(chunks: DataFrame, graphs: DataFrame, registered: dict[str, list[str]] | None = None) -> DataFrame:
+    """By base: its indexes, the extractors that have a graph of one of them, and what is registered by kind (chunkers, ...)."""
     i = chunks.groupBy("base").agg(F.array_sort(F.collect_set(F.concat_ws("/", "chunking", "embedding"))).alias("indexes"))
     g = graphs.groupBy("base").agg(F.array_sort(F.collect_set("extractor")).alias("extractors"))
-    return i.join(g, "base", "left")
+    named = [F.array(*map(F.lit, sorted(names))).alias(kind) for kind, names in (registered or {}).items()]
+    return i.join(g.hint("merge"), "base", "left").select("*", *named)
 
 
 def flatten_results(runs: DataFrame, results: DataFrame, profiles: DataFrame) -> DataFrame:
-    """One row for each run and question with defaults for what old rows lack."""
-    joined = results.join(runs, "run_id").join(profiles, ["experiment_id", "question"], "left")
-    return joined.withColumn("question_type", F.coalesce("question_type", F.lit(QUESTION_TYPES[0]))).withColumn("llm", F.coalesce("llm", F.lit("gemini")))
+    """One row for each run and question with defaults for what old rows lack.
+
+    Results may have hops (array of hop and found; empty where nothing was retrieved), bridge_entities and graph_names
+    (null without a graph): from these come hops_found and bridges_found.
+    """
+    joined = results.join(runs.hint("merge"), "run_id").join(profiles.hint("merge"), ["experiment_id", "question"], "left")
+    joined = joined.withColumn("question_type", F.coalesce("question_type", F.lit(QUESTION_TYPES[0]))).withColumn("llm", F.coalesce("llm", F.lit("gemini")))
+    if "hops" in joined.columns:
+        joined = joined.withColumn("hops_found", F.coalesce("hops", F.array().cast(joined.schema["hops"].dataType))).drop("hops")
+    if "graph_names" in joined.columns:
+        joined = joined.withColumn("bridges_found", bridges_found(F.col("bridge_entities"), F.col("graph_names")))
+    return joined
 
 
 def pair_annotation_rows(notes: DataFrame, results: DataFrame) -> DataFrame:
