@@ -80,7 +80,13 @@ def compare_intervals(means: DataFrame, baseline: str, resamples: int = 10_000,
 
 
 #: Distinct values of a key in one task, and the rows of a distinct value from which counts are drawn, not places.
-SHARD, PLAIN = 65_536, 6
+SHARD, PLAIN = 65_536, 12
+
+
+def _drawn(rng: np.random.Generator, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of ``sizes`` values each, drawn with replacement."""
+    flat = values[rng.integers(0, len(values), int(sizes.sum()), dtype=np.uint32)]
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), flat, len(sizes)) if (sizes != sizes[0]).any() else flat.reshape(len(sizes), -1).sum(1)
 
 
 def bootstrap_means(values: DataFrame, key: str, resamples: int = 10_000, seed: int = 0, block: int = 500, shard: int = SHARD) -> DataFrame:
@@ -111,8 +117,8 @@ def bootstrap_means(values: DataFrame, key: str, resamples: int = 10_000, seed:
             own = drawn[:, [x["part"] for x in shards].index(p)]
             rng, v, c = np.random.default_rng([*start, p + 1]), np.asarray(v, dtype=float), np.asarray(c)
             if c.sum() < PLAIN * len(c):  # few equal values: places cost less than counts
-                each = np.repeat(v, c)
-                sums = np.array([each[rng.integers(0, len(each), k)].sum() for k in own])
+                each, rows = np.repeat(v, c), max(1, 500_000 // max(1, int(own.max())))
+                sums = np.concatenate([_drawn(rng, each, own[at : at + rows]) for at in range(0, len(own), rows)])
             else:
                 sums = rng.multinomial(own, c / c.sum()) @ v
             out.append(sums / sizes_.sum())
@@ -125,11 +131,10 @@ def bootstrap_means(values: DataFrame, key: str, resamples: int = 10_000, seed:
 
 
 def percentile_interval(draws: DataFrame, key: str, resamples: int) -> DataFrame:
-    """Sorted draws at int(.025 R) and int(.975 R) - 1; significant if 0 lies outside."""
-    order = F.row_number().over(Window.partitionBy(key).orderBy("mean")) - 1
+    """Sorted draws at int(.025 R) and int(.975 R) - 1; significant if 0 lies outside. A key's R draws meet in one array."""
     lo, hi = int(0.025 * resamples), int(0.975 * resamples) - 1
-    at = draws.withColumn("i", order).where(F.col("i").isin(lo, hi))
-    out = at.groupBy(key).agg(F.min("mean").alias("low"), F.max("mean").alias("high"))
+    ordered = draws.groupBy(key).agg(F.sort_array(F.collect_list("mean")).alias("_v"))
+    out = ordered.select(key, F.get("_v", F.lit(lo)).alias("low"), F.get("_v", F.lit(hi)).alias("high"))
     return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
