@@ -47,7 +47,17 @@ q AS (SELECT p.doc, p.no, p.section, p.level, p.line, concat_ws(chr(10), a.line,
 g AS (SELECT doc, section, max(path) AS path, trim(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (level IS NULL), ''), ' ') AS body FROM q GROUP BY doc, section)
 SELECT doc, section, path, body FROM g WHERE body <> ''""")(lambda s, d: chunking.markdown_sections(_headed(s, d)))
 query("c4_markdown_chunks")(lambda s, d: chunking.markdown(_headed(s, d)))
-query("c5_semantic_chunks")(lambda s, d: chunking.semantic(f.docs(s, d)))
+_HASHED = "(('0x' || substr(md5(w), 1, 7))::BIGINT % 128)"
+query("c5_semantic_chunks", f"""WITH sp AS (SELECT doc_id AS doc, string_split(regexp_replace(trim(text, ' '), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents WHERE text IS NOT NULL),
+se AS (SELECT * FROM (SELECT doc, unnest(range(len(x))) AS no, unnest(x) AS sentence FROM sp) WHERE trim(sentence, ' ') <> ''),
+wd AS (SELECT doc, no, unnest({words_sql('sentence')}) AS w FROM se), ve AS (SELECT doc, no, {_HASHED} % 64 AS p, sum(CASE WHEN {_HASHED} < 64 THEN 1 ELSE -1 END)::DOUBLE AS v FROM wd GROUP BY ALL),
+sz AS (SELECT doc, no, sqrt(sum(v * v)) AS n FROM ve GROUP BY ALL), pv AS (SELECT doc, no, sentence, lag(no) OVER (PARTITION BY doc ORDER BY no) AS before FROM se),
+dt AS (SELECT pv.doc, pv.no, sum(a.v * b.v) AS x FROM pv JOIN ve a ON a.doc = pv.doc AND a.no = pv.no JOIN ve b ON b.doc = pv.doc AND b.no = before AND b.p = a.p GROUP BY ALL),
+ds AS (SELECT pv.*, CASE WHEN before IS NOT NULL THEN 1 - CASE WHEN coalesce(s1.n, 0) * coalesce(s2.n, 0) = 0 THEN 0 ELSE coalesce(x, 0) / (s1.n * s2.n) END END AS d FROM pv LEFT JOIN dt USING (doc, no) LEFT JOIN sz s1 ON s1.doc = pv.doc AND s1.no = pv.no LEFT JOIN sz s2 ON s2.doc = pv.doc AND s2.no = before),
+li AS (SELECT doc, CASE WHEN count(d) = 1 THEN 0.5 ELSE quantile_cont(d, 0.9) END AS cut FROM ds GROUP BY doc),
+pt AS (SELECT ds.doc, no, sentence, sum(coalesce((d > cut)::INT, 0)) OVER (PARTITION BY ds.doc ORDER BY no) AS part FROM ds JOIN li USING (doc)),
+tx AS (SELECT doc, part, trim(string_agg(sentence, ' ' ORDER BY no)) AS text FROM pt GROUP BY ALL)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY part) - 1)::INT AS chunk_index, text FROM tx WHERE text <> ''""")(lambda s, d: chunking.semantic(f.docs(s, d)))
 query("c6_single_chunk_warnings", f"SELECT doc_id AS doc, length(text)::INT AS n_chars FROM documents WHERE length(text) > 2000 AND len({words_sql('text')}) BETWEEN 1 AND 600")(
     lambda s, d: chunking.single_chunk_warnings(chunking.tokens(f.docs(s, d), 600, 20), f.docs(s, d))
 )
@@ -71,7 +81,12 @@ query("v4_approximate_top_k")(lambda s, d: retrieval.approximate_top_k(f.vector_
 query("r1_similarity", f"{_TOP} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM tk WHERE rank <= 5")(
     lambda s, d: retrieval.similarity(f.vector_questions(s, d), f.vector_chunks(s, d)).withColumn("score", F.round("score", 6))
 )
-query("r2_mmr")(lambda s, d: retrieval.mmr(f.vector_questions(s, d), f.vector_chunks(s, d)))
+query("r2_mmr", f"""{_TOP.replace("WITH", "WITH RECURSIVE", 1)}, nr AS MATERIALIZED (SELECT qid, tk.rank, tk.chunk_id, score, vector FROM tk JOIN c ON c.chunk_id = tk.chunk_id WHERE tk.rank <= 20),
+sm AS MATERIALIZED (SELECT a.qid, a.rank, any_value(a.chunk_id) AS chunk_id, any_value(a.score) AS score, list(list_cosine_similarity(a.vector, b.vector) ORDER BY b.rank) AS sims FROM nr a JOIN nr b USING (qid) GROUP BY a.qid, a.rank),
+ch AS (SELECT qid, 0 AS k, []::INT[] AS chosen FROM q UNION ALL SELECT ch.qid, k + 1, list_append(chosen, arg_max(rank, {{'v': round(0.5 * score - 0.5 * coalesce(list_max(list_transform(chosen, lambda x: sims[x])), 0), 12), 'r': -rank}})) FROM ch JOIN sm ON sm.qid = ch.qid AND NOT list_contains(chosen, rank) WHERE k < 5 GROUP BY ch.qid, k, chosen)
+SELECT qid, o.rank, chunk_id, round(score, 6) AS score FROM (SELECT qid, unnest(chosen) AS r, unnest(range(1, 6))::INT AS rank FROM ch WHERE k = 5) o JOIN (SELECT qid, rank AS r, chunk_id, score FROM sm) USING (qid, r)""")(
+    lambda s, d: retrieval.mmr(f.vector_questions(s, d), f.vector_chunks(s, d)).withColumn("score", F.round("score", 6))
+)
 
 
 def _variants(s, d):
@@ -154,7 +169,11 @@ query("p11_evidence_coverage", f"WITH {_CONTEXT} SELECT qid, hop FROM ma GROUP B
     lambda s, d: metrics.evidence_matches(_evidence(s, d), _contexts(s, d), fuzzy=False).groupBy("qid", "hop").agg(F.bool_or("found").alias("f")).where("not f").drop("f")
 )
 _F1 = "CASE WHEN sh = 0 THEN 0.0 ELSE 2 * (sh / na) * (sh / nr) / (sh / na + sh / nr) END"
-query("e11_rouge_l")(lambda s, d: metrics.rouge_l(f.turns(s, d)))
+query("e11_rouge_l", f"""WITH RECURSIVE {f.TURN_SQL}, t AS MATERIALIZED (SELECT id, {words_sql('answer')} AS a, {words_sql('reference')} AS r FROM tn WHERE answer IS NOT NULL AND reference IS NOT NULL),
+l AS (SELECT id, 0 AS i, list_transform(a, lambda x: 0) AS best FROM t UNION ALL SELECT id, i + 1, list_transform(range(1, len(step) + 1), lambda j: list_max(step[1:j])) FROM (
+  SELECT t.id, i, list_transform(range(1, len(a) + 1), lambda j: CASE WHEN a[j] = r[i + 1] THEN coalesce(best[j - 1], 0) + 1 ELSE best[j] END) AS step FROM l JOIN t ON t.id = l.id WHERE i < len(r))),
+k AS (SELECT l.id, coalesce(list_max(best), 0) AS sh, len(a) AS na, len(r) AS nr FROM l JOIN t ON t.id = l.id WHERE i = len(r))
+SELECT id, round({_F1}, 6) AS rouge_l FROM k""")(lambda s, d: metrics.rouge_l(f.turns(s, d)).withColumn("rouge_l", F.round("rouge_l", 6)))
 query("e12_token_f1", f"""WITH {f.TURN_SQL}, b AS (SELECT id, {pt_tokens_sql('answer')} AS a, {pt_tokens_sql('reference')} AS r FROM tn WHERE answer IS NOT NULL AND reference IS NOT NULL),
 x AS (SELECT id, x, sum(ca) AS ca, sum(cr) AS cr FROM (SELECT id, unnest(a) AS x, 1 AS ca, 0 AS cr FROM b UNION ALL SELECT id, unnest(r), 0, 1 FROM b) GROUP BY ALL),
 o AS (SELECT id, sum(least(ca, cr)) AS sh FROM x GROUP BY id)
