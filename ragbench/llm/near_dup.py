@@ -248,7 +248,8 @@ def near_duplicate_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     # Of the texts of an id, if there are several, that with the greatest hash stands for the document.
     several = base.where("id is not null").groupBy("id").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")).where("lo != hi").select("id", F.col("hi").alias("hash"))
     several = stored(several, "several")
-    best = stored(several.hint("merge").join(base.select("id", "hash", F.col("key").alias("best"), F.col("n").alias("best_n")).hint("merge"), ["id", "hash"]).dropDuplicates(["id"]), "best")
+    # No hint: the table of such ids, mostly empty, is on disk with its size, by which the join picks its strategy.
+    best = stored(base.select("id", "hash", F.col("key").alias("best"), F.col("n").alias("best_n")).join(several, ["id", "hash"]).dropDuplicates(["id"]), "best")
     chosen = best.select("id", F.col("hash").alias("chosen"))
     only = lambda rows: rows.join(chosen, "id", "left").where(F.col("chosen").isNull() | (F.col("chosen") == F.col("hash"))).drop("chosen")
     narrow = only(narrow).drop("hash")
