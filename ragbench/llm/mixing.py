@@ -24,8 +24,8 @@ from ragbench.llm.common import Columns, new_path, stored
 
 #: The least size of a block, and the blocks of a table from which they grow: the driver takes one step for each.
 BLOCK_BYTES, MOST_BLOCKS = 16_384, 4_000_000
-#: Hash ranges in each source's stream (four hexadecimal digits); a task handles some of them.
-RANGES = 65_536
+#: Hash ranges in each source's stream (four hexadecimal digits), of which a task handles some, and those summed together.
+RANGES, GROUP = 65_536, 256
 #: Slots in a row of the slot table, and slots that the driver holds at once.
 PIECE, HELD = 1024, 500_000
 
@@ -123,8 +123,13 @@ def mix(docs: DataFrame, target: dict | None = None, power: float = 0.7, text: s
             block_bytes *= 2
     source_type = table.rows.schema[source].dataType.simpleString()
     slots = slot_table(docs.sparkSession, weights(found, target, power), {s: -(-n // block_bytes) for s, n in found.items()}, source_type)
-    # At most RANGES rows for each source, each with the slots of the blocks that its bytes lie in.
-    offsets = sums.withColumn("offset", F.sum("sum").over(Window.partitionBy("s").orderBy("r")) - F.col("sum"))
+    # At most RANGES rows for each source, each with the slots of the blocks that its bytes lie in. Offsets come from
+    # sums over GROUP ranges and from sums within each, so that no source's ranges meet in one task.
+    sums = sums.withColumn("g", F.floor(F.col("r") / GROUP))
+    groups = sums.groupBy(F.col("s").alias("gs"), F.col("g").alias("gg")).agg(F.sum("sum").alias("gsum"))
+    groups = groups.withColumn("start", F.sum("gsum").over(Window.partitionBy("gs").orderBy("gg")) - F.col("gsum"))
+    inner = sums.withColumn("upto", F.sum("sum").over(Window.partitionBy("s", "g").orderBy("r")) - F.col("sum"))
+    offsets = inner.join(groups.hint("shuffle_merge"), inner["s"].eqNullSafe(groups["gs"]) & (inner["g"] == groups["gg"])).withColumn("offset", F.col("start") + F.col("upto"))
     first, last = F.floor(F.col("offset") / block_bytes).cast("long"), F.floor((F.col("offset") + F.col("sum") - 1) / block_bytes).cast("long")
     touched = offsets.select("s", "r", "offset", first.alias("first"), F.explode(F.sequence(first, last)).alias("b"))
     dealt = touched.join(slots.hint("shuffle_merge"), touched["s"].eqNullSafe(slots["_t"]) & (touched["b"] == slots["_b"]))
