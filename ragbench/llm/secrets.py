@@ -72,11 +72,10 @@ def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, text: st
     each blob and partition, so a blob that a third of all rows hold is shuffled once for each partition.
     """
     held = versions.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    todo = held.select("blob", F.col(text).alias("_text"))
-    if ledger is not None:
+    todo = held.select("blob", F.col(text).alias("_text")).dropDuplicates(["blob"])
+    if ledger is not None:  # after the copies are gone, in the partitions that this left
         seen = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
         todo = todo.join(seen.hint("shuffle_merge"), "blob", "left_anti")
-    todo = todo.dropDuplicates(["blob"])
     fresh = todo.select("blob", F.lit(rule_version).alias("rule_version"), scan(F.col("_text")).alias("spans"))
     return held, stored(fresh, "ledger")
 
