@@ -69,6 +69,12 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragbench.llm.url_rules import op13_url_filter
+
+    return op13_url_filter(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": _op1,
@@ -81,11 +87,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licence_scan": _op8,
         "op9_secret_scan": _op9,
         "op10_decontamination": _op10,
+        "op13_url_filter": _op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from ragbench.llm import contamination, licenses, line_dedup, secrets, warc
+    from ragbench.llm import contamination, licenses, line_dedup, secrets, url_rules, warc
 
     return {
         "op2_warc": warc.ORACLE,
@@ -93,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_licence_scan": licenses.oracle(),
         "op9_secret_scan": secrets.oracle(),
         "op10_decontamination": contamination.ORACLE,
+        "op13_url_filter": url_rules.oracle(),
     }
