@@ -69,6 +69,12 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragbench.llm.token_align import op12_token_alignment
+
+    return op12_token_alignment(table(spark, sf_dir, "documents"))
+
+
 def _op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragbench.llm.url_rules import op13_url_filter
 
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licence_scan": _op8,
         "op9_secret_scan": _op9,
         "op10_decontamination": _op10,
+        "op12_token_alignment": _op12,
         "op13_url_filter": _op13,
     }
 
