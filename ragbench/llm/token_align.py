@@ -18,7 +18,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -34,7 +34,7 @@ from ragbench.llm.common import Columns, stored
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block (a longer document is a block of its own), and links (before repeats go) that are expanded at once.
-BLOCK_BYTES, PART_LINKS = 12 << 20, 1 << 20
+BLOCK_BYTES, PART_LINKS = 3 << 20, 1 << 19
 #: Bytes given to the tokenizers at once, and the length from which a word goes alone.
 CHUNK, LONG = 20_000, 2_000
 # The published split pattern of A's kind of tokenizer, and B's sign for a space.
@@ -59,7 +59,6 @@ class Tokenizers:
     def __init__(self, a_file: bytes, b_file: bytes):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         letters = byte_letters()
         known = json.loads(a_file)
@@ -70,8 +69,7 @@ class Tokenizers:
             self.a_bytes[i] = token
         # The ids are the ranks of the merges; this library is quicker, the other one takes words of any length.
         self.quick = tiktoken.Encoding("A", pat_str=PATTERN, mergeable_ranks=vocabulary, special_tokens={})
-        self.slow = Tokenizer.from_str(a_file.decode())
-        self.slow.encode_special_tokens = True
+        self.a_file = a_file
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         self.b_bytes = []
         for i in range(self.b.get_piece_size()):
@@ -83,6 +81,14 @@ class Tokenizers:
         self.written = [f"{i}{sign}" for sign in (",", "|", ";", "") for i in range(1 << BITS)]
         self.written_size = np.array([len(x) for x in self.written], dtype=np.int64)
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.a_file.decode())
+        out.encode_special_tokens = True
+        return out
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of space+text in A and of text in B (which adds the space), or None if either's bytes differ from space+text."""
         if SPACE_SIGN in text:
@@ -128,7 +134,7 @@ class Words:
         alone = (sizes > LONG) | np.array([w[-1].isspace() for w in words], dtype=bool)
         run = start_of // CHUNK
         cuts = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | alone[1:] | alone[:-1]))) if n else []
-        for first, last in zip(cuts, [*cuts[1:], n], strict=True):
+        for first, last in zip(cuts, [*cuts[1:], n]):
             put(int(first), int(last))
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in ids)
         size_a, size_b = tokenizers.a_size[a], tokenizers.b_size[b]
