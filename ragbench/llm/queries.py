@@ -69,6 +69,12 @@ def _op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ragbench.llm.conversation_trie import op11_prefix_trie
+
+    return op11_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def _op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ragbench.llm.token_align import op12_token_alignment
 
@@ -93,13 +99,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licence_scan": _op8,
         "op9_secret_scan": _op9,
         "op10_decontamination": _op10,
+        "op11_prefix_trie": _op11,
         "op12_token_alignment": _op12,
         "op13_url_filter": _op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from ragbench.llm import contamination, licenses, line_dedup, secrets, url_rules, warc
+    from ragbench.llm import contamination, conversation_trie, licenses, line_dedup, secrets, url_rules, warc
 
     return {
         "op2_warc": warc.ORACLE,
@@ -107,5 +114,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_licence_scan": licenses.oracle(),
         "op9_secret_scan": secrets.oracle(),
         "op10_decontamination": contamination.ORACLE,
+        "op11_prefix_trie": conversation_trie.ORACLE,
         "op13_url_filter": url_rules.oracle(),
     }
