@@ -303,7 +303,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 def block_table(rows: DataFrame, files: Broadcast, block_bytes: int) -> DataFrame:
     """The rows (text last) by blocks, with their own figures, and one row for each block with its pairs and packed words."""
     kept = rows.schema.fields[:-1]
-    schema = T.StructType([T.StructField("block", T.LongType()), *kept, *T._parse_datatype_string(f"{OUT}, no int, pairs array<long>, docs array<long>, packed binary").fields])
+    schema = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(f.name, f.dataType) for f in kept), *T._parse_datatype_string(f"{OUT}, no int, pairs array<long>, docs array<long>, packed binary").fields])
 
     def run(batches):
         from pyspark import TaskContext
