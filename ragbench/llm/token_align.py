@@ -34,7 +34,7 @@ from ragbench.llm.common import Columns, stored
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block (a longer document is a block of its own), and links (before repeats go) that are expanded at once.
-BLOCK_BYTES, PART_LINKS = 3 << 20, 1 << 19
+BLOCK_BYTES, PART_LINKS = 2 << 20, 1 << 18
 #: Bytes given to the tokenizers at once, and the length from which a word goes alone.
 CHUNK, LONG = 20_000, 2_000
 # The published split pattern of A's kind of tokenizer, and B's sign for a space.
