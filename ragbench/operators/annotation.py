@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,33 +111,30 @@ def latest(log: DataFrame, removed: DataFrame | None = None) -> DataFrame:
     return rows.join(removed, "annotator", "left_anti") if removed is not None else rows
 
 
-def _coincidences(notes: DataFrame, by: list[str]) -> DataFrame:
-    """(a, b, w) by ``by``: ordered pairs of values within a unit weigh 1/(m-1). Values are few, so units are counted by value first."""
-    v = notes.where("score is not null").groupBy(*by, "item", "score").agg(F.count("*").alias("c"))
-    v = v.withColumn("m", F.sum("c").over(Window.partitionBy(*by, "item"))).where("m > 1")
-    left, right = v.select(*by, "item", F.col("score").alias("a"), F.col("c").alias("ca"), "m"), v.select(*by, "item", F.col("score").alias("b"), F.col("c").alias("cb"))
-    pairs = left.join(right, [*by, "item"])
-    w = F.col("ca") * (F.col("cb") - (F.col("a") == F.col("b")).cast("int")) / (F.col("m") - 1)
-    return pairs.groupBy(*by, "a", "b").agg(F.sum(w).alias("w"))
-
-
 def krippendorff(notes: DataFrame, by: list[str], level: str = "ordinal") -> DataFrame:
-    """Alpha by ``by``; null without pairable units or variation."""
-    o = _coincidences(notes, by)
-    freq = o.groupBy(*by, "a").agg(F.sum("w").alias("f"))
-    freq = freq.withColumn("upto", F.sum("f").over(Window.partitionBy(*by).orderBy("a"))).withColumn("n", F.sum("f").over(Window.partitionBy(*by)))
-    x = freq.select(*by, "a", F.col("f").alias("fa"), F.col("upto").alias("ua"), "n")
-    y = freq.select(*by, F.col("a").alias("b"), F.col("f").alias("fb"), F.col("upto").alias("ub"))
-    grid = x.join(y, by).join(o, [*by, "a", "b"], "left")  # values by values
+    """Alpha by ``by``; null without pairable units or variation.
+
+    Every difference is one of places on a line (an ordinal value's place is its cumulated frequency, less half its own), squared, or
+    whether two values differ. Sums over pairs then follow from each unit's sums over its values, so no pair is ever made: the cost grows with the notes.
+    """
+    counts = notes.where("score is not null").groupBy(*by, "item", "score").agg(F.count("*").alias("c"))
+    counts = counts.withColumn("m", F.sum("c").over(Window.partitionBy(*by, "item"))).where("m > 1")
+    freq = counts.groupBy(*by, "score").agg(F.sum("c").cast("double").alias("f"))
+    whole = Window.partitionBy(*by)
+    if level == "ordinal":
+        freq = freq.withColumn("x", F.sum("f").over(whole.orderBy("score")) - F.col("f") / 2)
+    else:
+        freq = freq.withColumn("x", F.col("score").cast("double"))
+    freq = freq.withColumn("n", F.sum("f").over(whole)).withColumn("x", F.col("x") - F.sum(F.col("f") * F.col("x")).over(whole) / F.col("n"))
+    c, x = F.col("c"), F.col("x")
     if level == "nominal":
-        delta = (F.col("a") != F.col("b")).cast("double")
-    elif level == "interval":
-        delta = F.pow(F.col("a") - F.col("b"), 2)
+        in_unit, apart = (F.first("m") * F.first("m") - F.sum(c * c)) / (F.first("m") - 1), F.first("n") * F.first("n") - F.sum(F.col("f") * F.col("f"))
     else:
-        between = F.greatest("ua", "ub") - F.least("ua", "ub") + F.when(F.col("ua") <= F.col("ub"), F.col("fa")).otherwise(F.col("fb"))
-        delta = F.pow(between - (F.col("fa") + F.col("fb")) / 2, 2)
-    sums = grid.groupBy(*by).agg(F.sum(F.coalesce("w", F.lit(0.0)) * delta).alias("o"), (F.sum(F.col("fa") * F.col("fb") * delta) / (F.first("n") - 1)).alias("e"))
-    return sums.select(*by, F.when(F.col("e") > 0, 1 - F.col("o") / F.col("e")).alias("alpha"))
+        in_unit = 2 * (F.first("m") * F.sum(c * x * x) - F.sum(c * x) * F.sum(c * x)) / (F.first("m") - 1)
+        apart = 2 * F.first("n") * F.sum(F.col("f") * x * x)  # places are centred
+    found = counts.join(freq.select(*by, "score", "x"), [*by, "score"]).groupBy(*by, "item").agg(in_unit.alias("w")).groupBy(*by).agg(F.sum("w").alias("o"))
+    chance = freq.groupBy(*by).agg((apart / (F.first("n") - 1)).alias("e"))
+    return found.join(chance, by).select(*by, F.when(F.col("e") > 0, 1 - F.col("o") / F.col("e")).alias("alpha"))
 
 
 def confusion(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -297,26 +296,42 @@ def unblind(notes: DataFrame) -> DataFrame:
     return notes.withColumn("winner", F.when(F.col("preference").isNotNull(), first))
 
 
-def pair_summary(notes: DataFrame, z: float = 1.959963984540054) -> DataFrame:
-    """By annotator and in all (annotator null): wins, ties, two-sided sign test and Wilson interval of side 1's share.
+def fair_tail(n: int, k: int) -> float:
+    """The probability of at most k heads in n throws of a fair coin: the regularised incomplete beta function at 1/2.
 
-    The binomial tail sums exp(log-combinations); logs of factorials are running sums over 1..n.
+    I(a, b) with a = n - k and b = k + 1 is a power times a continued fraction, here by its convergents; beyond the middle it is one less the other tail.
     """
+    if k < 0 or k >= n:
+        return float(k >= n)
+    if 2 * k >= n:
+        return 1.0 - fair_tail(n, n - k - 1)
+    a, b = n - k, k + 1
+    front = math.exp(math.lgamma(n + 1) - math.lgamma(a + 1) - math.lgamma(b) - n * math.log(2) - math.log(2))
+    # Numerators of the fraction, taken in pairs; h and d are rescaled so that they stay near 1.
+    c, d = 1.0, 1 / (1 - (a + b) * 0.5 / (a + 1))
+    value, j = d, 1
+    while True:
+        for term in (j * (b - j) * 0.5 / ((a + 2 * j - 1) * (a + 2 * j)), -(a + j) * (a + b + j) * 0.5 / ((a + 2 * j) * (a + 2 * j + 1))):
+            d, c = 1 / (1 + term * d), 1 + term / c
+            value *= c * d
+        if abs(c * d - 1) < 1e-15 or j > n:
+            return front * value
+        j += 1
+
+
+def pair_summary(notes: DataFrame, z: float = 1.959963984540054) -> DataFrame:
+    """By annotator and in all (annotator null): wins, ties, two-sided sign test and Wilson interval of side 1's share; one row each in all steps."""
     count = lambda v: F.count_if(F.col("winner") == v)
     s = notes.where("winner is not null").groupingSets([["annotator"], []], "annotator").agg(count("1").alias("wins_1"), count("2").alias("wins_2"), count("tie").alias("ties"))
-    s = s.withColumn("n", F.col("wins_1") + F.col("wins_2")).withColumn("k", F.least("wins_1", "wins_2"))
-    logs = s.where("n > 0").select("annotator", "n", "k", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
-    fact = Window.partitionBy("annotator", "n").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    logs = logs.withColumn("lf", F.sum(F.log(F.greatest("i", F.lit(1)))).over(fact))
-    logs = logs.withColumn("ln", F.max("lf").over(Window.partitionBy("annotator", "n")))
-    rest = logs.select(F.col("annotator").alias("who"), (F.col("n") - F.col("i")).alias("j"), F.col("lf").alias("lr"))
-    both = logs.join(rest, logs["annotator"].eqNullSafe(rest["who"]) & (logs["i"] == rest["j"])).where("i <= k")
-    tail = both.groupBy("who").agg(F.least(F.lit(1.0), 2 * F.sum(F.exp(F.col("ln") - F.col("lf") - F.col("lr") - F.col("n") * F.log(F.lit(2.0))))).alias("p"))
-    out = s.join(tail, s["annotator"].eqNullSafe(tail["who"]), "left")
-    p, n = F.col("wins_1") / F.col("n"), F.col("n")
-    centre, spread, denom = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)), 1 + z * z / n
+
+    def tails(n: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([min(1.0, 2 * fair_tail(int(a), int(b))) if a > 0 else None for a, b in zip(n, k, strict=True)], dtype="float64")
+
+    s = s.withColumn("n", F.col("wins_1") + F.col("wins_2")).withColumn("p", F.pandas_udf(tails, "double")("n", F.least("wins_1", "wins_2")))
+    share, n = F.col("wins_1") / F.col("n"), F.col("n")
+    centre, spread, denom = share + z * z / (2 * n), z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n)), 1 + z * z / n
     ok = F.col("n") > 0
-    return out.select("annotator", "wins_1", "wins_2", "ties", "p", F.when(ok, (centre - spread) / denom).alias("low"), F.when(ok, (centre + spread) / denom).alias("high"))
+    return s.select("annotator", "wins_1", "wins_2", "ties", "p", F.when(ok, (centre - spread) / denom).alias("low"), F.when(ok, (centre + spread) / denom).alias("high"))
 
 
 def reason_counts(notes: DataFrame) -> DataFrame:

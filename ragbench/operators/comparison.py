@@ -19,9 +19,21 @@ def question_scores(scores: DataFrame) -> DataFrame:
     return ok.groupBy("combo", "base", "question", "metric").agg(F.avg("value").alias("value"), F.max("question_type").alias("question_type"))
 
 
-def requested(items: DataFrame, known: DataFrame) -> DataFrame:
-    """Each requested (combo) with ``reason`` null if it is known, else why it is left out."""
-    return items.join(known.select("combo").distinct().withColumn("k", F.lit(1)), "combo", "left").select("combo", F.when(F.col("k").isNull(), "unknown run").alias("reason"))
+class UnknownExperiment(LookupError):
+    """An item names an experiment that does not exist."""
+
+
+def requested(items: DataFrame, runs: DataFrame, experiments: DataFrame) -> DataFrame:
+    """Each requested (experiment, combo), once, with ``reason`` null if the experiment has that run, else why it is left out.
+
+    An experiment that isn't among ``experiments`` is an error, not a reason.
+    """
+    items = items.select("experiment", "combo").distinct()
+    unknown = items.join(experiments.select("experiment").distinct(), "experiment", "left_anti").first()
+    if unknown is not None:
+        raise UnknownExperiment(f"experiment {unknown['experiment']} not found")
+    known = runs.select("experiment", "combo").distinct().withColumn("k", F.lit(1))
+    return items.join(known, ["experiment", "combo"], "left").select("experiment", "combo", F.when(F.col("k").isNull(), "unknown run").alias("reason"))
 
 
 def default_metric(scores: DataFrame, preferred: tuple[str, ...]) -> DataFrame:

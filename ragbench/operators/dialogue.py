@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragbench.operators.signals import corpus_signals, question_signals, retrieval_signals
+from ragbench.sources.shared import written
+
 
 def dialogues(messages: DataFrame) -> DataFrame:
     """(conv_id, messages, first): number of messages and the first user message, cut to 80 characters."""
@@ -79,3 +82,14 @@ def saved_configurations(log: DataFrame) -> DataFrame:
     rows = log.select(F.col("config_id").cast("long"), "name", F.col("deleted_at").cast("long"))
     taken = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("config_id", "deleted_at"))).alias("x")).select("name", F.aggregate("x", start, step)["ok"].alias("ok"))
     return rows.join(taken.hint("merge"), "name").select("config_id", "name", F.array_contains("ok", F.col("config_id")).alias("ok"))
+
+
+def turn_difficulty(turns: DataFrame, df: DataFrame, n_docs: int, hits: DataFrame) -> DataFrame:
+    """One row for each turn (qid, question, searched): its question, corpus and retrieval signals.
+
+    Question and corpus signals are those of the searched text, or of the question where nothing was searched; ``df`` and ``n_docs`` are the
+    base's document frequencies and size. Retrieval signals come from the turn's ``hits`` (qid, score) and are null without any.
+    """
+    texts = written(turns.select("qid", F.coalesce(F.nullif(F.btrim("searched"), F.lit("")), "question").alias("text")), "turn-texts")
+    asked = texts.select("qid", *question_signals(F.col("text")))
+    return asked.join(corpus_signals(texts, df, n_docs), "qid", "left").join(retrieval_signals(hits), "qid", "left")

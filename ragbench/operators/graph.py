@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragbench.functions.similarity import indel_ratio
 from ragbench.functions.text import fold, name_key, one_space
 from ragbench.operators.retrieval import top_k
+from ragbench.operators.strings import similar_strings
 from ragbench.sources.shared import written
 
 SYNONYM_RATIO = 85
@@ -153,23 +153,17 @@ def merge_relations(lines: DataFrame, entities: DataFrame) -> tuple[DataFrame, D
     return relations, promoted
 
 
-def synonyms(entities: DataFrame, least: float = SYNONYM_RATIO, size: int = 2) -> DataFrame:
+def synonyms(entities: DataFrame, least: float = SYNONYM_RATIO) -> DataFrame:
     """(key, other, weight), both ways, for folded names with an Indel ratio of ``least`` or more.
 
-    Blocking: names with that ratio have lengths within a factor and share character pairs; candidates share one
-    of their three rarest pairs' block or a word, and the exact ratio decides.
+    Names are joined by ``similar_strings``, which is exact; entities of one folded name are compared once.
     """
-    n = entities.select("key", fold(F.col("name")).alias("f")).where("length(f) > 0")
-    pairs = n.select("key", "f", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("f") - size + 1, F.lit(1))), lambda i: F.col("f").substr(i, F.lit(size))))).alias("g"))
-    # Of m pairs, each edit touches at most ``size``; the rarest share of them must meet.
-    df = pairs.groupBy("g").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("df", "g"))
-    keep = F.ceil((F.lit(100.0) - least) / 100 * size * F.length("f") * 2) + 1
-    rare = pairs.hint("merge").join(df.hint("merge"), "g").withColumn("n", rank).where(F.col("n") <= keep).select("key", "f", "g")
-    x, y = rare.select(F.col("key").alias("key"), F.col("f").alias("fx"), "g"), rare.select(F.col("key").alias("other"), F.col("f").alias("fy"), "g")
-    close = x.hint("merge").join(y, "g").where((F.col("key") < F.col("other")) & (200 * F.least(F.length("fx"), F.length("fy")) >= least * (F.length("fx") + F.length("fy")))).select("key", "other", "fx", "fy").distinct()
-    linked = close.withColumn("ratio", indel_ratio(F.col("fx"), F.col("fy"))).where(F.col("ratio") >= least).select("key", "other", F.round(F.col("ratio") / 100, 4).alias("weight"))
-    return linked.unionByName(linked.select(F.col("other").alias("key"), F.col("key").alias("other"), "weight"))
+    names = written(entities.select("key", fold(F.col("name")).alias("text")).where("text <> ''"), "names")
+    close = similar_strings(names.select(F.col("text").alias("id"), "text").distinct(), least=least)
+    ways = close.unionByName(close.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), "ratio"))
+    ways = written(ways.unionByName(names.groupBy("text").count().where("count > 1").select(F.col("text").alias("left_id"), F.col("text").alias("right_id"), F.lit(100.0).alias("ratio"))), "close")
+    one, two = names.select("key", F.col("text").alias("left_id")), names.select(F.col("key").alias("other"), F.col("text").alias("right_id"))
+    return ways.join(one, "left_id").join(two, "right_id").where("key <> other").select("key", "other", F.round(F.col("ratio") / 100, 4).alias("weight"))
 
 
 def build_stats(lines: DataFrame, replies: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragbench.functions.text import fold
+from ragbench.operators.strings import similar_strings
+from ragbench.sources.shared import written
+
 #: Ligatures U+FB00 to U+FB06 and their letters.
 LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 
@@ -117,20 +121,16 @@ def guide_pairs(lines: DataFrame, page_number: str = r"\s(\d{1,4})$") -> DataFra
 
 
 def nearest_titles(wanted: DataFrame, titles: DataFrame, cutoff: float = 0.9) -> DataFrame:
-    """(id, title, nearest, ratio): the most alike title (title_id, name) of each wanted one (id, title), of at least ``cutoff``.
+    """(id, title, nearest, ratio): the most alike title (name) of each wanted one (id, title), of at least ``cutoff``.
 
-    Candidates share a folded word; the ratio is the Indel ratio over 100. Ties go to the smaller name.
+    All titles count (``similar_strings`` is exact); the ratio is the Indel ratio over 100. Ties go to the smaller name.
     """
-    from ragbench.functions.similarity import indel_ratio
-    from ragbench.functions.text import fold, normal_words
-
-    def by_word(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("*", F.explode(F.array_distinct(F.split(normal_words(fold(F.col(name))), " "))).alias("word"))
-
-    near = by_word(wanted, "title").hint("merge").join(by_word(titles, "name"), "word").select("id", "title", "name").distinct()
-    scored = near.withColumn("ratio", indel_ratio(fold(F.col("title")), fold(F.col("name"))) / 100).where(F.col("ratio") >= cutoff)
-    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("ratio"), "name"))
-    return scored.withColumn("n", first).where("n = 1").select("id", "title", F.col("name").alias("nearest"), "ratio")
+    wanted = written(wanted.select("id", "title", fold(F.col("title")).alias("left_id")), "wanted")
+    titles = written(titles.select("name", fold(F.col("name")).alias("right_id")).groupBy("right_id").agg(F.min("name").alias("name")), "titles")
+    close = written(similar_strings(wanted.select(F.col("left_id").alias("id"), F.col("left_id").alias("text")).distinct(), titles.select(F.col("right_id").alias("id"), F.col("right_id").alias("text")), 100 * cutoff), "close")
+    near = wanted.join(close, "left_id").join(titles, "right_id")
+    best = near.groupBy("id", "title").agg(F.min(F.struct((-F.col("ratio")).alias("far"), F.col("name"))).alias("best"))
+    return best.select("id", "title", F.col("best.name").alias("nearest"), (-F.col("best.far") / 100).alias("ratio"))
 
 
 def audit(matches: DataFrame, most: int = 2) -> DataFrame:

@@ -111,6 +111,21 @@ def quartiles(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(by, *(F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))))
 
 
+def quantile_sketches(rows: DataFrame, by: list[str], value: str, k: int = 200) -> DataFrame:
+    """(by, sketch): a KLL sketch of the values of each group, some kilobytes whatever the group's size.
+
+    Sketches of parts (a day, a file) can be stored and merged, so quantiles over any of them need no second look at the rows.
+    ``k`` sets the accuracy: at 200 a quantile's rank is off by 1.3 % of the rows at most, in 99 of 100 sketches.
+    """
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, by: list[str], at: dict[str, float]) -> DataFrame:
+    """(by, n, a column for each quantile of ``at``) from stored sketches, merged by group."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+    return merged.select(*by, F.kll_sketch_get_n_double("sketch").alias("n"), *(F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in at.items()))
+
+
 def question_matrix(results: DataFrame, value: str) -> DataFrame:
     """(question, combo, value, difficulty): the first row of each cell and the question's mean over cells, nulls left out."""
     cell = results.groupBy("question", "combo").agg(F.min_by(value, F.struct("result_id", value)).alias("value"))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragbench.functions.text import fold, normal_words, pt_tokens
 from ragbench.functions.vectors import cosine
-from ragbench.operators.comparison import average_ranks
+from ragbench.operators.ordered import in_ranges, running_sums
+from ragbench.sources.shared import written
 
 #: Portuguese patterns of question signals, on lower-case text.
 PATTERNS = {
@@ -85,13 +85,42 @@ def by_hit(results: DataFrame, metric: str) -> DataFrame:
     )
 
 
+def mid_ranks(counts: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by, value, name): the mean rank of each value in its series, from counted values (by, value, n).
+
+    Places are running sums of counts over the order of all series (``ordered``), so a series may fill any number of ranges.
+    """
+    counts = counts.groupBy(*by, value).agg(F.sum("n").alias("n"))
+    order = [*by, value]
+    placed = running_sums(in_ranges(counts, order, "mid-ranks"), order, {"upto": F.col("n")}, by)
+    return placed.select(*order, (F.col("upto") - (F.col("n") - 1) / 2).alias(name))
+
+
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> DataFrame:
-    """Correlation of mid-ranks by series; null under ``least`` pairs or when a side does not vary."""
-    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(pairs, by, x, "_rx"), by, y, "_ry")
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"), F.stddev_pop("_rx").alias("sx"), F.stddev_pop("_ry").alias("sy"))
-    usable = (F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0)
-    return out.select(*by, "n", F.when(usable, F.col("rho")).alias("rho"))
+    """Correlation of mid-ranks by series; null under ``least`` pairs or when a side does not vary.
+
+    Equal pairs are counted first; a series' mean mid-rank is (n + 1) / 2.
+    """
+    names = [f"by{k}" for k in range(len(by))]
+    pairs = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.col(x).alias("x"), F.col(y).alias("y"))
+    counts = written(pairs.groupBy(*names, "x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    sizes = counts.groupBy(*names).agg(F.sum("n").alias("size"))
+    out = counts
+    for value in ("x", "y"):
+        ranks = written(mid_ranks(counts, names, value, f"rank_{value}"), "ranks").toDF(*(f"{n}_of" for n in names), f"{value}_of", f"rank_{value}")
+        same = F.col(value) == F.col(f"{value}_of")
+        for n in names:
+            same = same & F.col(n).eqNullSafe(F.col(f"{n}_of"))
+        out = out.join(ranks, same).drop(*(f"{n}_of" for n in names))
+    same = F.lit(True)
+    sizes = written(sizes, "sizes").toDF(*(f"{n}_of" for n in names), "size")
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_of"))
+    dx, dy = (F.col(f"rank_{v}") - (F.col("size") + 1) / 2 for v in ("x", "y"))
+    total = lambda v: F.sum(F.col("n") * v)
+    sums = out.join(sizes, same).groupBy(*names).agg(F.sum("n").alias("n"), total(dx * dy).alias("xy"), total(dx * dx).alias("xx"), total(dy * dy).alias("yy"))
+    usable = (F.col("n") >= least) & (F.col("xx") > 0) & (F.col("yy") > 0)
+    return sums.select(*(F.col(n).alias(c) for c, n in zip(by, names, strict=True)), "n", F.when(usable, F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
 
 
 def signal_correlations(signals: DataFrame, difficulty: DataFrame, names: list[str]) -> DataFrame:
@@ -117,7 +146,7 @@ def rasch_cells(responses: DataFrame) -> DataFrame:
 
 
 def fit_cells(person: np.ndarray, item: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Abilities and difficulties: alternating diagonal Newton steps of 1 at most, with an L2 penalty; difficulties are centred."""
+    """The plain form of ``rasch`` for one scope. Abilities and difficulties: alternating diagonal Newton steps of 1 at most, with an L2 penalty; difficulties are centred."""
     theta, b = np.zeros(person.max() + 1), np.zeros(item.max() + 1)
     for _ in range(steps):
         moved = 0.0
@@ -135,23 +164,40 @@ def fit_cells(person: np.ndarray, item: np.ndarray, y: np.ndarray, l2: float = 0
     return theta, b
 
 
-def rasch(cells: DataFrame, least: int = 3, reliable: int = 50) -> DataFrame:
-    """(scope, question, difficulty, reliable): one fit for each scope with ``least`` questions.
+def rasch(cells: DataFrame, least: int = 3, reliable: int = 50, l2: float = 0.1, steps: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """(scope, question, difficulty, reliable): one fit for each scope with ``least`` questions, all scopes at once.
 
-    A scope's cells are one row for each person and question: averages already, so a scope's table has persons times
-    questions rows, which a task holds. Scopes are fitted in parallel.
+    The same alternating steps as ``fit_cells``: each is one grouped sum over the cells, which meet two tables of parameters, and
+    both tables are written, so Spark joins them as their true sizes allow. Abilities and difficulties move together when
+    difficulties are centred, so only the penalty needs the centre. It ends when no centred difficulty moves by ``tolerance``
+    any more (some six steps), which is looked at every third step, or after ``steps``.
     """
-    q = cells.schema["question"].dataType.simpleString()
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        questions = np.sort(group["question"].unique())
-        if len(questions) < least:
-            return pd.DataFrame({"scope": [], "question": [], "difficulty": [], "reliable": []})
-        group = group.sort_values(["person", "question"])
-        _, b = fit_cells(group["person"].factorize()[0], np.searchsorted(questions, group["question"]), group["y"].to_numpy(float))
-        return pd.DataFrame({"scope": group["scope"].iloc[0], "question": questions, "difficulty": b, "reliable": len(questions) >= reliable})
-
-    return cells.groupBy("scope").applyInPandas(run, f"scope string, question {q}, difficulty double, reliable boolean")
+    cells = written(cells, "cells")
+    zero = F.lit(0.0)
+    hardness = cells.select("scope", "question").distinct()
+    sizes = written(hardness.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "scopes")
+    # Scopes with too few questions have no parameters, so their cells meet nothing.
+    ability = written(cells.select("scope", "person").distinct().join(sizes.select("scope"), "scope").withColumn("t", zero), "ability")
+    hardness = written(hardness.join(sizes.select("scope"), "scope").withColumn("b", zero), "hardness")
+    centre = sizes.select("scope", zero.alias("centre"))
+
+    def stepped(key: str, value: str, sign: int) -> DataFrame:
+        p = 1 / (1 + F.exp(F.col("b") - F.col("t")))
+        met = cells.join(ability.select("scope", "person", "t"), ["scope", "person"]).join(hardness.select("scope", "question", "b"), ["scope", "question"])
+        sums = met.groupBy("scope", key, value).agg((sign * F.sum(F.col("y") - p)).alias("slope"), F.sum(p * (1 - p)).alias("weight")).join(centre, "scope")
+        step = (F.col("slope") - l2 * (F.col(value) - F.col("centre"))) / (F.col("weight") + l2)
+        return written(sums.select("scope", key, F.col(value).alias("old"), (F.col(value) + F.greatest(F.least(step, F.lit(1.0)), F.lit(-1.0))).alias(value)), value)
+
+    for k in range(1, steps + 1):
+        ability = stepped("person", "t", 1)
+        hardness = stepped("question", "b", -1)
+        centre = hardness.groupBy("scope").agg(F.avg("b").alias("centre"))
+        if k % 3 == 0:
+            moved = hardness.groupBy("scope").agg(F.avg(F.col("b") - F.col("old")).alias("mean"), F.max(F.col("b") - F.col("old")).alias("up"), F.min(F.col("b") - F.col("old")).alias("down"))
+            most = moved.agg(F.max(F.greatest(F.col("up") - F.col("mean"), F.col("mean") - F.col("down")))).first()[0]
+            if most is None or most < tolerance:
+                break
+    return hardness.join(centre, "scope").join(sizes, "scope").select("scope", "question", (F.col("b") - F.col("centre")).alias("difficulty"), (F.col("n") >= reliable).alias("reliable"))
 
 
 def hardest_first(questions: DataFrame) -> DataFrame:

@@ -31,8 +31,16 @@ def means(s, d):
 
 
 add("k1_question_scores", lambda s, d: r6(cmp.question_scores(scores(s, d)), "value"), f"{_K} SELECT combo, base, question, metric, round(value, 6) AS value, question_type FROM k")
-add("k2_requested_items", lambda s, d: cmp.requested(f.results(s, d).select(F.regexp_replace("combo", "llmF$", "llmX").alias("combo")).distinct(), f.results(s, d)),
-    f"WITH {f.RESULT_SQL}, q AS (SELECT DISTINCT regexp_replace(combo, 'llmF$', 'llmX') AS combo FROM r) SELECT combo, CASE WHEN combo NOT IN (SELECT combo FROM r) THEN 'unknown run' END AS reason FROM q")
+def asked_for(s, d):
+    """Of every experiment its runs, those of llmF under a name that no run has."""
+    r = f.results(s, d).select("experiment", "combo")
+    return cmp.requested(r.select("experiment", F.regexp_replace("combo", "llmF$", "llmX").alias("combo")), r, f.table(s, d, "orders").select(F.col("o_orderkey").alias("experiment")))
+
+
+add("k2_requested_items", asked_for,
+    f"WITH {f.RESULT_SQL}, q AS (SELECT DISTINCT experiment, regexp_replace(combo, 'llmF$', 'llmX') AS combo FROM r), k AS (SELECT DISTINCT experiment, combo, true AS k FROM r) SELECT experiment, combo, CASE WHEN k IS NULL THEN 'unknown run' END AS reason FROM q LEFT JOIN k USING (experiment, combo)")
+
+
 def some_metrics(s, d):
     """Results without token_f1 in the combinations of llmF and without context_hit in closed_book ones."""
     return scores(s, d).where("not (metric = 'token_f1' and llm = 'llmF') and not (metric in ('context_hit', 'chrf') and rag = 'closed_book')")
@@ -162,11 +170,26 @@ def responses(s, d):
     return r.select(scope.alias("scope"), F.concat_ws("/", "rag", "retriever").alias("config"), "llm", "question", "result_id", "value")
 
 
-add("i20_i21_rasch", lambda s, d: r6(sig.rasch(sig.rasch_cells(responses(s, d))), "difficulty"))
+_CELLS = f"""{f.RESULT_SQL}, x AS (SELECT unnest(['all', 'llm=' || llm, 'type=' || question_type]) AS scope, rag || '/' || retriever AS config, llm, question, result_id, chrf FROM r WHERE answer = 'ok'),
+cells AS MATERIALIZED (SELECT scope, config || '/' || llm AS person, question, least(greatest(arg_max(chrf, {{'a': result_id, 'b': chrf}}), 0), 1) AS y FROM x GROUP BY scope, config, llm, question)"""
+
+
+def rasch_sql(steps: int = 25) -> str:
+    """The alternating steps, one after the other: by then nothing moves any more."""
+    parts = [f"WITH {_CELLS}, z AS (SELECT scope, count(DISTINCT question) AS n FROM cells GROUP BY scope HAVING n >= 3), w AS MATERIALIZED (SELECT cells.* FROM cells JOIN z USING (scope))",
+             "t0 AS (SELECT DISTINCT scope, person, 0::DOUBLE AS t FROM w)", "b0 AS (SELECT DISTINCT scope, question, 0::DOUBLE AS b FROM w)", "m0 AS (SELECT DISTINCT scope, 0::DOUBLE AS m FROM w)"]
+    one = "{k} AS MATERIALIZED (SELECT scope, {key}, {v} + greatest(-1, least(1, ({sign} * sum(y - p) - 0.1 * ({v} - m)) / (sum(p * (1 - p)) + 0.1))) AS {v} FROM (SELECT *, 1 / (1 + exp(b - t)) AS p FROM w JOIN {t} USING (scope, person) JOIN {b} USING (scope, question) JOIN {m} USING (scope)) GROUP BY scope, {key}, {v}, m)"
+    for k in range(steps):
+        parts.append(one.format(k=f"t{k + 1}", key="person", v="t", sign="1", t=f"t{k}", b=f"b{k}", m=f"m{k}"))
+        parts.append(one.format(k=f"b{k + 1}", key="question", v="b", sign="-1", t=f"t{k + 1}", b=f"b{k}", m=f"m{k}"))
+        parts.append(f"m{k + 1} AS MATERIALIZED (SELECT scope, avg(b) AS m FROM b{k + 1} GROUP BY scope)")
+    return ", ".join(parts) + f" SELECT scope, question, round(b - m, 6) + 0 AS difficulty, n >= 50 AS reliable FROM b{steps} JOIN m{steps} USING (scope) JOIN z USING (scope)"
+
+
+add("i20_i21_rasch", lambda s, d: r6(sig.rasch(sig.rasch_cells(responses(s, d))), "difficulty"), rasch_sql())
 add(
     "i20_rasch_cells", lambda s, d: r6(sig.rasch_cells(responses(s, d)), "y"),
-    f"""WITH {f.RESULT_SQL}, x AS (SELECT unnest(['all', 'llm=' || llm, 'type=' || question_type]) AS scope, rag || '/' || retriever AS config, llm, question, result_id, chrf FROM r WHERE answer = 'ok')
-SELECT scope, config || '/' || llm AS person, question, round(least(greatest(arg_max(chrf, {{'a': result_id, 'b': chrf}}), 0), 1), 6) AS y FROM x GROUP BY scope, config, llm, question""",
+    f"WITH {_CELLS} SELECT scope, person, question, round(y, 6) AS y FROM cells",
 )
 
 

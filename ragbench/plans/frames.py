@@ -15,6 +15,12 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("lang").alias("base"), "text")
 
 
+def short_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, name): sentences of 8 to 32 characters, whole; each once for a document."""
+    cut = docs(spark, sf_dir).where("text is not null").select("doc", F.explode(F.split("text", r"[.\n]")).alias("name")).select("doc", F.btrim("name").alias("name"))
+    return cut.where("length(name) BETWEEN 8 AND 32").distinct()
+
+
 #: Vectors as chunks: document = label, position = order of the id within it.
 CHUNK_SQL = "c AS (SELECT vec_id AS chunk_id, label AS doc, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INT AS chunk_index, embedding::DOUBLE[] AS vector FROM embeddings)"
 

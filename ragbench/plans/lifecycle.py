@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from ragbench.functions.vectors import embed_distinct
 from ragbench.operators import annotation as an
-from ragbench.operators import chunking, graph, grid, prep, signals, techniques
+from ragbench.operators import chunking, dialogue, graph, graph_build, grid, prep, signals, techniques
 from ragbench.operators.retrieval import top_k
 from ragbench.plans import frames as f
+from ragbench.plans import named
 from ragbench.plans.annotation import _PAIR, pair_notes
 from ragbench.plans.pipelines import _CTX, _PAGE, contexts, kept_lines
 from ragbench.plans.ranking import r6
 from ragbench.sources import tables as st
-from ragbench.sources.shared import shared_place
+from ragbench.sources.shared import shared_place, written
 from ragbench.streaming import jobs
 
 QUERIES, SQL = {}, {}
@@ -43,6 +44,30 @@ def prints(s, d):
 _CUR = "cu AS (SELECT DISTINCT o_custkey % 40 AS index, 'm' || (o_orderkey % 3) AS extractor FROM orders WHERE o_orderkey % 2 = 1 AND (o_custkey % 40, o_custkey % 7) IN (SELECT (c_custkey % 40, c_custkey % 5) FROM customer))"
 add("g16_current_graphs", lambda s, d: graph.current_graphs(graphs(s, d), prints(s, d), "v2", "g1").distinct(), f"WITH {_CUR} SELECT * FROM cu")
 add("g19_to_build", lambda s, d: graph.to_build(graphs(s, d).select("index", F.explode(F.array(F.col("extractor"), F.lit("another"))).alias("extractor")).distinct(), graph.current_graphs(graphs(s, d), prints(s, d), "v2", "g1")), f"WITH {_CUR} SELECT * FROM (SELECT DISTINCT o_custkey % 40 AS index, unnest(['m' || (o_orderkey % 3), 'another']) AS extractor FROM orders) EXCEPT SELECT * FROM cu")
+def built(s, d):
+    """A graph of the suppliers' replies, built, and then taken as it is: the second time no extraction is asked for."""
+    x = f.table(s, d, "supplier").join(f.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(f.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = F.concat(F.lit("N"), F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 12))
+    lines = F.array(
+        F.concat(F.lit("entidade<|>"), name, F.lit("<|>Organização<|>saldo")), F.concat(F.lit("entidade<|>"), F.col("n_name"), F.lit("<|>Lugar<|>"), F.col("r_name")),
+        F.concat(F.lit("relacao<|>"), name, F.lit("<|>"), F.col("n_name"), F.lit("<|>sede<|>fica em")), F.concat(F.lit("relacao<|>"), F.col("n_name"), F.lit("<|>"), F.col("r_name"), F.lit("<|>parte<|>faz parte")),
+    )
+    known = x.select(F.col("s_suppkey").alias("chunk_id"), F.array_join(lines, "\n").alias("reply"))
+    chunks, place = x.select(F.col("s_suppkey").alias("chunk_id"), F.concat(F.lit("# Guia\n\n"), "s_name").alias("text")), shared_place(s, "graphs")
+
+    def refused(missing):
+        raise AssertionError("the graph is current")
+
+    graph_build.ensure_graph(chunks, place, "m", lambda missing: missing.select("chunk_id").join(known, "chunk_id"))
+    g = graph_build.ensure_graph(chunks, place, "m", refused)
+    degree = g["relations"].select(F.explode(F.array("source", "target")).alias("key")).groupBy("key").agg(F.count("*").alias("relations"))
+    return g["entities"].join(degree, "key", "left").select("key", "name", "type", F.size("chunk_ids").alias("chunks"), "relations")
+
+
+add("g19_built", built, """WITH z AS (SELECT 'N' || md5(s_suppkey::VARCHAR)[1:12] AS name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT lower(name) AS key, name, 'organizacao' AS type, 1 AS chunks, 1 AS relations FROM z
+UNION ALL SELECT lower(n_name), n_name, 'lugar', count(*)::INT, count(*) + 1 FROM z GROUP BY n_name
+UNION ALL SELECT lower(r_name), r_name, 'outro', count(*)::INT, count(DISTINCT n_name) FROM z GROUP BY r_name""")
 add("x2_derived_lists", lambda s, d: grid.derived_lists(f.results(s, d).select(F.col("result_id").alias("no"), "rag", "llm"), ["rag", "llm"]),
     f"WITH {f.RESULT_SQL}, x AS (SELECT 'rag' AS dim, rag AS value, min(result_id) AS at_ FROM r GROUP BY rag UNION ALL SELECT 'llm', llm, min(result_id) FROM r GROUP BY llm) SELECT dim, row_number() OVER (PARTITION BY dim ORDER BY at_, value)::INT AS no, value FROM x")
 
@@ -69,12 +94,14 @@ def numbered_lines(s, d):
     return kept_lines(s, d).withColumn("line", F.when(F.col("line_no") % 3 == 0, F.col("line")).otherwise(F.concat("line", F.lit(" "), F.col("page").cast("string"))))
 
 
-def titles(s, d):
-    t = F.regexp_extract("text", r"^(\S+ \S+ \S+ \S+)", 1)
-    return f.docs(s, d).select("doc", t.alias("name")).where("length(name) > 12")
+def nearest(s, d):
+    """The nearest of all short sentences to those, with a letter more, of the stated set of documents."""
+    titles = f.short_sentences(s, d)
+    wanted = titles.where("doc % 20 = 0").select("name").distinct().select(F.sha1("name").alias("id"), F.concat("name", F.lit("s")).alias("title"))
+    return prep.nearest_titles(wanted, titles.select("name").distinct())
 
 
-add("p8_nearest_titles", lambda s, d: prep.nearest_titles(titles(s, d).where("doc % 20 = 0").select(F.col("doc").alias("id"), F.concat("name", F.lit("s")).alias("title")), titles(s, d).select("name").distinct()))
+add("p8_nearest_titles", nearest)
 add("s12_pair_export", lambda s, d: exported_pairs(s, d), f"{_PAIR}, an_ AS (SELECT result_id, max(answer) AS answer FROM r GROUP BY 1) SELECT un.question, annotator, winner, array_to_string(reasons, '|') AS reasons, x.answer AS answer_1, y.answer AS answer_2 FROM un JOIN pr USING (question) LEFT JOIN an_ x ON x.result_id = result_1 LEFT JOIN an_ y ON y.result_id = result_2")
 
 
@@ -122,18 +149,33 @@ def missing_texts(s, d):
 
 
 def turn_signals(s, d):
-    """Signals of the searched text (for every second question the next turn), or of the question where there is none."""
+    """Signals of the searched text (for every second question the next turn), or of the question where there is none; the corpus is the documents."""
     c = contexts(s, d)
-    searched = c.where("rank = 2 and qid % 2 = 0").select("qid", F.col("text").alias("searched"))
-    x = c.where("rank = 1").join(searched, "qid", "left").select("qid", F.coalesce(F.nullif(F.btrim("searched"), F.lit("")), "text").alias("text"))
-    return x.select("qid", *signals.question_signals(F.col("text")))
+    searched = c.where("rank = 2 and qid % 2 = 0").select("qid", F.nullif(F.btrim("text"), F.lit("")).alias("searched"))
+    turns = written(c.where("rank = 1").join(searched, "qid", "left").select("qid", F.col("text").alias("question"), "searched"), "turns")
+    docs = f.table(s, d, "documents").where("text is not null")
+    asked = turns.where("searched is not null").select("qid", F.col("searched").alias("text"))
+    vectors = asked.join(written(embed_distinct(asked, "text"), "vectors"), "text").select("qid", "vector")
+    found = top_k(vectors, message_vectors(s, d), 3)
+    return r6(dialogue.turn_difficulty(turns, signals.document_frequency(docs), docs.count(), found), "mean_idf", "max_idf", "out_of_corpus", "top_score", "score_gap", "score_spread")
 
 
 def _d6():
     from ragbench.functions.text import pt_tokens_sql
     from ragbench.plans.analysis import _FLAGS
 
-    return f"WITH {_CTX}, x AS (SELECT a.qid, coalesce(nullif(trim(b.text, ' '), ''), a.text) AS text FROM ctx a LEFT JOIN ctx b ON b.qid = a.qid AND b.rank = 2 AND b.qid % 2 = 0 WHERE a.rank = 1) SELECT qid, len({pt_tokens_sql('text')})::DOUBLE AS question_length, greatest(1, length(text) - length(replace(text, '?', '')))::DOUBLE AS sub_questions, {_FLAGS} FROM x"
+    return f"""WITH {_CTX}, h AS (SELECT qid, trim(text, ' ') AS text FROM ctx WHERE rank = 2 AND qid % 2 = 0 AND trim(text, ' ') <> ''), m AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'),
+a AS ({_unit('h', 'qid')}), b AS ({_unit('m', 'id')}), na AS (SELECT k, sqrt(sum(v * v)) AS n FROM a GROUP BY k), nb AS (SELECT k, sqrt(sum(v * v)) AS n FROM b GROUP BY k),
+dt AS (SELECT a.k AS q, b.k AS c, sum(a.v * b.v) AS x FROM a JOIN b USING (p) GROUP BY ALL),
+sc AS (SELECT h.qid AS q, m.id AS c, round(coalesce(CASE WHEN na.n * nb.n = 0 THEN 0 ELSE x / (na.n * nb.n) END, 0), 9) AS score FROM h CROSS JOIN m LEFT JOIN dt ON dt.q = h.qid AND dt.c = m.id LEFT JOIN na ON na.k = h.qid LEFT JOIN nb ON nb.k = m.id),
+tk AS (SELECT q AS qid, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, c) AS rank FROM sc),
+rs AS (SELECT qid, max(score) AS top_score, max(score) - max(score) FILTER (rank = 2) AS score_gap, stddev_pop(score) AS score_spread FROM tk WHERE rank <= 3 GROUP BY qid),
+x AS (SELECT a.qid, coalesce(h.text, a.text) AS text FROM ctx a LEFT JOIN h ON h.qid = a.qid WHERE a.rank = 1),
+df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct({pt_tokens_sql('text')})) AS token FROM documents WHERE text IS NOT NULL) GROUP BY token), nd AS (SELECT count(text) AS n FROM documents),
+tn AS (SELECT qid, unnest({pt_tokens_sql('text')}) AS token FROM x), cs AS (SELECT qid, avg(ln((n + 1) / (coalesce(df, 0) + 1))) AS mean_idf, max(ln((n + 1) / (coalesce(df, 0) + 1))) AS max_idf, avg((df IS NULL)::INT) AS out_of_corpus FROM tn LEFT JOIN df USING (token), nd GROUP BY qid)
+SELECT qid, len({pt_tokens_sql('text')})::DOUBLE AS question_length, greatest(1, length(text) - length(replace(text, '?', '')))::DOUBLE AS sub_questions, {_FLAGS},
+  round(coalesce(mean_idf, 0), 6) AS mean_idf, round(coalesce(max_idf, 0), 6) AS max_idf, round(coalesce(out_of_corpus, 0), 6) AS out_of_corpus, round(top_score, 6) AS top_score, round(score_gap, 6) AS score_gap, round(score_spread, 6) AS score_spread
+FROM x LEFT JOIN cs USING (qid) LEFT JOIN rs USING (qid)"""
 
 
 add("d6_turn_signals", turn_signals, _d6())
@@ -183,3 +225,38 @@ def streak_alerts(s, d):
     query = alerts.writeStream.format("parquet").option("path", f"{place}/alerts").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return s.read.schema(alerts.schema).parquet(f"{place}/alerts")
+
+
+def dumps(s, d):
+    """Result dumps of each supplier, one file each in one of three shapes, written and read back."""
+    rows = f.table(s, d, "lineitem").groupBy("l_suppkey", F.concat(F.lit("c"), F.col("l_linenumber") % 3).alias("combo"), F.concat(F.lit("q"), "l_partkey").alias("question")).agg(F.min("l_orderkey").alias("id"))
+    row = F.struct("id")
+    listed = rows.where("l_suppkey % 3 < 2").groupBy("l_suppkey").agg(F.collect_list(row).alias("rows"))
+    listed = listed.select("l_suppkey", F.when(F.col("l_suppkey") % 3 == 0, F.to_json("rows")).otherwise(F.to_json(F.struct(F.col("rows").alias("results")))).alias("value"))
+    deep = rows.where("l_suppkey % 3 = 2").groupBy("l_suppkey", "combo").agg(F.map_from_entries(F.collect_list(F.struct("question", row))).alias("m"))
+    deep = deep.groupBy("l_suppkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("combo", "m")))).alias("value"))
+    place = shared_place(s, "dumps")
+    listed.unionByName(deep).repartition("l_suppkey").write.partitionBy("l_suppkey").text(place)
+    return st.explode_dump(s, f"{place}/*").select("combo", "question", F.get_json_object("row", "$.id").cast("long").alias("id"))
+
+
+add("s16_dump_rows", dumps, """SELECT CASE WHEN l_suppkey % 3 = 2 THEN 'c' || (l_linenumber % 3) END AS combo, CASE WHEN l_suppkey % 3 = 2 THEN 'q' || l_partkey END AS question, min(l_orderkey) AS id
+FROM lineitem GROUP BY l_suppkey, l_linenumber % 3, l_partkey""")
+
+
+def by_name(s, d):
+    """Every document through the chunkers that a configuration names."""
+    named_ = [n for n in ("fixed", "token")]
+    made = [named.get("chunkers", n)(f.docs(s, d)).select(F.lit(n).alias("chunker"), F.length("text").alias("size")) for n in named_]
+    return made[0].unionByName(made[1]).groupBy("chunker").agg(F.count("*").alias("chunks"), F.sum("size").alias("characters"))
+
+
+def _c7():
+    from ragbench.functions.text import words_sql
+    from ragbench.plans.retrieval import _FIXED
+
+    return f"""WITH {_FIXED}, t AS (SELECT doc_id AS doc, {words_sql('text')} AS t FROM documents WHERE text IS NOT NULL), x2 AS (SELECT doc, t, unnest(range(0, greatest(len(t) - 20, 1), 236)) AS pos FROM t WHERE len(t) > 0)
+SELECT 'fixed' AS chunker, count(*) AS chunks, sum(length(text))::BIGINT AS characters FROM ch UNION ALL SELECT 'token', count(*), sum(length(array_to_string(t[pos + 1:pos + 256], ' ')))::BIGINT FROM x2"""
+
+
+add("c7_named_chunkers", by_name, _c7())

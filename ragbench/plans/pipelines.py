@@ -13,6 +13,7 @@ from ragbench.operators import techniques as te
 from ragbench.plans import frames as f
 from ragbench.plans.ranking import r6, scores
 from ragbench.sources import tables as st
+from ragbench.sources.shared import shared_place
 from ragbench.streaming import jobs
 
 QUERIES, SQL = {}, {}
@@ -88,9 +89,8 @@ SELECT key, CASE WHEN e THEN 0 ELSE (SELECT count(*) FROM ln WHERE chunk_id = id
 
 
 def named(s, d):
-    """Names from the first words of documents."""
-    w = F.regexp_extract("text", r"^(\S+ \S+ \S+)", 1)
-    return f.docs(s, d).where("text is not null").select(w.alias("name")).where("length(name) >= 8").select(name_key(F.col("name")).alias("key"), "name").groupBy("key").agg(F.min("name").alias("name"))
+    """Names: the whole short sentences of all documents."""
+    return f.short_sentences(s, d).select(name_key(F.col("name")).alias("key"), "name").groupBy("key").agg(F.min("name").alias("name"))
 
 
 add("g8_synonyms", lambda s, d: gr.synonyms(named(s, d)))
@@ -335,23 +335,29 @@ add("s9_results_wide", lambda s, d: r6(st.results_wide(scores(s, d).groupBy("com
 
 
 def compared(s, d):
+    """Means are exact sums of decimals, so that a tie is rounded alike in whatever order rows come."""
     from ragbench.operators.comparison import compare, other_bases
     from ragbench.plans.analysis import BASE, placed
 
-    m = placed(s, d)
+    m = placed(s, d).withColumn("value", F.col("value").cast("decimal(20,12)"))
     return st.comparison_rows(compare(m, BASE + "@0"), other_bases(m, BASE + "@0"), m.where("base = 0").groupBy("combo").agg(F.avg("value").alias("mean")))
 
 
 def _s10():
     from ragbench.plans.analysis import _AT, BASE
 
-    six = lambda x: f"format('{{:.6f}}', round({x}, 6) + 0)"
-    types = ", ".join(f"CASE WHEN count(*) FILTER (question_type = '{t}') > 0 THEN {six(f"avg(diff) FILTER (question_type = '{t}')")} END AS diferenca_{t}" for t in st.QUESTION_TYPES)
+    def six(column, n, rows=""):
+        """The mean of a decimal column to six places, in whole numbers up to the last step."""
+        total = f"sum(({column} * 1000000000000)::HUGEINT){rows}"
+        return f"format('{{:.6f}}', sign({total}) * ((2 * abs({total}) + {n}{rows} * 1000000) // (2 * {n}{rows} * 1000000))::DOUBLE / 1000000 + 0)"
+
+    types = ", ".join(f"CASE WHEN count(*) FILTER (question_type = '{t}') > 0 THEN {six('diff', 'count(*)', f" FILTER (question_type = '{t}')")} END AS diferenca_{t}" for t in st.QUESTION_TYPES)
     none = ", ".join(f"NULL AS diferenca_{t}" for t in st.QUESTION_TYPES)
-    return f"""{_AT}, df AS (SELECT o.combo, b.question_type, o.value - b.value AS diff FROM ca o JOIN ca b ON b.combo = '{BASE}@0' AND o.combo <> b.combo AND o.base = b.base AND o.question = b.question),
-mn AS (SELECT combo, base, count(*) AS n, avg(value) AS m FROM ca GROUP BY ALL)
-SELECT df.combo, count(*) AS perguntas, {six('avg(diff)')} AS diferenca, {types}, 'pareado' AS pareamento, (SELECT {six('m')} FROM mn WHERE mn.combo = df.combo) AS media FROM df GROUP BY df.combo
-UNION ALL SELECT combo, n, NULL, {none}, 'outra Base', {six('m')} FROM mn WHERE base <> 0"""
+    return f"""{_AT}, cd AS (SELECT combo, base, question, question_type, value::DECIMAL(20,12) AS value FROM ca),
+df AS (SELECT o.combo, b.question_type, (o.value - b.value)::DECIMAL(20,12) AS diff FROM cd o JOIN cd b ON b.combo = '{BASE}@0' AND o.combo <> b.combo AND o.base = b.base AND o.question = b.question),
+mn AS (SELECT combo, base, count(*) AS n, {six('value', 'count(*)')} AS m FROM cd GROUP BY ALL)
+SELECT df.combo, count(*) AS perguntas, {six('diff', 'count(*)')} AS diferenca, {types}, 'pareado' AS pareamento, (SELECT m FROM mn WHERE mn.combo = df.combo) AS media FROM df GROUP BY df.combo
+UNION ALL SELECT combo, n, NULL, {none}, 'outra Base', m FROM mn WHERE base <> 0"""
 
 
 add("s10_comparison_export", compared, _s10())
@@ -404,4 +410,21 @@ def events(s, d):
 add("w1_stalls", lambda s, d: jobs.stalls_batch(events(s, d), 3600).select("experiment", "event_id"), "SELECT user_id AS experiment, event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) - ts AS gap FROM events) WHERE gap IS NULL OR gap >= INTERVAL 3600 SECOND")
 add("w1_stall_sessions", lambda s, d: jobs.stalls(events(s, d), "3600 seconds").select("experiment", "n").groupBy("experiment").agg(F.count("*").alias("sessions"), F.sum("n").alias("events")),
     "SELECT user_id AS experiment, count(*) FILTER (gap IS NULL OR gap >= INTERVAL 3600 SECOND) AS sessions, count(*)::BIGINT AS events FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) - ts AS gap FROM events) GROUP BY 1")
+def alerts(s, d):
+    """The stall job over the events' table, drained once: an event after which its experiment was silent for an hour, as far as the stream has moved."""
+    place = shared_place(s, "stalls")
+    stream = s.readStream.schema(f.table(s, d, "events").schema).parquet(f"{d.rstrip('/')}/events.parque[t]")
+    found = jobs.stall_alerts(stream.select(F.col("user_id").alias("experiment"), "event_id", F.col("ts").cast("timestamp").alias("ts")), 3600)
+    before = s.conf.get(jobs.ROCKSDB[0])
+    s.conf.set(*jobs.ROCKSDB)
+    try:
+        query = found.writeStream.format("parquet").option("path", f"{place}/alerts").option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    finally:
+        s.conf.set(jobs.ROCKSDB[0], before)
+    query.awaitTermination()
+    return s.read.schema(found.schema).parquet(f"{place}/alerts").select("experiment", "event_id")
+
+
+add("w1_stall_alerts", alerts, """WITH e AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) - ts AS gap FROM events)
+SELECT user_id AS experiment, event_id FROM e WHERE (gap IS NULL OR gap >= INTERVAL 3600 SECOND) AND ts <= (SELECT max(ts) FROM events) - INTERVAL 7200 SECOND""")
 add("w3_progress_counts", lambda s, d: jobs.progress_counts(events(s, d), "1 day").select("experiment", F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "failed"), "SELECT user_id AS experiment, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY ALL")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ragbench.operators import ranking as op
 from ragbench.plans import frames as f
+from ragbench.sources.shared import written
 
 QUERIES, SQL = {}, {}
 _R = f"WITH {f.RESULT_SQL}, {f.LONG_SQL}, m AS (SELECT result_id, combo, question, question_type, avg(value) AS media FROM s GROUP BY ALL)"
@@ -86,6 +87,16 @@ add(
 b AS (SELECT *, max(quality) OVER (PARTITION BY cost) AS best, max(quality) OVER (ORDER BY cost RANGE BETWEEN UNBOUNDED PRECEDING AND 0.001 PRECEDING) AS lower FROM p)
 SELECT o_orderkey, cost, quality FROM b WHERE quality = best AND (lower IS NULL OR quality > lower)""",
 )
+def sketched(s, d):
+    """Quartiles of each combination from sketches by combination and month; how far each is from its rank, in thousandths, must be within the bound."""
+    rows = f.results(s, d).where("latency_ms is not null")
+    parts = written(op.quantile_sketches(rows.withColumn("month", F.date_trunc("month", "ts")), ["combo", "month"], "latency_ms", 400), "sketches")
+    q = op.sketched_quantiles(parts, ["combo"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    below = rows.join(q, "combo").groupBy("combo", "n").agg(*(F.avg((F.col("latency_ms") <= F.col(c)).cast("double")).alias(c) for c in ("q1", "median", "q3")))
+    return below.select("combo", "n", *((F.abs(F.col(c) - at) < 0.03).alias(f"{c}_close") for c, at in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+
+
+add("a12_sketched_quartiles", sketched, f"WITH {f.RESULT_SQL} SELECT combo, count(latency_ms) AS n, true AS q1_close, true AS median_close, true AS q3_close FROM r GROUP BY combo")
 add("a12_quartiles", lambda s, d: r6(op.quartiles(f.results(s, d), "combo", "latency_ms"), "q1", "median", "q3"), f"WITH {f.RESULT_SQL} SELECT combo, round(quantile_cont(latency_ms, 0.25), 6) AS q1, round(quantile_cont(latency_ms, 0.5), 6) AS median, round(quantile_cont(latency_ms, 0.75), 6) AS q3 FROM r GROUP BY combo")
 add(
     "a13_question_matrix", lambda s, d: r6(op.question_matrix(f.results(s, d), "chrf"), "value", "difficulty"),

@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STALL_SECONDS = 600
+#: The setting of the state store that ``stall_alerts`` needs, and its value.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def progress_counts(events: DataFrame, window: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
@@ -31,6 +34,56 @@ def stalls_batch(events: DataFrame, seconds: int = STALL_SECONDS) -> DataFrame:
     return events.withColumn("gap", gap).where(F.col("gap").isNull() | (F.col("gap") >= seconds)).select("experiment", "event_id", "ts")
 
 
+class _Silence(StatefulProcessor):
+    """Events that something may still follow in time. Each has a timer; what no other event followed is reported once."""
+
+    def __init__(self, limit_ms: int):
+        self.limit_ms = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "us long, event_id long", "due long")
+        self.decided = handle.getValueState("decided", "upto long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for at, event in zip(frame["us"], frame["event_id"], strict=True):
+                due = (int(at) + 999) // 1000 + self.limit_ms
+                if not self.open.containsKey((int(at), int(event))):
+                    self.open.updateValue((int(at), int(event)), (due,))
+                    self.handle.registerTimer(due)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark is past the timer: whatever may follow an event that is due by then has come. All due events are settled at once."""
+        now, limit_us = timerValues.getCurrentWatermarkInMs(), self.limit_ms * 1000
+        if self.decided.exists() and self.decided.get()[0] >= expiredTimerInfo.getExpiryTimeInMs():
+            return
+        held = sorted(self.open.iterator())
+        out = []
+        for k, ((at, event), (due,)) in enumerate(held):
+            if due > now:
+                break
+            if k + 1 == len(held) or held[k + 1][0][0] - at >= limit_us:
+                out.append((key[0], event, pd.Timestamp(at, unit="us")))
+            self.open.removeKey((at, event))
+        self.decided.update((now,))
+        yield pd.DataFrame(out, columns=["experiment", "event_id", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+def stall_alerts(events: DataFrame, seconds: int = STALL_SECONDS, delay: str = "1 hour") -> DataFrame:
+    """(experiment, event_id, ts) of a stream: an event that no other of its experiment follows within ``seconds``, once the watermark has passed that time.
+
+    The same events as ``stalls_batch``, but for those for which the stream hasn't moved on yet. Events may come late by ``delay``; a
+    repeated event counts once. State is what may still be followed, in the RocksDB state store (``ROCKSDB``), which the session must name.
+    """
+    timed = events.withWatermark("ts", delay).select("experiment", "event_id", "ts", F.unix_micros("ts").alias("us"))
+    return timed.groupBy("experiment").transformWithStateInPandas(_Silence(seconds * 1000), "experiment long, event_id long, ts timestamp", "Append", "EventTime")
+
+
 def failure_streaks(events: DataFrame, least: int = 3) -> DataFrame:
     """An alert when an experiment's failures in a row reach ``least``; a success resets the count. State: one number."""
 
