@@ -18,8 +18,9 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 from hashlib import sha256
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from ragbench.llm.common import Columns, stored
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block (a longer document is a block of its own), and links (before repeats go) that are expanded at once.
-BLOCK_BYTES, PART_LINKS = 2 << 20, 1 << 18
+BLOCK_BYTES, PART_LINKS = 3 << 19, 1 << 18
 #: Bytes given to the tokenizers at once, and the length from which a word goes alone.
 CHUNK, LONG = 20_000, 2_000
 # The published split pattern of A's kind of tokenizer, and B's sign for a space.
@@ -64,6 +65,7 @@ class Tokenizers:
         known = json.loads(a_file)
         special = {x["content"] for x in known["added_tokens"]}
         vocabulary = {bytes(letters[c] for c in token): i for token, i in known["model"]["vocab"].items() if token not in special}
+        del known
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = token
@@ -103,9 +105,16 @@ class Tokenizers:
         return (a, b) if self.a_size[a].sum() == len(data) else None
 
 
-@lru_cache(maxsize=2)
-def _loaded(files: Broadcast) -> Tokenizers:
-    return Tokenizers(*files.value)
+#: A worker's tokenizers, by the digest of their files: tasks after the first find them loaded.
+_HELD: dict[str, Tokenizers] = {}
+
+
+def _loaded(files: tuple[str, Broadcast]) -> Tokenizers:
+    digest, data = files
+    if digest not in _HELD:
+        _HELD.clear()
+        _HELD[digest] = Tokenizers(*data.value)
+    return _HELD[digest]
 
 
 class Words:
@@ -118,27 +127,26 @@ class Words:
         ends: tuple[list, list] = ([], [])
         start_of = np.cumsum(sizes) - sizes
 
-        def put(first: int, last: int) -> None:
+        def put(first: int, last: int) -> bool:
             found = tokenizers.encode(" ".join(words[first:last]))
-            if found is None and last - first > 1:
-                for k in range(first, last):
-                    put(k, k + 1)
-            elif found is None:
-                self.odd[first] = True
-            else:
-                for side, size in ((0, tokenizers.a_size), (1, tokenizers.b_size)):
-                    ids[side].append(found[side])
-                    ends[side].append(start_of[first] + np.cumsum(size[found[side]]))
+            for side, size in ((0, tokenizers.a_size), (1, tokenizers.b_size)) if found else ():
+                ids[side].append(found[side])
+                ends[side].append(start_of[first] + np.cumsum(size[found[side]]))
+            return found is not None
 
         # Words go to the tokenizers in runs of some bytes; those that are long or end in white space go alone.
         alone = (sizes > LONG) | np.array([w[-1].isspace() for w in words], dtype=bool)
         run = start_of // CHUNK
         cuts = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | alone[1:] | alone[:-1]))) if n else []
         for first, last in zip(cuts, [*cuts[1:], n]):
-            put(int(first), int(last))
+            if not put(int(first), int(last)):
+                for k in range(first, last):
+                    self.odd[k] = last - first == 1 or not put(k, k + 1)
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in ids)
+        ids = None
         size_a, size_b = tokenizers.a_size[a], tokenizers.b_size[b]
         end_a, end_b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in ends)
+        ends = None
         start_a, start_b = end_a - size_a, end_b - size_b
 
         # All tokens by start; a group ends where a start reaches the furthest end so far.
@@ -260,13 +268,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
         yield pa.Table.from_batches(held), texts
 
 
-def _files(spark, folder: str, a_file: str, b_file: str) -> Broadcast:
-    """Both vocabulary files, of a few megabytes, read where the driver is."""
-    read = [open(f"{folder}/{name}", "rb") for name in (a_file, b_file)]
-    data = tuple(f.read() for f in read)
-    for f in read:
-        f.close()
-    return spark.sparkContext.broadcast(data)
+def _files(spark, folder: str, a_file: str, b_file: str) -> tuple[str, Broadcast]:
+    """Both vocabulary files, of a few megabytes, read where the driver is, and their digest."""
+    data = tuple(Path(folder, name).read_bytes() for name in (a_file, b_file))
+    return sha256(b"".join(data)).hexdigest(), spark.sparkContext.broadcast(data)
 
 
 def token_groups(docs: DataFrame, text: str = "text", folder: str = FOLDER, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
@@ -300,7 +305,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return one.groupBy(F.col("pairs").alias("pair")).agg(F.sum("docs").alias("count"))
 
 
-def block_table(rows: DataFrame, files: Broadcast, block_bytes: int) -> DataFrame:
+def block_table(rows: DataFrame, files: tuple[str, Broadcast], block_bytes: int) -> DataFrame:
     """The rows (text last) by blocks, with their own figures, and one row for each block with its pairs and packed words."""
     kept = rows.schema.fields[:-1]
     schema = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(f.name, f.dataType) for f in kept), *T._parse_datatype_string(f"{OUT}, no int, pairs array<long>, docs array<long>, packed binary").fields])
