@@ -57,8 +57,8 @@ def embed_distinct(rows: DataFrame, text: str, known: DataFrame | None = None, e
     distinct = rows.select(F.col(text).alias("text")).where("text is not null").distinct()
     if known is None:
         return distinct.withColumn("vector", embed(F.col("text")))
-    new = distinct.join(known.select("text"), "text", "left_anti").withColumn("vector", embed(F.col("text")))
-    return distinct.join(known.select("text", "vector"), "text").unionByName(new)
+    new = distinct.hint("merge").join(known.select("text"), "text", "left_anti").withColumn("vector", embed(F.col("text")))
+    return distinct.hint("merge").join(known.select("text", "vector"), "text").unionByName(new)
 
 
 #: What models were trained to see before a document and before a query.

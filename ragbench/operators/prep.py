@@ -83,9 +83,9 @@ def repair_words(broken: DataFrame, vocab: DataFrame, mark: str = "�", fallbac
     """(word, fixed, known): a word with lost ligatures takes the most frequent candidate in the vocabulary, else the fallback."""
     options = F.array(*map(F.lit, ("ff", "fi", "fl", "ffi", "ffl", "ti", "tt")))
     c = broken.select("word").distinct().select("word", F.explode(options).alias("o")).select("word", F.replace("word", F.lit(mark), F.col("o")).alias("candidate"))
-    best = c.join(vocab, F.lower("candidate") == vocab["word"]).groupBy(c["word"].alias("w")).agg(F.max(F.struct("n", "candidate"))["candidate"].alias("best"))
+    best = c.hint("merge").join(vocab, F.lower("candidate") == vocab["word"]).groupBy(c["word"].alias("w")).agg(F.max(F.struct("n", "candidate"))["candidate"].alias("best"))
     words = broken.select("word").distinct()
-    return words.join(best, words["word"] == best["w"], "left").select("word", F.coalesce("best", F.replace("word", F.lit(mark), F.lit(fallback))).alias("fixed"), F.col("best").isNotNull().alias("known"))
+    return words.hint("merge").join(best, words["word"] == best["w"], "left").select("word", F.coalesce("best", F.replace("word", F.lit(mark), F.lit(fallback))).alias("fixed"), F.col("best").isNotNull().alias("known"))
 
 
 def pack(paragraphs: DataFrame, limit: int = 800) -> DataFrame:

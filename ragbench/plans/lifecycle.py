@@ -117,12 +117,12 @@ add("t3_closed_book", lambda s, d: techniques.prompts(contexts(s, d).where("rank
 def hypotheses(s, d):
     """The second message of a conversation stands for the reply that a question's hypothesis prompt gets."""
     rows = contexts(s, d).where("rank = 2").select("qid", "text")
-    return rows.join(embed_distinct(rows, "text"), "text").select("qid", "vector")
+    return rows.join(embed_distinct(rows, "text").hint("merge"), "text").select("qid", "vector")
 
 
 def message_vectors(s, d):
     c = f.table(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "text")
-    return c.join(embed_distinct(c, "text"), "text").select("chunk_id", "vector")
+    return c.join(embed_distinct(c, "text").hint("merge"), "text").select("chunk_id", "vector")
 
 
 _W = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')"

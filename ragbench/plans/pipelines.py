@@ -203,7 +203,7 @@ def two_rankings(s, d):
     """Two searches, with texts that neighbouring chunks share."""
     text = f.vector_chunks(s, d).select("chunk_id", F.concat(F.lit("t"), F.floor(F.col("chunk_id") / 4)).alias("text"))
     near = (re_.top_k(f.vector_questions(s, d), f.vector_chunks(s, d), 5), re_.top_k(f.vector_questions(s, d), f.vector_chunks(s, d).where("doc % 2 = 0"), 5))
-    return [x.join(text, "chunk_id") for x in near]
+    return [x.hint("merge").join(text, "chunk_id") for x in near]
 
 
 add("t11_united", lambda s, d: te.united(*two_rankings(s, d)).select("qid", "rank", "text", "chunk_id"), f"""WITH {f.CHUNK_SQL}, q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), sc AS (SELECT qid, chunk_id, doc, round(list_cosine_similarity(qv, vector), 9) AS score FROM q, c),

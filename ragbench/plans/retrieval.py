@@ -104,7 +104,7 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY variant, rank)::INT AS
 query("r4_parent_document", f"""{_TOP} SELECT qid, rank, h.doc, h.chunk_index, round(score, 6) AS score, string_agg('v' || n.chunk_id, ' ' ORDER BY n.chunk_index) AS text
 FROM (SELECT * FROM tk WHERE rank <= 3) h JOIN c n ON n.doc = h.doc AND n.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1 GROUP BY ALL""")(
     lambda s, d: retrieval.parent_document(
-        retrieval.top_k(f.vector_questions(s, d), f.vector_chunks(s, d), 3).join(f.vector_chunks(s, d).select("chunk_id", "doc", "chunk_index"), "chunk_id"), f.vector_chunks(s, d)
+        retrieval.top_k(f.vector_questions(s, d), f.vector_chunks(s, d), 3).hint("merge").join(f.vector_chunks(s, d).select("chunk_id", "doc", "chunk_index"), "chunk_id"), f.vector_chunks(s, d)
     ).withColumn("score", F.round("score", 6))
 )
 
@@ -130,7 +130,7 @@ def _contexts(s, d):
     near = retrieval.shared_shingles(q, c)
     rank = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("shared"), "right_id"))
     near = near.withColumn("rank", rank).where("rank <= 5")
-    return near.join(c, near["right_id"] == c["id"]).select(F.col("left_id").alias("qid"), "rank", (F.col("right_id.doc") * 1000 + F.col("right_id.chunk_index")).alias("chunk_id"), "text")
+    return near.hint("merge").join(c, near["right_id"] == c["id"]).select(F.col("left_id").alias("qid"), "rank", (F.col("right_id.doc") * 1000 + F.col("right_id.chunk_index")).alias("chunk_id"), "text")
 
 
 def _runs(source: str, key: str, name: str) -> str:
@@ -163,7 +163,7 @@ def gold(s, d):
 
 query("e7_e10_gold_metrics", f"WITH {_CONTEXT} {_GOLD}")(gold)
 query("p11_index_sizes", f"WITH {_FIXED} SELECT lang AS base, count(*) AS chunks, round(avg(length(ch.text)), 6) AS mean_chars, max(length(ch.text))::INT AS longest FROM ch JOIN documents ON doc_id = doc GROUP BY lang")(
-    lambda s, d: metrics.index_sizes(chunking.fixed(f.docs(s, d)).join(f.docs(s, d).select("doc", "base"), "doc"), ["base"]).withColumn("mean_chars", F.round("mean_chars", 6))
+    lambda s, d: metrics.index_sizes(chunking.fixed(f.docs(s, d)).hint("merge").join(f.docs(s, d).select("doc", "base"), "doc"), ["base"]).withColumn("mean_chars", F.round("mean_chars", 6))
 )
 query("p11_evidence_coverage", f"WITH {_CONTEXT} SELECT qid, hop FROM ma GROUP BY ALL HAVING NOT bool_or(found)")(
     lambda s, d: metrics.evidence_matches(_evidence(s, d), _contexts(s, d), fuzzy=False).groupBy("qid", "hop").agg(F.bool_or("found").alias("f")).where("not f").drop("f")
