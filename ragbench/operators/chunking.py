@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,6 +37,50 @@ def tokens(docs: DataFrame, size: int = 256, overlap: int = 20, split: Callable
     return _indexed(cut.select("doc", F.explode(starts).alias("at"), "t").select("doc", "at", F.array_join(F.slice("t", F.col("at") + 1, size), " ").alias("text")), "at")
 
 
+#: Fixed value: the published split pattern of vocabularies given as ranks.
+RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_ENCODINGS: dict[str, object] = {}
+
+
+def _encoding(digest: str, ranks: bytes):
+    """A worker's encoding of these ranks, loaded once."""
+    if digest not in _ENCODINGS:
+        import tiktoken
+
+        pairs = (line.split() for line in ranks.splitlines() if line)
+        _ENCODINGS[digest] = tiktoken.Encoding("ranks", pat_str=RANKS_PATTERN, mergeable_ranks={base64.b64decode(token): int(rank) for token, rank in pairs}, special_tokens={})
+    return _ENCODINGS[digest]
+
+
+def token_windows(ids: list[int], size: int, overlap: int) -> list[list[int]]:
+    """Windows that start every size - overlap tokens; the last one is the first that reaches the end."""
+    out = []
+    for at in range(0, len(ids), size - overlap):
+        out.append(ids[at : at + size])
+        if at + size >= len(ids):
+            break
+    return out
+
+
+def subword_tokens(docs: DataFrame, ranks_file: str, size: int = 256, overlap: int = 20) -> DataFrame:
+    """Windows of ``size`` byte-pair tokens, decoded, from a vocabulary given as ranks (base64 token and rank a line, read where the driver is).
+
+    A window that begins or ends within a character has a replacement mark there, as half a character has no text. Texts
+    are encoded whole; null and empty ones have no windows. The columns are those of every chunker.
+    """
+    ranks = Path(ranks_file).read_bytes()
+    digest, shared = hashlib.sha256(ranks).hexdigest(), docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoding = _encoding(digest, shared.value)
+        for batch in batches:
+            for doc, text in zip(batch["doc"], batch["text"], strict=True):
+                pieces = [encoding.decode(w, errors="replace") for w in token_windows(encoding.encode_ordinary(text), size, overlap)]
+                yield _frame([(doc, i, t) for i, t in enumerate(p for p in pieces if p.strip())], ["doc", "chunk_index", "text"])
+
+    return docs.where("text is not null AND text <> ''").select("doc", "text").mapInPandas(run, SCHEMA)
+
+
 def _recurse(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
     """Pieces of at most ``size`` characters, cut at the first separator that the text has, else at the next finer one."""
     if len(text) <= size:

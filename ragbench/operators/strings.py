@@ -96,12 +96,12 @@ def _signed(text: Column, least: float, longer: bool) -> Column:
 
 
 def _rare_pairs(rows: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """(id, gram): of each string's distinct character pairs the rarest, so many that one of a similar string's is left among them."""
+    """(id, gram, size): of each string's distinct character pairs the rarest, so many that one of a similar string's is left among them."""
     grams = _grams(rows).join(frequency.hint("shuffle_merge"), "gram", "left")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "gram"))
     # The two strings together hold (1 - least / 100)(m + n) operations, and n <= m (200 - least) / least.
     keep = F.floor((F.lit(100.0) - least) / 100 * (1 + (200 - least) / least) * F.col("size") * 2) + 1
-    return grams.withColumn("n", rank).where(F.col("n") <= keep).select("id", "gram")
+    return grams.withColumn("n", rank).where(F.col("n") <= keep).select("id", "gram", "size")
 
 
 def _grams(rows: DataFrame) -> DataFrame:
@@ -122,11 +122,14 @@ def candidates(left: DataFrame, right: DataFrame | None, least: float) -> DataFr
         return a.select(F.col("id").alias("left_id"), on).hint("shuffle_merge").join(b.select(F.col("id").alias("right_id"), on).hint("shuffle_merge"), on).select("left_id", "right_id")
 
     found = met(own[0], wide[-1], "signature") if right is None else met(own[0], wide[1], "signature").unionByName(met(wide[0], own[1], "signature"))
-    # A string beyond SEGMENTED, and those that may be similar to one.
-    long = [t.where(F.length("text") * (200 - least) > SEGMENTED * least) for t in tables]
-    frequency = written(_grams(long[0] if right is None else long[0].unionByName(long[1])).groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "grams")
-    rare = [_rare_pairs(t, frequency, least) for t in long]
-    found = found.unionByName(met(rare[0], rare[-1], "gram"))
+    # A string beyond SEGMENTED with those that may be similar to it.
+    near = [t.where(F.length("text") * (200 - least) > SEGMENTED * least) for t in tables]
+    frequency = written(_grams(near[0] if right is None else near[0].unionByName(near[1])).groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "grams")
+    rare = [_rare_pairs(t, frequency, least) for t in near]
+    beyond = [r.where(F.col("size") > SEGMENTED) for r in rare]
+    found = found.unionByName(met(beyond[0], rare[-1], "gram"))
+    if right is not None:
+        found = found.unionByName(met(rare[0], beyond[1], "gram"))
     if right is None:
         found = found.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")).where("left_id < right_id")
     return found.distinct()

@@ -13,6 +13,7 @@ from ragbench.plans import named
 from ragbench.plans.annotation import _PAIR, pair_notes
 from ragbench.plans.pipelines import _CTX, _PAGE, contexts, kept_lines
 from ragbench.plans.ranking import r6
+from ragbench.sources import index_store
 from ragbench.sources import tables as st
 from ragbench.sources.shared import shared_place, written
 from ragbench.streaming import jobs
@@ -260,3 +261,19 @@ SELECT 'fixed' AS chunker, count(*) AS chunks, sum(length(text))::BIGINT AS char
 
 
 add("c7_named_chunkers", by_name, _c7())
+
+
+def indexed(s, d):
+    """Documents appended to a store in two commits, one base deleted between them: ids by index, as they stand."""
+    rows = f.table(s, d, "documents").select(F.col("source").alias("base"), F.lit("whole").alias("chunking"), F.col("lang").alias("embedding"), F.col("doc_id").alias("doc"), F.lit(0).alias("chunk_index"))
+    place, base = shared_place(s, "store"), "src1"
+    index_store.append(rows.where("doc % 3 > 0"), place)
+    index_store.delete_base(s, place, base)
+    index_store.append(rows.where("doc % 3 = 0"), place)
+    return index_store.chunks(s, place).select("base", "embedding", "doc", "chunk_id")
+
+
+add("s3_s7_index_store", indexed, """WITH a AS (SELECT source, lang, doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS id FROM documents WHERE doc_id % 3 > 0),
+h AS (SELECT source, lang, count(*) AS n FROM a WHERE source IS DISTINCT FROM 'src1' GROUP BY ALL),
+b AS (SELECT d.source, d.lang, doc_id, row_number() OVER (PARTITION BY d.source, d.lang ORDER BY doc_id) - 1 + coalesce(max(n) OVER (PARTITION BY d.source, d.lang), 0) AS id FROM documents d LEFT JOIN h ON h.source IS NOT DISTINCT FROM d.source AND h.lang IS NOT DISTINCT FROM d.lang WHERE doc_id % 3 = 0)
+SELECT source AS base, lang AS embedding, doc_id AS doc, id AS chunk_id FROM a WHERE source IS DISTINCT FROM 'src1' UNION ALL SELECT source, lang, doc_id, id FROM b""")

@@ -26,6 +26,9 @@ _FIXED = """x AS (SELECT doc_id AS doc, text, unnest(range(0, greatest(length(te
 y AS (SELECT doc, pos, trim(substr(text, pos + 1, 1000)) AS text FROM x),
 ch AS (SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY pos) - 1)::INT AS chunk_index, text FROM y WHERE text <> '')"""
 query("c1_fixed_chunks", f"WITH {_FIXED} SELECT * FROM ch")(lambda s, d: chunking.fixed(f.docs(s, d)))
+#: The folder of public vocabularies.
+VOCABULARIES = "/opt/tokenizers"
+query("c3_subword_chunks")(lambda s, d: chunking.subword_tokens(f.docs(s, d), f"{VOCABULARIES}/byte_bpe_50k.tiktoken"))
 query("c2_recursive_chunks")(lambda s, d: chunking.recursive(f.docs(s, d)))
 query("c3_token_chunks", f"""WITH t AS (SELECT doc_id AS doc, {words_sql('text')} AS t FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc, t, unnest(range(0, greatest(len(t) - 20, 1), 236)) AS pos FROM t WHERE len(t) > 0)
