@@ -200,8 +200,8 @@ ORACLE = """
 WITH t AS (SELECT conv_id AS c, item, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, item) AS r FROM (
     SELECT conv_id, turn, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS item, strlen(coalesce(text, '')) AS size
     FROM conversations WHERE conv_id IS NOT NULL)),
-own AS (SELECT c, count(*) AS n, c - c % 5 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), x -> ascii(x)::BIGINT)),
-    (crc, byte) -> list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], (a, z) -> xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 9 AS h FROM t GROUP BY c),
+own AS (SELECT c, count(*) AS n, c - c % 5 AS b, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 9 AS h FROM t GROUP BY c),
 v AS (SELECT own.c, own.n, own.b, own.h, least(own.h, coalesce(o.n, 0)) AS k FROM own LEFT JOIN own AS o ON o.c = own.b),
 w AS (SELECT v.c, t.r AS d, item, size FROM v JOIN t ON t.c = v.b AND t.r <= v.h UNION ALL SELECT v.c, t.r - h + k, item, size FROM v JOIN t ON t.c = v.c AND t.r > h),
 m AS (SELECT c, d, size, sha256(string_agg(item, '') OVER (PARTITION BY c ORDER BY d)) AS key, d = max(d) OVER (PARTITION BY c) AS ends FROM w

@@ -86,7 +86,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     urls = stored(rows.groupBy("host", "path").count().select("host", "path", host_key(F.col("host")).alias("key")), "urls")
     below = stored(stacks(urls, ["path"], named.select(F.col("h").alias("key")).distinct(), "hosts").where(F.size("stack") > 0), "below")
     points = below.select("host", "path", F.explode("stack").alias("h")).select("host", "path", path_key(F.col("h"), F.col("path")).alias("key"))
-    fitting = stacks(points, ["host"], named.select("key"), "paths").where(F.size("stack") > 0).select("host", "path", F.element_at("stack", -1).alias("best"))
+    fitting = stacks(points, ["host"], named.select("key"), "paths").where(F.size("stack") > 0).select("host", "path", F.try_element_at("stack", F.lit(-1)).alias("best"))
     found = stored(fitting, "fitting")
     of = named.select(F.col("key").alias("best"), F.concat("host", "path").alias("rule"), "verdict", F.struct((F.length("host") + F.length("path")).alias("all"), F.length("host").alias("host")).alias("length"))
     judged = found.join(of.hint("shuffle_merge"), "best").groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), "length").alias("won"))
