@@ -37,11 +37,12 @@ def to_do(grid: DataFrame, questions: DataFrame, results: DataFrame) -> DataFram
     return wanted.select("combo", "question").join(valid.hint("merge"), ["combo", "question"], "left_anti")
 
 
-def missing_evidence(rags: DataFrame, questions: DataFrame, needing: tuple[str, ...] = ("oracle",)) -> DataFrame:
-    """(rag, error) for techniques that answer from reference evidence, when no question (evidence array) has any."""
-    some = questions.agg(F.coalesce(F.bool_or(F.size("evidence") > 0), F.lit(False)).alias("some"))  # one row
-    lacking = rags.where(F.col("rag").isin(*needing)).select("rag").distinct().crossJoin(some).where("not some")
-    return lacking.select("rag", F.lit("needs reference evidence").alias("error"))
+def missing_evidence(rags: DataFrame, questions: DataFrame, needing: tuple[str, ...] = ("oracle",), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, rag, error) for techniques that answer from reference evidence, when no question (evidence array) of the same ``by`` has any."""
+    wanted = rags.where(F.col("rag").isin(*needing)).select(*by, "rag").distinct()
+    some = questions.groupBy(*by).agg(F.coalesce(F.bool_or(F.size("evidence") > 0), F.lit(False)).alias("some"))
+    lacking = wanted.join(some, list(by), "left") if by else wanted.crossJoin(some)  # without ``by`` one row
+    return lacking.where("not coalesce(some, false)").select(*by, "rag", F.lit("needs reference evidence").alias("error"))
 
 
 def missing_indexes(wanted: DataFrame, existing: DataFrame) -> DataFrame:

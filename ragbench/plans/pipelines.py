@@ -263,9 +263,9 @@ rp AS (SELECT doc, i, 0 AS block, length(text) AS cur FROM pi WHERE i = 1 UNION
 SELECT doc, count(*) AS blocks, max(n)::INT AS longest FROM (SELECT doc, block, max(cur) AS n FROM rp GROUP BY ALL) WHERE n > 0 GROUP BY doc""")
 add("p9_sections", lambda s, d: prep.sections(paragraphs(s, d), r"^\p{Lu}\S*$", r"^(The|La|Le|Der|Die)([^\p{L}\p{N}]|$)").select("doc", "article_no", "heading", F.length("text").alias("chars")), f"""WITH {_PARA}, hd AS (SELECT *, last_value(CASE WHEN regexp_matches(text, '^\\p{{Lu}}\\S*$') THEN text END IGNORE NULLS) OVER w AS heading, sum(regexp_matches(text, '^(The|La|Le|Der|Die)([^\\p{{L}}\\p{{N}}]|$)')::INT) OVER w AS article_no FROM pa WINDOW w AS (PARTITION BY doc ORDER BY para ROWS UNBOUNDED PRECEDING))
 SELECT doc, article_no::BIGINT AS article_no, arg_min_null(heading, para) AS heading, (sum(length(text)) + count(*) - 1)::INT AS chars FROM hd WHERE NOT regexp_matches(text, '^\\p{{Lu}}\\S*$') AND article_no > 0 GROUP BY doc, article_no""")
-add("p12_multiple_matches", lambda s, d: re_.shared_shingles(f.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), f.docs(s, d).select(F.col("doc").alias("id"), "text"), 12).groupBy(F.col("left_id").alias("qid")).agg(F.count("*").alias("docs")).where("docs > 2"), f"""WITH r AS (SELECT DISTINCT item_id AS qid, array_to_string(t[i:i + 11], ' ') AS run FROM (SELECT item_id, t, unnest(range(1, greatest(len(t) - 11, 1) + 1)) AS i FROM (SELECT item_id, string_split({normal_words_sql('text')}, ' ') AS t FROM benchmark))),
+add("p12_multiple_matches", lambda s, d: re_.shared_shingles(f.table(s, d, "benchmark").select(F.col("item_id").alias("id"), "text"), f.docs(s, d).select(F.col("doc").alias("id"), "text"), 12).groupBy(F.col("left_id").alias("qid")).agg(F.count("*").alias("docs")).where("docs > 1"), f"""WITH r AS (SELECT DISTINCT item_id AS qid, array_to_string(t[i:i + 11], ' ') AS run FROM (SELECT item_id, t, unnest(range(1, greatest(len(t) - 11, 1) + 1)) AS i FROM (SELECT item_id, string_split({normal_words_sql('text')}, ' ') AS t FROM benchmark))),
 g AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 11], ' ') AS run FROM (SELECT doc_id, t, unnest(range(1, len(t) - 11 + 1)) AS i FROM (SELECT doc_id, string_split({normal_words_sql('text')}, ' ') AS t FROM documents)))
-SELECT qid, count(DISTINCT doc_id) AS docs FROM r JOIN g USING (run) GROUP BY qid HAVING count(DISTINCT doc_id) > 2""")
+SELECT qid, count(DISTINCT doc_id) AS docs FROM r JOIN g USING (run) GROUP BY qid HAVING count(DISTINCT doc_id) > 1""")
 
 
 def evidence_blocks(s, d):

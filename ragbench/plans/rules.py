@@ -99,7 +99,15 @@ def conflicts(s, d):
 
 
 add("x2_list_conflicts", conflicts, "SELECT DISTINCT l_suppkey AS config, 'rag' AS dim FROM lineitem WHERE l_suppkey % 3 = 2")
-add("x3_missing_evidence", lambda s, d: grid.missing_evidence(f.results(s, d).select("rag"), f.table(s, d, "benchmark").select(F.array().cast("array<string>").alias("evidence"))), "SELECT 'oracle' AS rag, 'needs reference evidence' AS error")
+def without_evidence(s, d):
+    """Experiments that ask for evidence, of whose questions only those of one type have any."""
+    r = f.results(s, d)
+    asked = r.select("experiment", F.when(F.col("question_type") == "ponte", F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("evidence"))
+    return grid.missing_evidence(r.select("experiment", "rag"), asked, by=("experiment",))
+
+
+add("x3_missing_evidence", without_evidence,
+    f"WITH {f.RESULT_SQL} SELECT DISTINCT experiment, rag, 'needs reference evidence' AS error FROM r WHERE rag = 'oracle' AND experiment NOT IN (SELECT experiment FROM r WHERE question_type = 'ponte')")
 
 
 def log(s, d):
