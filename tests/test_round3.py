@@ -283,3 +283,16 @@ def test_a_broken_build_leaves_no_graph_and_the_next_goes_on(spark, tmp_path):
     with pytest.raises(graph_build.EveryChunkFailed):
         graph_build.ensure_graph(chunks.where("chunk_id = 1"), place, "other", lambda x: extract(x, fails=(1,)))
     assert graph_build.current_graph(spark, graph_build.graph_place(chunks.where("chunk_id = 1"), place, "other", "1", "1")) is None
+
+
+def test_string_join_by_blocks_shuffles_no_signatures(spark, monkeypatch):
+    """Two tables, in small blocks, and cells where looking at all characters is less work than signatures."""
+    monkeypatch.setattr(strings, "_signed", None)
+    monkeypatch.setattr(strings, "BLOCK", 12)
+    rng = random.Random(8)
+    names = ["".join(rng.choice("ab ") for _ in range(rng.randrange(6, 24))) for _ in range(60)]
+    names = sorted({*names, *(n[1:] + "c" for n in names)})
+    one, two = (spark.createDataFrame([(k, n) for k, n in enumerate(names) if k % 3 < 2 or side], "id int, text string") for side in (0, 1))
+    want = {(k, j) for k, a in enumerate(names) for j, b in enumerate(names) if indel(a, b) >= 85}
+    assert {(r[0], r[1]) for r in strings.similar_strings(one, two).collect()} == {p for p in want if p[0] % 3 < 2}
+    assert {(r[0], r[1]) for r in strings.similar_strings(two).collect()} == {p for p in want if p[0] < p[1]} and len(want) > len(names)
