@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ragbench.functions.text import fold
 from ragbench.operators.strings import similar_strings
@@ -89,18 +93,33 @@ def repair_words(broken: DataFrame, vocab: DataFrame, mark: str = "�", fallbac
 
 
 def pack(paragraphs: DataFrame, limit: int = 800) -> DataFrame:
-    """(doc, block, text): a document's paragraphs in order, packed greedily into blocks of at most ``limit`` characters."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("para", "text"))), lambda x: x["text"])
-    p = paragraphs.groupBy("doc").agg(lines.alias("lines"))
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-
-    def step(acc, x):
-        longer = F.when(acc["cur"] == "", x).otherwise(F.concat(acc["cur"], F.lit("\n"), x))
-        fits = (F.length(longer) <= limit) | (acc["cur"] == "")
-        return F.struct(F.when(fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))).alias("out"), F.when(fits, longer).otherwise(x).alias("cur"))
-
-    s = p.select("doc", F.aggregate("lines", empty, step).alias("s"))
-    return s.select("doc", F.posexplode(F.concat("s.out", F.array("s.cur"))).alias("block", "text")).where("text <> ''")
+    """(doc, block, text): a document's paragraphs in order, packed greedily into blocks of at most ``limit`` characters.
+
+    A task runs through its documents' paragraphs in order and holds one block.
+    """
+    in_order = paragraphs.where("text is not null").select("doc", "para", "text").repartition("doc").sortWithinPartitions("doc", "para", "text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, block, held, size = None, 0, [], 0
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch["doc"], batch["text"]):
+                if doc != last:
+                    out.append((last, block, held))
+                    last, block, held, size = doc, 0, [], 0
+                elif size and size + 1 + len(text) > limit:
+                    out.append((last, block, held))
+                    block, held, size = block + 1, [], 0
+                size += len(text) + (1 if size else 0)
+                held = [*held, text] if size > len(text) else [text]
+            yield framed(out)
+        yield framed([(last, block, held)])
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        rows = [(doc, block, text) for doc, block, held in rows if (text := "\n".join(held))]
+        return pd.DataFrame(rows, columns=["doc", "block", "text"])
+
+    return in_order.select("doc", "text").mapInPandas(run, T.StructType([T.StructField("doc", paragraphs.schema["doc"].dataType), T.StructField("block", T.IntegerType()), T.StructField("text", T.StringType())]))
 
 
 def sections(paragraphs: DataFrame, heading: str, article: str) -> DataFrame:
