@@ -296,3 +296,38 @@ def test_string_join_by_blocks_shuffles_no_signatures(spark, monkeypatch):
     want = {(k, j) for k, a in enumerate(names) for j, b in enumerate(names) if indel(a, b) >= 85}
     assert {(r[0], r[1]) for r in strings.similar_strings(one, two).collect()} == {p for p in want if p[0] % 3 < 2}
     assert {(r[0], r[1]) for r in strings.similar_strings(two).collect()} == {p for p in want if p[0] < p[1]} and len(want) > len(names)
+
+
+def test_packing_runs_through_a_long_document(spark):
+    rng = random.Random(5)
+    rows = [(d, k, "x" * rng.choice([0, 3, 40, 200, 900])) for d in ("a", "b") for k in range(400)] + [("only", 0, ""), ("long", 0, "y" * 2000)]
+    want = set()
+    for d in ("a", "b", "long"):
+        blocks, cur = [], ""
+        for _, _, x in sorted(r for r in rows if r[0] == d):
+            longer = f"{cur}\n{x}" if cur else x
+            if not cur or len(longer) <= 800:
+                cur = longer
+            else:
+                blocks, cur = [*blocks, cur], x
+        want |= {(d, k, t) for k, t in enumerate([*blocks, cur]) if t}
+    assert {tuple(r) for r in prep.pack(spark.createDataFrame(rows, "doc string, para long, text string").repartition(3)).collect()} == want
+    many = spark.range(200_000).select(F.lit("book").alias("doc"), F.col("id").alias("para"), F.lit("w" * 99).alias("text"))
+    start = time.time()
+    assert prep.pack(many).count() == 25_000 and time.time() - start < 60
+
+
+def test_a_page_number_of_five_digits_is_none(spark):
+    """The contents list's SQL reads page numbers as the operator does: up to four digits."""
+    import duckdb
+
+    from ragbench.plans import lifecycle
+
+    lines = [("b", p, n, f"line {'x' * n}") for p in (9, 12345) for n in range(7)]
+    numbered = [(d, p, n, t if n % 3 == 0 else f"{t} {p}") for d, p, n, t in lines]
+    got = [tuple(r) for r in prep.guide_pairs(spark.createDataFrame(numbered, "doc string, page int, line_no int, line string")).groupBy("doc").agg(F.count("*"), F.countDistinct("agency")).collect()]
+    sql = "WITH nm AS (SELECT doc, page" + lifecycle.SQL["p8_guide_pairs"].split("nm AS (SELECT doc, page", 1)[1]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE kp (doc VARCHAR, page INT, line_no INT, line VARCHAR)")
+    con.executemany("INSERT INTO kp VALUES (?, ?, ?, ?)", lines)
+    assert con.execute(sql).fetchall() == got == [("b", 4, 2)]
