@@ -331,3 +331,29 @@ def test_a_page_number_of_five_digits_is_none(spark):
     con.execute("CREATE TABLE kp (doc VARCHAR, page INT, line_no INT, line VARCHAR)")
     con.executemany("INSERT INTO kp VALUES (?, ?, ?, ?)", lines)
     assert con.execute(sql).fetchall() == got == [("b", 4, 2)]
+
+
+def test_evidence_distance_by_blocks_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(signals, "QUESTIONS", 3)
+    monkeypatch.setattr(signals, "PASSAGES", 7)
+    rng = random.Random(6)
+    rows = [(k, k % 3, [rng.gauss(0, 1) for _ in range(4)] if k % 11 else [0.0] * 4) for k in range(90)] + [(90, None, [1.0] * 4), (91, 1, None), (92, 7, [1.0] * 4)]
+    table = spark.createDataFrame(rows, "id long, label int, vector array<double>")
+    asked = table.where("id % 5 = 0 or id > 89").withColumnRenamed("id", "qid")
+    pairs = asked.withColumnRenamed("vector", "question_vector").join(table.select("label", F.col("vector").alias("passage_vector")), "label")
+    want = {r[0]: r[1] for r in signals.evidence_distance(pairs.where("question_vector is not null and passage_vector is not null")).collect()}
+    got = signals.evidence_distance_within(asked, table)
+    assert "CoGroup" in got._jdf.queryExecution().toString()  # no row for each pair
+    found = {r[0]: r[1] for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_latency_quantiles_need_no_task_with_a_whole_level(spark):
+    rng = random.Random(7)
+    rows = [(m, rng.choice([None, float(rng.randrange(40))]), 2) for m in ("a", "b") for _ in range(301)] + [(None, 5.0, 1), ("none", None, 3)]
+    log = spark.createDataFrame(rows, "llm string, ms double, tokens int").repartition(5)
+    got = ranking.latency_summary(log, "llm", "ms", "tokens")
+    plan = got._jdf.queryExecution().toString().lower()
+    assert "percentile" not in plan
+    plain = log.groupBy("llm").agg(F.count("*"), F.expr("percentile_disc(0.5) within group (order by ms)"), F.expr("percentile_disc(0.95) within group (order by ms)"), F.sum("ms") / 1000, F.sum("tokens"))
+    assert {tuple(r)[:6] for r in got.collect()} == {tuple(r) for r in plain.collect()}
